@@ -19,8 +19,12 @@ def buildings(parsed: DataFrame) -> DataFrame:
 
 
 def forms(places: DataFrame) -> DataFrame:
-    """``(place, h)``: hashes of number with each plausible form of the street (one letter left out or none), by town and by postcode."""
-    street = places.withColumn("form", F.explode(_variants("street")))
+    """``(place, h)``: hashes of number with each plausible form of the street, by town or, where none is known, by postcode.
+
+    Forms: the street's core as it is, with any one letter left out, and as its first letter with its type alone.
+    """
+    short = F.concat_ws("|", F.lit("^"), F.substring("street", 1, 1), "kind")
+    street = places.withColumn("form", F.explode(F.array_append(_variants("street"), short)))
     by_town = F.when(F.col("town").isNotNull(), F.xxhash64(F.lit("t"), "country", "town", "house", "form"))
     by_pin = F.when(F.col("town").isNull(), F.xxhash64(F.lit("p"), "country", "pin", "house", "form"))
     return street.select("place", F.explode(F.array_compact(F.array(by_town, by_pin))).alias("h")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,7 +45,7 @@ def name_votes(a, b) -> tuple[int, int, int, int]:
         core = 1 if s >= 0.72 else -1 if s < 0.6 else 0
     else:
         core = (1 if similarity(a.whole, b.whole) >= 0.85 else 0) if a.whole and b.whole else 0
-    ca, cb = {w[:5] for w in a.common}, {w[:5] for w in b.common}
+    ca, cb = {w[:4] for w in a.common}, {w[:4] for w in b.common}
     both = len(ca & cb)
     few = min(len(ca), len(cb))
     words = 0 if not few else 1 if both >= 0.75 * few else -1 if both < 0.5 * few else 0
@@ -63,7 +63,7 @@ def place_votes(a, b) -> tuple[int, int, int, int]:
         short, long = sorted((a.street, b.street), key=len)
         if s < 0.7 and len(short) > 3 and (long.startswith(short) or long.endswith(short)):
             s = 0.7
-        street = 1 if s >= 0.7 else -1
+        street = 1 if s >= 0.7 or s >= 0.6 and house == 1 and a.kind and a.kind == b.kind else -1
         if street == 1 and (a.kind and b.kind and a.kind != b.kind or a.way and b.way and a.way != b.way):
             street = -1
     known = lambda t: t is not None and t == t
@@ -72,8 +72,9 @@ def place_votes(a, b) -> tuple[int, int, int, int]:
     return (house, street, town, pin)
 
 
-def compare(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of candidate pairs (``a`` and ``b`` are structs of SIDE) with their VOTES."""
+def compare(rows: DataFrame, keep: list[str], measures: dict[str, Callable] | None = None) -> DataFrame:
+    """The ``keep`` columns of candidate pairs (``a`` and ``b`` are structs of SIDE) with their VOTES and other measures of a and b."""
+    measures = measures or {}
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,9 +85,12 @@ def compare(rows: DataFrame, keep: list[str]) -> DataFrame:
             votes = [(*place_votes(a, b), *name_votes(a, b)) for a, b in zip(left, right, strict=True)]
             for k, name in enumerate(VOTES):
                 out[name] = pd.Series([v[k] for v in votes], index=out.index, dtype="int32")
+            for name, of in measures.items():
+                out[name] = [of(a, b) for a, b in zip(left, right, strict=True)]
             yield out
 
-    return rows.select(*keep, "a", "b").mapInPandas(run, f"{kept}, " + ", ".join(f"{v} int" for v in VOTES))
+    schema = ", ".join([kept, *(f"{v} int" for v in VOTES), *(f"{m} double" for m in measures)])
+    return rows.select(*keep, "a", "b").mapInPandas(run, schema)
 
 
 class _Side:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import bpe, neighbors, packing, skeleton, topn, truncation
+from linkweave.llm import addresses, bpe, cosine_join, linkage, neighbors, packing, records, skeleton, topn, truncation, variants
 from linkweave.sources.tables import table
 
 FIELDS = ["business_name", "business_address"]
@@ -17,6 +17,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.pairs(neighbors.most_similar(table(spark, sf_dir, "s1_embeddings"), "vec_id", "s1_embeddings"))
 
 
+def _parsed(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Records of the named tables taken apart, with the town reference and the common words of the clean source."""
+    places, known = records.gazetteer(spark, sf_dir), records.vocabulary(table(spark, sf_dir, "train_source1"))
+    columns = ["entity_id", "business_name", "business_address", "country"]
+    rows = [table(spark, sf_dir, n).select(columns) for n in names]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return records.parse(out, places, known)
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of an S1 record with its confidence."""
+    links = linkage.link(_parsed(spark, sf_dir, "train_source1"), _parsed(spark, sf_dir, "train_source2", "train_source3"))
+    return links.select(F.col("a_id").alias("s1_entity_id"), F.col("b_id").alias("matched_entity_id"), F.round("confidence", 6).alias("confidence"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = table(spark, sf_dir, "train_matches").select(F.col("source1_entity_id").alias("s1_entity_id"))
+    return p2_links(spark, sf_dir).select("s1_entity_id", "matched_entity_id").join(listed, "s1_entity_id", "left_anti")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = skeleton.odd_values(table(spark, sf_dir, "train_source2"), "entity_id", FIELDS)
     return odd.select("entity_id", "field").distinct()
@@ -26,6 +48,31 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.groups(table(spark, sf_dir, "train_source2"), "entity_id", FIELDS)
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = _parsed(spark, sf_dir, "test_source1")
+    clean = _parsed(spark, sf_dir, "test_source1", "train_source1")
+    return cosine_join.overlaps(test, _parsed(spark, sf_dir, "train_source1", "train_source2", "train_source3"), clean)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a_id"), F.col("b_id")
+    return _overlaps(spark, sf_dir).select(F.least(a, b).alias("a_entity_id"), F.greatest(a, b).alias("b_entity_id")).distinct()
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_join.counts(_overlaps(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = variants.variant_groups(_parsed(spark, sf_dir, "train_source2", "train_source3"))
+    return variants.across(groups, "S2-", "S3-").select(F.col("a_id").alias("s2_entity_id"), F.col("b_id").alias("s3_entity_id"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = addresses.same_building(_parsed(spark, sf_dir, "train_source2"), _parsed(spark, sf_dir, "train_source3"))
+    return pairs.select(F.col("a_id").alias("s2_entity_id"), F.col("b_id").alias("s3_entity_id"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = topn.top_n(table(spark, sf_dir, "s1_buckets"), "s1_entity_id", "candidate_entity_id", "score", 10)
     return top.select("s1_entity_id", "candidate_entity_id")
@@ -81,7 +128,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ["p1_found", "p3_found", "p3_groups", "p7_found", "p8_ids", "p8_decoded", "p9_assignment", "p9_waste", "p10_found", "p10_shares"]
+    names = ["p1_found", "p2_found", "p2_links", "p3_found", "p3_groups", "p4_found", "p4_counts", "p5_found", "p6_found", "p7_found", "p8_ids", "p8_decoded", "p9_assignment", "p9_waste", "p10_found", "p10_shares"]
     return {n: globals()[n] for n in names}
 
 

@@ -49,7 +49,7 @@ HINDI = {
 NICK_OF = {n: k for k, v in NICKNAMES.items() for n in v.split()}
 EMPTY = frozenset(["", "-", "--", ".", "n/a", "na", "none", "null", "nil", "unknown", "not available", "tbd", "?", "x", "xx", "xxx"])
 
-_TAIL = re.compile(r"\(?\bid\s*:\s*\d+\)?|-\s*#\s*\d+|\(dup\)|/\s*new\b|\(new\)")
+_TAIL = re.compile(r"\(?\bid\s*:\s*\d+\)?|-\s*#\s*\d+|\(dup\)|/\s*new\b|\((?:new|closed|moved|old)\??\)")
 _SITE = re.compile(r"(?:www\.)?([a-z0-9-]+)\.(?:test|example|invalid|com|in|fr|co\.in|net|org|biz|info)/?\Z")
 _DOTTED = re.compile(r"\b(?:[a-z]\.\s?){2,}(?:[a-z]\b\.?)?|\b[a-z](?:\.[a-z])+\b\.?")
 _INNER = re.compile(r"(?<=[a-z])[-'](?=[a-z])")
@@ -61,7 +61,7 @@ _UNIT = re.compile(r"\b(?:ground|first|second|third|\d+(?:st|nd|rd|th))\s+floor\
 _HOUSE_MARK = re.compile(r"(?:\b(?:h\.?\s?no|d\.?\s?no|house no|plot no|door no|plot|house|door|no)\b\.?\s*:?\s*|#\s*)(?=\d)")
 _PIN = {"India": re.compile(r"(?<!\d)(\d{3})\s?(\d{3})(?!\d)")}
 _ZIP = re.compile(r"(?<!\d)(\d{5})()(?:-\d{4})?(?!\d)")
-_HOUSE = re.compile(r"(?<!\d)(\d{1,4})(?:(?:\s*[-/]\s*)?([a-h])\b|\s+([a-df-h]|bis|ter)\b)?(?!\d)(?![a-z]{2})")
+_HOUSE = re.compile(r"(?<!\d)(\d{1,4})(?:(?:\s*[-/]\s*)?([a-h])\b|\s+([a-df-h]|e(?=\s*[,;])|bis|ter)\b)?(?!\d)(?![a-z]{2})")
 
 
 @lru_cache(maxsize=4096)
