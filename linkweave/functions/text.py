@@ -148,7 +148,7 @@ def landmark(x: Column | str) -> Column:
 
 
 def _parts(x: Column | str) -> Column:
-    return F.filter(F.transform(F.split(base_clean(x), ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(base_clean(x), ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _region(part: Column) -> Column:

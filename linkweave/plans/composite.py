@@ -1 +1,477 @@
 """Queries of composed linkage operators: blocking, features, decisions, metrics, validation, sampling, models."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkweave.functions import similarity as S
+from linkweave.functions import text as T
+from linkweave.operators import augment, blocking, decide, dense, features, matcher, metrics, sampling, validate
+from linkweave.operators import windows as W
+from linkweave.plans.registry import query
+from linkweave.plans.textual import N, PAIRS_SQL, keys_sql, list_sql, numkeys_sql, pairs, words_sql
+from linkweave.sources import fixtures as X
+from linkweave.sources.fixtures import BUCKET_SQL, EDGES_SQL, P_SQL, POOL_SQL
+from linkweave.sources.tables import table
+
+c = F.col
+
+
+def truth(spark: SparkSession, d: str) -> DataFrame:
+    return X.edges(spark, d).withColumnRenamed("mid", "cand")
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """The records whose matches are known: (s1)."""
+    return table(spark, d, "train_matches").select(c("source1_entity_id").alias("s1"))
+
+
+# ---- lexical blocking
+
+ARMS = " UNION ALL ".join(f"SELECT entity_id, country, '{k}:' || {k} AS k, {p} AS prio FROM keys WHERE {k} IS NOT NULL" for k, p in blocking.PRIORITY.items() if k != "tok")
+LONG = f"{ARMS} UNION ALL SELECT entity_id, country, 'tok:' || t, 2 FROM (SELECT entity_id, country, unnest(string_split(name_clean, ' ')) AS t FROM keys) WHERE length(t) >= 4"
+LEX = f"""a AS (WITH {keys_sql('train_source1')} {LONG}), b AS (WITH {POOL_SQL}, {keys_sql('pool')} {LONG}), stop AS (SELECT country, k FROM b GROUP BY 1, 2 HAVING count(*) > 100),
+pr AS (SELECT a.entity_id AS s1, b.entity_id AS cand, count(*) AS nkeys, min(a.prio)::INT AS best_prio FROM a JOIN b USING (country, k) WHERE NOT EXISTS (SELECT 1 FROM stop s WHERE s.country = a.country AND s.k = a.k) GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY nkeys DESC, best_prio, cand) AS n FROM pr) WHERE n <= 30)"""
+
+
+@query(f"WITH {LEX} SELECT s1, cand, nkeys, best_prio FROM pr")
+def agg_pairkeys(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.lexical_pairs(X.s1(spark, d), X.pool(spark, d), 100)
+
+
+@query(f"WITH {LEX} SELECT s1, cand, nkeys, best_prio FROM top")
+def blk_lex(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.lexical_block(X.s1(spark, d), X.pool(spark, d), 30, 100)
+
+
+@query(f"WITH {LEX} SELECT s.entity_id AS s1, coalesce(string_agg(cand, ',' ORDER BY nkeys DESC, cand), '') AS ids FROM train_source1 s LEFT JOIN top ON top.s1 = s.entity_id GROUP BY 1")
+def blk_lex_lists(spark: SparkSession, d: str) -> DataFrame:
+    top = blocking.lexical_block(X.s1(spark, d), X.pool(spark, d), 30, 100).withColumn("p", c("nkeys"))
+    lists = decide.ordered_lists(top)
+    return X.s1(spark, d).select(c("entity_id").alias("s1")).join(lists, "s1", "left").select("s1", F.coalesce("ids", F.lit("")).alias("ids"))
+
+
+@query(f"""WITH {POOL_SQL}, k AS (SELECT entity_id AS s1, country, lower(business_name) AS n FROM test_source1), o AS (SELECT entity_id AS cand, country, lower(business_name) AS n FROM pool)
+SELECT s1, cand FROM k JOIN o USING (country, n) UNION ALL SELECT s1, cand FROM k JOIN o USING (n) WHERE k.country NOT IN (SELECT country FROM pool)""")
+def blk_country(spark: SparkSession, d: str) -> DataFrame:
+    k = F.lower(N).alias("n")
+    return blocking.by_country(table(spark, d, "test_source1").select("entity_id", "country", k), X.pool(spark, d).select("entity_id", "country", k), "n")
+
+
+STREET_KEY = f"""(SELECT entity_id, country, CASE WHEN pos IS NOT NULL AND hs <> '' THEN hs || '|' || own[pos][1] END AS key FROM (SELECT *, coalesce(list_filter(flatten(parts[1:pos]), lambda w: regexp_full_match(w, '[0-9]+'))[1], '') AS hs FROM (
+SELECT *, list_filter(range(1, len(parts) + 1), lambda i: told[i] AND len(own[i]) > 0)[1] AS pos FROM (SELECT entity_id, country, parts,
+list_transform(parts, lambda p: list_filter(p, lambda w: NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({list_sql(T.STREET_TYPES + T.STREET_STOPS)}) AND length(w) > 1)) AS own,
+list_transform(parts, lambda p: len(list_filter(p, lambda w: regexp_full_match(w, '[0-9]+') OR w IN ({list_sql(T.STREET_TYPES)}))) > 0) AS told
+FROM (SELECT entity_id, country, list_transform(string_split(coalesce(business_address, ''), ','), lambda p: {words_sql('p')}) AS parts FROM {{0}})))))"""
+
+
+def street_sql(source: str) -> str:
+    return STREET_KEY.replace("{0}", source)
+
+
+def street_key(df: DataFrame) -> DataFrame:
+    x = df.select("entity_id", "country", T.street_of("business_address").alias("s"))
+    key = F.when((c("s.house") != "") & (c("s.street") != ""), F.concat("s.house", F.lit("|"), F.split("s.street", " ")[0]))
+    return x.select("entity_id", "country", key.alias("key"))
+
+
+ADDRESS = f"""sa AS {street_sql('train_source1')}, sb AS {street_sql('pool')}, so AS (SELECT country, key FROM sb WHERE key IS NOT NULL GROUP BY 1, 2 HAVING count(*) <= 20),
+address AS (SELECT sa.entity_id AS s1, sb.entity_id AS cand FROM sa JOIN so USING (country, key) JOIN sb USING (country, key))"""
+
+
+def address_search(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.capped_join(street_key(X.s1(spark, d)), street_key(X.pool(spark, d)), ["country", "key"], 20)
+
+
+@query(f"WITH {POOL_SQL}, {ADDRESS} SELECT s1, cand FROM address")
+def blk_address(spark: SparkSession, d: str) -> DataFrame:
+    return address_search(spark, d)
+
+
+def number_search(spark: SparkSession, d: str) -> DataFrame:
+    keys = lambda t: t.filter("country = 'India'").select("entity_id", F.explode(T.number_keys("business_address")).alias("key"))
+    return blocking.capped_join(keys(X.s1(spark, d)), keys(X.pool(spark, d)), ["key"], 10).distinct()
+
+
+NUMBER = f"""na AS (WITH {numkeys_sql('train_source1')} SELECT * FROM numkeys WHERE country = 'India'), nb AS (WITH {numkeys_sql('pool')} SELECT * FROM numkeys WHERE country = 'India'),
+nok AS (SELECT key FROM nb GROUP BY 1 HAVING count(*) <= 10), number AS (SELECT DISTINCT na.entity_id AS s1, nb.entity_id AS cand FROM na JOIN nok USING (key) JOIN nb USING (key))"""
+
+
+@query(f"WITH {POOL_SQL}, {NUMBER} SELECT s1, cand FROM number")
+def blk_number(spark: SparkSession, d: str) -> DataFrame:
+    return number_search(spark, d)
+
+
+def tfidf_sql(a: str, b: str) -> str:
+    """Unit 3-gram vectors ga and gb of the texts of two relations (entity_id, t)."""
+    gram = "SELECT entity_id, gram, 1 + ln(count(*)) AS tf FROM (SELECT entity_id, substr(w, i, 3) AS gram FROM (SELECT entity_id, w, unnest(range(1, greatest(1, length(w) - 2) + 1)) AS i FROM (SELECT entity_id, ' ' || w || ' ' AS w FROM (SELECT entity_id, unnest(regexp_split_to_array(lower(t), '\\s+')) AS w FROM {0}) WHERE w <> ''))) GROUP BY 1, 2"
+    return f"""ta AS ({gram.replace('{0}', a)}), tb AS ({gram.replace('{0}', b)}), nn AS (SELECT (SELECT count(*) FROM {a}) + (SELECT count(*) FROM {b}) AS n),
+voc AS (SELECT gram, ln((1 + n) / (1.0 + count(*))) + 1 AS idf FROM (SELECT gram FROM ta UNION ALL SELECT gram FROM tb), nn GROUP BY gram, n HAVING count(*) >= 2 AND count(*) <= 0.02 * n),
+wa AS (SELECT entity_id, gram, tf * idf AS w FROM ta JOIN voc USING (gram)), wb AS (SELECT entity_id, gram, tf * idf AS w FROM tb JOIN voc USING (gram)),
+ga AS (SELECT entity_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM wa), gb AS (SELECT entity_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM wb)"""
+
+
+def top_sql(k: int, a: str = "ga", b: str = "gb") -> str:
+    return f"(SELECT s1, cand, sim, (r - 1)::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY sim DESC, cand) AS r FROM (SELECT x.entity_id AS s1, y.entity_id AS cand, round(sum(x.w * y.w), 6) AS sim FROM {a} x JOIN {b} y USING (gram) GROUP BY 1, 2)) WHERE r <= {k})"
+
+
+INDIA = "ia AS (SELECT entity_id, business_name AS t FROM train_source1 WHERE country = 'India'), ib AS (SELECT entity_id, business_name AS t FROM pool WHERE country = 'India')"
+
+
+def india(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = lambda x: x.filter("country = 'India'").select("entity_id", c(N).alias("t"))
+    return blocking.tfidf(t(X.s1(spark, d)), t(X.pool(spark, d)), "t")
+
+
+@query(f"WITH {POOL_SQL}, {INDIA}, {tfidf_sql('ia', 'ib')} SELECT entity_id, gram, round(w, 5) AS w FROM ga")
+def sim_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return india(spark, d)[0].select("entity_id", "gram", F.round("w", 5).alias("w"))
+
+
+@query(f"WITH {POOL_SQL}, {INDIA}, {tfidf_sql('ia', 'ib')} SELECT s1, sim, r FROM {top_sql(5)}")
+def blk_name3g(spark: SparkSession, d: str) -> DataFrame:
+    a, b = india(spark, d)
+    return blocking.sparse_top(a, b, 5).select("s1", "sim", "r")
+
+
+@query(f"WITH {POOL_SQL}, {INDIA}, {tfidf_sql('ia', 'ib')} SELECT x.entity_id AS s1, y.entity_id AS cand, round(sum(x.w * y.w), 4) AS sim FROM ga x JOIN gb y USING (gram) GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.80005")
+def jn_sparse_topk(spark: SparkSession, d: str) -> DataFrame:
+    a, b = india(spark, d)
+    return blocking.sparse_top(a, b, 1 << 30).filter("sim > 0.80005").select("s1", "cand", F.round("sim", 4).alias("sim"))
+
+
+EMPTY = "ea AS (SELECT entity_id, business_name AS t FROM train_source1), eb AS (SELECT entity_id, business_name AS t FROM pool WHERE trim(coalesce(business_address, '')) IN ('', '-', 'N/A'))"
+
+
+@query(f"WITH {POOL_SQL}, {EMPTY}, {tfidf_sql('ea', 'eb')} SELECT 's1' AS side, s1 AS id, sim, r FROM {top_sql(2)} UNION ALL SELECT 'cand', s1, sim, r FROM {top_sql(3, 'gb', 'ga')}")
+def blk_empty(spark: SparkSession, d: str) -> DataFrame:
+    a = X.s1(spark, d).select("entity_id", c(N).alias("t"))
+    b = X.pool(spark, d).filter(F.trim(T.text("business_address")).isin("", "-", "N/A")).select("entity_id", c(N).alias("t"))
+    ga, gb = blocking.tfidf(a, b, "t")
+    out = lambda s, side: s.select(F.lit(side).alias("side"), c("s1").alias("id"), "sim", "r")
+    return out(blocking.sparse_top(ga, gb, 2), "s1").unionByName(out(blocking.sparse_top(gb, ga, 3), "cand"))
+
+
+@query(f"""WITH {POOL_SQL}, {ADDRESS}, {NUMBER} SELECT coalesce(a.s1, n.s1) AS s1, coalesce(a.cand, n.cand) AS cand, CASE WHEN a.s1 IS NOT NULL THEN 0 END AS address_rank, CASE WHEN n.s1 IS NOT NULL THEN 0 END AS number_rank
+FROM address a FULL JOIN number n ON n.s1 = a.s1 AND n.cand = a.cand""")
+def blk_union(spark: SparkSession, d: str) -> DataFrame:
+    zero = lambda s: s.withColumn("r", F.lit(0))
+    return blocking.union_searches({"address": zero(address_search(spark, d)), "number": zero(number_search(spark, d))})
+
+
+@query()
+def blk_phonkey(spark: SparkSession, d: str) -> DataFrame:
+    key = F.concat_ws("|", "country", T.phonetic(N), F.substring(T.core_name(N), 1, 4)).alias("key")
+    return blocking.capped_join(X.s1(spark, d).select("entity_id", key), X.pool(spark, d).select("entity_id", key), ["key"], 200)
+
+
+# ---- dense search over the embeddings table: a quarter asks, the rest answers
+
+
+def split_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    return e.filter("vec_id % 4 = 0").select(c("vec_id").alias("q"), c("embedding").alias("v")), e.filter("vec_id % 4 <> 0").select(c("vec_id").alias("c"), c("embedding").alias("v"))
+
+
+DENSE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS c, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0)"""
+
+
+@query(f"WITH {DENSE} SELECT q, sim, (r - 1)::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s) WHERE r <= 10")
+def jn_dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    return dense.dense_top(*split_vectors(spark, d), 10).select("q", "sim", "r")
+
+
+CENTERED = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(x) AS a FROM (SELECT generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e WHERE vec_id % 4 <> 0) GROUP BY 1)),
+cv AS (SELECT vec_id, list_transform(list_zip(v, mean), lambda z: z[1] - z[2]) AS v FROM e, m), s AS (SELECT a.vec_id AS q, b.vec_id AS c, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM cv a JOIN cv b ON a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0)"""
+
+
+@query(f"WITH {CENTERED} SELECT q, sim, (r - 1)::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s) WHERE r <= 30")
+def blk_dense(spark: SparkSession, d: str) -> DataFrame:
+    a, b = split_vectors(spark, d)
+    return dense.dense_top(a, b, 30, dense.mean_vector(b, "v")).select("q", "sim", "r")
+
+
+@query(f"WITH {CENTERED} SELECT c, sim, (r - 1)::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY sim DESC, q) AS r FROM s) WHERE r <= 5")
+def blk_reverse(spark: SparkSession, d: str) -> DataFrame:
+    a, b = split_vectors(spark, d)
+    t = dense.dense_top(b.withColumnRenamed("c", "q"), a.withColumnRenamed("q", "c"), 5, dense.mean_vector(b, "v"))
+    return t.select(c("q").alias("c"), "sim", "r")
+
+
+@query("""WITH m AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(x) AS a FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY 1)),
+cv AS (SELECT vec_id, list_transform(list_zip(embedding::DOUBLE[], mean), lambda z: z[1] - z[2]) AS v FROM embeddings, m) SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first FROM cv""")
+def sim_centered(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    mean = F.array(*[F.lit(x) for x in dense.mean_vector(e, "embedding")])
+    return e.select("vec_id", F.round(S.centered(c("embedding"), mean)[0], 6).alias("first"))
+
+
+@query()
+def jn_ivfpq(spark: SparkSession, d: str) -> DataFrame:
+    return dense.lsh_top(*split_vectors(spark, d), 10)
+
+
+@query()
+def emb_encode(spark: SparkSession, d: str) -> DataFrame:
+    return dense.encode(X.s1(spark, d), "entity_id", N)
+
+
+@query()
+def jn_fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d).select("s1", "mid", F.explode("tx").alias("w"), "ty").select("s1", "mid", "w", F.explode("ty").alias("v"))
+    best = p.withColumn("sim", S.ratio_col("w", "v")).filter("sim >= 55").groupBy("s1", "mid", "w")
+    return best.agg(F.max_by("v", F.struct("sim", "v")).alias("best"), F.max("sim").alias("sim"))
+
+
+# ---- labels, features, model
+
+
+@query(f"WITH {BUCKET_SQL}, {EDGES_SQL} SELECT bk.s1, cand, (e.mid IS NOT NULL)::INT AS is_true FROM bk JOIN train_matches m ON m.source1_entity_id = bk.s1 LEFT JOIN edges e ON e.s1 = bk.s1 AND e.mid = cand")
+def mat_label(spark: SparkSession, d: str) -> DataFrame:
+    return labelled_pairs(spark, d).select("s1", "cand", "is_true")
+
+
+def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
+    b = X.buckets(spark, d).join(labelled(spark, d), "s1", "left_semi")
+    return b.join(truth(spark, d).withColumn("_t", F.lit(1)), ["s1", "cand"], "left").withColumn("is_true", F.coalesce("_t", F.lit(0))).drop("_t")
+
+
+@query()
+def mat_features(spark: SparkSession, d: str) -> DataFrame:
+    return features.pair_features(X.buckets(spark, d), X.s1(spark, d), X.pool(spark, d))
+
+
+@query()
+def mat_folds(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.folds(labelled_pairs(spark, d).select("s1", "cand"), "s1", 5)
+
+
+@query()
+def mat_sample_s1(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.per_group(X.s1(spark, d), "country", "entity_id", 50)
+
+
+@query()
+def mat_negdown(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.negatives_down(labelled_pairs(spark, d).select("s1", "cand", "is_true"), "is_true", ["s1", "cand"])
+
+
+MODEL = ["score", "cosine", "rank", "e5_rank", "rev_rank", "addr_key", "name_rank", "num_key"]
+
+
+@query()
+def mat_fit(spark: SparkSession, d: str) -> DataFrame:
+    p = labelled_pairs(spark, d)
+    return matcher.predict(matcher.fit(p, MODEL), p, MODEL).select("s1", "cand", "is_true", F.round("p", 6).alias("p"))
+
+
+@query()
+def mat_oof(spark: SparkSession, d: str) -> DataFrame:
+    return matcher.out_of_fold(labelled_pairs(spark, d), MODEL).select("s1", "cand", "is_true", "fold", F.round("p", 6).alias("p"))
+
+
+@query()
+def mat_transfer(spark: SparkSession, d: str) -> DataFrame:
+    return matcher.transfer(labelled_pairs(spark, d), MODEL, "India").select("s1", "cand", "is_true", F.round("p", 6).alias("p"))
+
+
+@query()
+def mat_importance(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(matcher.importance(matcher.fit(labelled_pairs(spark, d), MODEL), MODEL), "feature string, gain double")
+
+
+# ---- decisions
+
+OWN = f"{P_SQL}, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS n FROM pr) WHERE n = 1)"
+
+
+@query(f"WITH {P_SQL} SELECT s1, cand, p FROM pr WHERE p >= CASE country WHEN 'India' THEN 0.7 ELSE 0.6 END")
+def dec_thresh(spark: SparkSession, d: str) -> DataFrame:
+    return decide.cutoff(X.probabilities(spark, d), 0.6, {"India": 0.7}).select("s1", "cand", "p")
+
+
+@query(f"WITH {OWN} SELECT s1, cand, p FROM own WHERE p >= 0.6")
+def dec_oneowner(spark: SparkSession, d: str) -> DataFrame:
+    return decide.cutoff(decide.one_owner(X.probabilities(spark, d)), 0.6).select("s1", "cand", "p")
+
+
+@query(f"WITH {OWN} SELECT s1, cand FROM own WHERE p >= CASE country WHEN 'India' THEN 0.8 ELSE 0.5 END")
+def dec_rethresh(spark: SparkSession, d: str) -> DataFrame:
+    return decide.cutoff(decide.one_owner(X.probabilities(spark, d)), 0.5, {"India": 0.8}).select("s1", "cand")
+
+
+def grid_sql(steps: list[float], by: str = "") -> str:
+    values = ", ".join(f"({t!r}::DOUBLE)" for t in steps)
+    col, on = (f"{by}, ", f" AND x.{by} = rec.{by}") if by else ("", "")
+    return f"""{EDGES_SQL}, {OWN}, grid(t) AS (VALUES {values}), rec AS (SELECT source1_entity_id AS s1, s.country FROM train_matches JOIN train_source1 s ON s.entity_id = source1_entity_id),
+tn AS (SELECT s1, count(*) AS n FROM edges GROUP BY 1), hits AS (SELECT own.s1, p, (e.mid IS NOT NULL)::INT AS hit FROM own LEFT JOIN edges e ON e.s1 = own.s1 AND e.mid = cand),
+att AS (SELECT t, rec.s1, {'rec.' + col if col else ''}count(p) AS n, coalesce(sum(hit), 0) AS tp, coalesce(any_value(tn.n), 0) AS true_n FROM grid CROSS JOIN rec LEFT JOIN hits ON hits.s1 = rec.s1 AND p >= t LEFT JOIN tn ON tn.s1 = rec.s1 GROUP BY ALL),
+cv AS (SELECT t, {col}round(avg(CASE WHEN true_n = 0 THEN (n = 0)::INT::DOUBLE WHEN tp = 0 THEN 0 ELSE 1.25 * tp / (0.25 * true_n + n) END), 6) AS score FROM att GROUP BY ALL)"""
+
+
+GRID = [round(0.05 * i, 2) for i in range(1, 20)]
+LEX_GRID = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+
+
+@query(f"WITH {grid_sql(GRID)} SELECT t, score FROM cv")
+def dec_curve(spark: SparkSession, d: str) -> DataFrame:
+    return decide.curve(decide.one_owner(X.probabilities(spark, d)), truth(spark, d), labelled(spark, d), GRID)
+
+
+@query(f"WITH {grid_sql(GRID)} SELECT t, score FROM cv ORDER BY score DESC, t LIMIT 1")
+def dec_tune(spark: SparkSession, d: str) -> DataFrame:
+    return decide.tune(decide.one_owner(X.probabilities(spark, d)), truth(spark, d), labelled(spark, d), GRID)
+
+
+@query(f"WITH {grid_sql(LEX_GRID, 'country')} SELECT country, t, score FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY score DESC, t) AS n FROM cv) WHERE n = 1")
+def dec_tune_lex(spark: SparkSession, d: str) -> DataFrame:
+    rec = labelled(spark, d).join(X.s1(spark, d).select(c("entity_id").alias("s1"), "country"), "s1")
+    own = decide.one_owner(X.probabilities(spark, d))
+    out = None
+    for country in ("India", "US"):
+        mine = rec.filter(c("country") == country).select("s1")
+        x = decide.tune(own, truth(spark, d).join(mine, "s1", "left_semi"), mine, LEX_GRID).select(F.lit(country).alias("country"), "t", "score")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query(f"""WITH {OWN}, m AS (SELECT s1, string_agg(cand, ',' ORDER BY p DESC, cand) AS matches FROM own WHERE p >= 0.6 GROUP BY 1), k AS (SELECT s1, string_agg(cand, ',' ORDER BY p DESC, cand) AS candidates FROM pr GROUP BY 1)
+SELECT entity_id AS s1, coalesce(matches, '') AS matches, coalesce(candidates, '') AS candidates FROM train_source1 LEFT JOIN m ON m.s1 = entity_id LEFT JOIN k ON k.s1 = entity_id""")
+def dec_submit(spark: SparkSession, d: str) -> DataFrame:
+    p = X.probabilities(spark, d)
+    return decide.submission(X.s1(spark, d), decide.one_owner(p).filter("p >= 0.6"), p)
+
+
+# ---- metrics
+
+SCORES = f"""{EDGES_SQL}, {OWN}, rec AS (SELECT source1_entity_id AS s1 FROM train_matches), pd AS (SELECT s1, cand FROM own WHERE p >= 0.6),
+sc AS (SELECT rec.s1, (SELECT count(*) FROM pd WHERE pd.s1 = rec.s1) AS n, (SELECT count(*) FROM edges e WHERE e.s1 = rec.s1) AS true_n, (SELECT count(*) FROM pd JOIN edges e ON e.s1 = pd.s1 AND e.mid = pd.cand WHERE pd.s1 = rec.s1) AS tp FROM rec),
+fs AS (SELECT *, CASE WHEN true_n = 0 THEN (n = 0)::INT::DOUBLE WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (0.25 * true_n + n) END AS f FROM sc)"""
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    predicted = decide.one_owner(X.probabilities(spark, d)).filter("p >= 0.6")
+    return metrics.f_half(labelled(spark, d), predicted, truth(spark, d))
+
+
+@query(f"WITH {SCORES} SELECT s1, n, true_n, tp, round(f, 6) AS f FROM fs")
+def met_f05(spark: SparkSession, d: str) -> DataFrame:
+    return scores(spark, d).withColumn("f", F.round("f", 6))
+
+
+@query(f"WITH {SCORES} SELECT round(avg(f), 6) AS score, round(avg(f) FILTER (true_n > 0), 6) AS matched, round(avg(f) FILTER (true_n = 0), 6) AS singletons FROM fs")
+def met_macro(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.macro(scores(spark, d))
+
+
+@query(f"""WITH {BUCKET_SQL}, {EDGES_SQL}, {POOL_SQL}, t AS (SELECT e.s1, e.mid, CASE WHEN trim(coalesce(p.business_address, '')) = '' THEN 'empty' ELSE 'filled' END AS slice FROM edges e JOIN pool p ON p.entity_id = e.mid)
+SELECT slice, count(*) AS pairs, count(cand) AS found, round(count(cand) / count(*)::DOUBLE, 6) AS recall FROM t LEFT JOIN bk ON bk.s1 = t.s1 AND cand = mid GROUP BY 1""")
+def met_recall(spark: SparkSession, d: str) -> DataFrame:
+    slices = X.pool(spark, d).select(c("entity_id").alias("cand"), F.when(F.trim(T.text("business_address")) == "", "empty").otherwise("filled").alias("slice"))
+    return metrics.recall(X.buckets(spark, d), truth(spark, d).join(slices, "cand"), "slice")
+
+
+@query(f"""WITH {BUCKET_SQL}, {EDGES_SQL}, r AS (SELECT m.source1_entity_id AS s1, count(mid) AS n, count(cand) AS k FROM train_matches m LEFT JOIN edges e ON e.s1 = m.source1_entity_id LEFT JOIN bk ON bk.s1 = e.s1 AND cand = mid GROUP BY 1)
+SELECT round(avg(CASE WHEN n = 0 THEN 1.0 WHEN k = 0 THEN 0.0 ELSE 1.25 * (k / n::DOUBLE) / (0.25 + k / n::DOUBLE) END), 6) AS ceiling FROM r""")
+def met_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.ceiling(labelled(spark, d), X.buckets(spark, d), truth(spark, d))
+
+
+RANKED = f"{BUCKET_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY score DESC NULLS LAST, cand) - 1 AS r FROM bk)"
+
+
+def ranked(spark: SparkSession, d: str) -> DataFrame:
+    return W.ranked(X.buckets(spark, d), "s1", [c("score").desc_nulls_last(), c("cand")])
+
+
+@query(f"""WITH {RANKED}, {EDGES_SQL}, x AS (SELECT k, e.s1, avg((coalesce(r, 1000000) < k)::INT) AS a, sum((coalesce(r, 1000000) < k)::INT) AS s, count(*) AS n FROM edges e CROSS JOIN (VALUES (1), (5), (10), (20)) g(k) LEFT JOIN rk ON rk.s1 = e.s1 AND cand = mid GROUP BY 1, 2)
+SELECT k, round(avg(a), 6) AS per_record, round(sum(s) / sum(n)::DOUBLE, 6) AS pooled FROM x GROUP BY 1""")
+def met_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.recall_at(ranked(spark, d), truth(spark, d), [1, 5, 10, 20])
+
+
+@query()
+def met_baselines(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.baselines(labelled(spark, d), ranked(spark, d).select("s1", "cand", "r", "cosine"), truth(spark, d), 5, 0.9)
+
+
+@query(f"""WITH {POOL_SQL}, l AS (SELECT source1_entity_id AS s1, matched_entity_ids AS ids FROM train_matches UNION ALL SELECT 'S1-x', 'S1-1,S9-2,S9-2'), i AS (SELECT s1, unnest(string_split(ids, ',')) AS id FROM l WHERE ids <> '')
+SELECT 'repeated_row' AS rule, count(*) AS n FROM (SELECT s1 FROM l GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated_id', count(*) FROM l WHERE len(list_distinct(string_split(ids, ','))) < len(string_split(ids, ','))
+UNION ALL SELECT 'own_id', count(*) FROM i WHERE id LIKE 'S1-%' UNION ALL SELECT 'wrong_prefix', count(*) FROM i WHERE NOT regexp_matches(id, '^S[123]-')
+UNION ALL SELECT 'unknown_id', count(*) FROM i WHERE id NOT IN (SELECT entity_id FROM pool) UNION ALL SELECT 'missing', count(*) FROM train_source1 WHERE entity_id NOT IN (SELECT s1 FROM l)
+UNION ALL SELECT 'extra', count(*) FROM l WHERE s1 NOT IN (SELECT entity_id FROM train_source1)""")
+def val_format(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "train_matches").select(c("source1_entity_id").alias("s1"), c("matched_entity_ids").alias("ids"))
+    planted = spark.createDataFrame([("S1-x", "S1-1,S9-2,S9-2")], "s1 string, ids string")
+    return validate.check(lists.unionByName(planted), X.s1(spark, d), X.pool(spark, d))
+
+
+# ---- samples, profile, noise
+
+
+@query()
+def smp_stratified(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stratified(X.s1(spark, d).withColumn("state", F.regexp_extract("business_address", "([A-Za-z ]+) [0-9]+$", 1)), "state", "entity_id", 300)
+
+
+@query()
+def smp_linked(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.linked(X.s1(spark, d), X.pool(spark, d), X.edges(spark, d), 0.2)
+
+
+@query()
+def smp_anchored(spark: SparkSession, d: str) -> DataFrame:
+    known = X.s1(spark, d).join(labelled(spark, d).withColumnRenamed("s1", "entity_id"), "entity_id", "left_semi")
+    return sampling.linked(known, X.pool(spark, d), X.edges(spark, d), 0.5, 7)
+
+
+@query()
+def smp_tagmin(spark: SparkSession, d: str) -> DataFrame:
+    empty = F.trim(T.text("business_address")) == ""
+    return sampling.tag_minimum(X.pool(spark, d), {"native": T.is_native(N), "empty": empty, "domain": T.domain_stem(N) != ""}, "entity_id", 400)
+
+
+@query(f"""WITH {POOL_SQL}, {EDGES_SQL} SELECT 'rows_s1' AS fact, count(*)::DOUBLE AS value FROM train_source1 UNION ALL SELECT 'rows_pool', count(*) FROM pool UNION ALL SELECT 'empty_address', count(*) FROM pool WHERE business_address IS NULL
+UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'distinct_names', count(DISTINCT business_name) FROM pool UNION ALL SELECT 'mean_address', round(avg(length(business_address)), 6) FROM pool""")
+def prf_eda(spark: SparkSession, d: str) -> DataFrame:
+    p = X.pool(spark, d).agg(
+        F.count("*").cast("double").alias("rows_pool"), F.count_if(c("business_address").isNull()).cast("double").alias("empty_address"),
+        F.count_distinct(N).cast("double").alias("distinct_names"), F.round(F.avg(F.char_length("business_address")), 6).alias("mean_address"),
+    )
+    facts = lambda t: t.unpivot([], list(t.columns), "fact", "value")
+    n = lambda t, name: facts(t.agg(F.count("*").cast("double").alias(name)))
+    return facts(p).unionByName(n(X.s1(spark, d), "rows_s1")).unionByName(n(X.edges(spark, d), "edges"))
+
+
+@query()
+def prf_sim(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d).select(S.ratio_col("x", "y").alias("r"), S.token_set_col("x", "y").alias("t"))
+    return p.agg(F.round(F.avg("r"), 6).alias("ratio"), F.round(F.avg("t"), 6).alias("token_set"))
+
+
+@query()
+def aug_noise(spark: SparkSession, d: str) -> DataFrame:
+    return augment.add_noise(X.s1(spark, d))
+
+
+@query()
+def aug_pairs(spark: SparkSession, d: str) -> DataFrame:
+    own = X.s1(spark, d).join(labelled(spark, d).withColumnRenamed("s1", "entity_id"), "entity_id", "left_anti")
+    noisy = augment.add_noise(own).select(c("entity_id").alias("s1"), F.concat_ws(" | ", "noisy_name", F.nullif("noisy_address", F.lit(""))).alias("text"), F.lit("noisy").alias("kind"))
+    return own.select(c("entity_id").alias("s1"), F.concat_ws(" | ", N, "business_address").alias("anchor")).join(noisy, "s1")
+
+
+@query(f"""WITH {BUCKET_SQL}, {EDGES_SQL} SELECT s1, cand, (n - 1)::INT AS r FROM (SELECT bk.s1, cand, row_number() OVER (PARTITION BY bk.s1 ORDER BY score DESC, cand) AS n FROM bk LEFT JOIN edges e ON e.s1 = bk.s1 AND e.mid = cand WHERE e.mid IS NULL AND score IS NOT NULL) WHERE n <= 10""")
+def aug_hardneg(spark: SparkSession, d: str) -> DataFrame:
+    return augment.hard_negatives(X.buckets(spark, d), X.edges(spark, d))
+
+
+@query(f"""WITH {RANKED}, {EDGES_SQL}, {POOL_SQL}, one AS (SELECT min(s1) AS s1 FROM edges WHERE s1 IN (SELECT s1 FROM bk))
+SELECT r::INT AS r, cand, business_name, round(score, 6) AS score, (e.mid IS NOT NULL) AS is_true FROM rk JOIN one USING (s1) JOIN pool ON pool.entity_id = cand LEFT JOIN edges e ON e.s1 = rk.s1 AND e.mid = cand""")
+def view_s1(spark: SparkSession, d: str) -> DataFrame:
+    b = ranked(spark, d)
+    one = truth(spark, d).join(b.select("s1"), "s1", "left_semi").agg(F.min("s1").alias("s1"))
+    x = b.join(one, "s1").join(X.pool(spark, d).select(c("entity_id").alias("cand"), N), "cand").join(truth(spark, d).withColumn("_t", F.lit(True)), ["s1", "cand"], "left")
+    return x.select("r", "cand", N, F.round("score", 6).alias("score"), F.coalesce("_t", F.lit(False)).alias("is_true"))
