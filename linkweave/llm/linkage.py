@@ -88,7 +88,7 @@ class LabelModel:
     patterns: at most 3 to the number of labelers, whatever the data's size.
     """
 
-    SMOOTH = 5.0
+    SMOOTH, ANCHOR = 5.0, 2.0
 
     def __init__(self, groups: list[list[str]], rounds: int = 50):
         self.groups, self.rounds = groups, rounds
@@ -100,27 +100,33 @@ class LabelModel:
         codes = self._codes(votes)
         sides = np.stack([np.sign(votes[g].sum(axis=1)) for g in self.groups])
         p = np.where((sides < 0).any(0), 1 - PRIOR_ACCURACY, np.where((sides > 0).all(0), PRIOR_ACCURACY, 0.5))
-        total = max(counts.sum(), 1.0)
+        # Each pattern also counts ANCHOR times as the plain majority sees it, which decides where pairs are few.
+        first = p
         self.prior, self.tables = 0.5, [np.full((2, 3 ** len(g)), 3.0 ** -len(g)) for g in self.groups]
         for _ in range(self.rounds if len(votes) else 0):
-            self.prior = float(np.clip((counts * p).sum() / total, 0.01, 0.99))
+            matched, other = counts * p + self.ANCHOR * first, counts * (1 - p) + self.ANCHOR * (1 - first)
+            self.prior = float(np.clip(matched.sum() / (matched.sum() + other.sum()), 0.01, 0.99))
             self.tables = []
             for g, code in zip(self.groups, codes, strict=True):
-                single = self._single(votes[g].to_numpy(int), counts, p)
-                joint = np.stack([np.bincount(code, counts * q, 3 ** len(g)) for q in (1 - p, p)])
+                single = self._single(votes[g].to_numpy(int), other, matched)
+                joint = np.stack([np.bincount(code, weight, 3 ** len(g)) for weight in (other, matched)])
                 joint += self.SMOOTH * single
                 self.tables.append(joint / joint.sum(1, keepdims=True))
             p = self.posterior(votes)
         return self
 
     @staticmethod
-    def _single(votes: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Pattern chances of both classes if each labeler voted by itself with its accuracy."""
+    def _single(votes: np.ndarray, other: np.ndarray, matched: np.ndarray) -> np.ndarray:
+        """Pattern chances of both classes if each labeler voted by itself with its accuracy.
+
+        A few prior votes of PRIOR_ACCURACY stand in where there are hardly any pairs to learn from.
+        """
         out = []
-        for q in (1 - p, p):
+        right, wrong = PRIOR_ACCURACY / 2, (1 - PRIOR_ACCURACY) / 2
+        for weight, prior in ((other, [right, 0.5, wrong]), (matched, [wrong, 0.5, right])):
             cells = np.ones(1)
             for j in range(votes.shape[1]):
-                one = np.bincount(votes[:, j] + 1, counts * q, 3) + 0.5
+                one = np.bincount(votes[:, j] + 1, weight, 3) + 10 * np.array(prior)
                 cells = np.outer(one / one.sum(), cells).ravel()
             out.append(cells)
         return np.stack(out)

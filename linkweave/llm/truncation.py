@@ -71,6 +71,8 @@ def tail(message: str) -> tuple[str | None, bool]:
     line = message.rsplit("\n", 1)[-1]
     if _TRAILER.match(line) and line.startswith(("Refs: ", "Signed-off-by: ")):
         return None, True
+    if len(line) > 3 and "diff --git ".startswith(line):
+        return None, True
     if line.startswith("#\t") and "." not in line.rsplit("/", 1)[-1]:
         return None, True
     last = _SENTENCE.split(line)[-1]
