@@ -52,6 +52,17 @@ def run(spark: SparkSession, name: str, data: str, out: str, as_tsv: bool = Fals
     return True
 
 
+def stages(spark: SparkSession, names: list[str], data: str, out: str) -> list[tuple[str, bool]]:
+    """Runs queries in order, each to its own folder; (name, whether it ran) of each."""
+    return [(name, run(spark, name, data, f"{out}/{name}")) for name in names]
+
+
+def compare(spark: SparkSession, left: str, right: str) -> tuple[int, int]:
+    """Rows that only one of two outputs of a query has."""
+    a, b = spark.read.parquet(f"{left}/rows"), spark.read.parquet(f"{right}/rows")
+    return a.exceptAll(b).count(), b.exceptAll(a).count()
+
+
 def _lists(spark: SparkSession, path: str) -> DataFrame:
     return tsv.read_tsv(spark, path, ["s1", "ids"])
 
@@ -77,6 +88,13 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--data", required=True)
     r.add_argument("--out", required=True)
     r.add_argument("--tsv", action="store_true")
+    g = sub.add_parser("stages")
+    g.add_argument("queries", nargs="+")
+    g.add_argument("--data", required=True)
+    g.add_argument("--out", required=True)
+    o = sub.add_parser("compare")
+    o.add_argument("left")
+    o.add_argument("right")
     v = sub.add_parser("check")
     for name in ("matches", "candidates", "records"):
         v.add_argument(f"--{name}", required=True)
@@ -86,6 +104,14 @@ def main(argv: list[str] | None = None) -> int:
     if a.what == "run":
         print("written" if run(spark, a.query, a.data, a.out, a.tsv) else "done before")
         return 0
+    if a.what == "stages":
+        for name, ran in stages(spark, a.queries, a.data, a.out):
+            print(f"{name}: {'written' if ran else 'done before'}")
+        return 0
+    if a.what == "compare":
+        only = compare(spark, a.left, a.right)
+        print(f"only left: {only[0]}, only right: {only[1]}")
+        return int(any(only))
     found = check(spark, a.matches, a.candidates, a.records, a.pool)
     for rule, n in found:
         print(f"{rule}: {n}")

@@ -183,6 +183,11 @@ def jn_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.dense_top(*split_vectors(spark, d), 10).select("q", "sim", "r")
 
 
+@query(f"WITH {DENSE} SELECT q, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s) WHERE r <= 3")
+def top_k(spark: SparkSession, d: str) -> DataFrame:
+    return dense.dense_top(*split_vectors(spark, d), 3).select("q", "sim")
+
+
 CENTERED = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(x) AS a FROM (SELECT generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e WHERE vec_id % 4 <> 0) GROUP BY 1)),
 cv AS (SELECT vec_id, list_transform(list_zip(v, mean), lambda z: z[1] - z[2]) AS v FROM e, m), s AS (SELECT a.vec_id AS q, b.vec_id AS c, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM cv a JOIN cv b ON a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0)"""
 
@@ -392,7 +397,10 @@ def met_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return metrics.recall_at(ranked(spark, d), truth(spark, d), [1, 5, 10, 20])
 
 
-@query()
+@query(f"""WITH {RANKED}, {EDGES_SQL}, pd AS (SELECT 'top5' AS rule, s1, cand FROM rk WHERE r < 5 UNION ALL SELECT 'cosine', s1, cand FROM rk WHERE cosine >= 0.9 UNION ALL SELECT 'ceiling', rk.s1, cand FROM rk JOIN edges e ON e.s1 = rk.s1 AND e.mid = cand),
+ru(rule) AS (VALUES ('nothing'), ('top5'), ('cosine'), ('ceiling')), sc AS (SELECT rule, source1_entity_id AS s1, (SELECT count(*) FROM pd WHERE pd.rule = ru.rule AND pd.s1 = source1_entity_id) AS n, (SELECT count(*) FROM edges e WHERE e.s1 = source1_entity_id) AS true_n,
+(SELECT count(*) FROM pd JOIN edges e ON e.s1 = pd.s1 AND e.mid = pd.cand WHERE pd.rule = ru.rule AND pd.s1 = source1_entity_id) AS tp FROM ru CROSS JOIN train_matches)
+SELECT rule, round(avg(CASE WHEN true_n = 0 THEN (n = 0)::INT::DOUBLE WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (0.25 * true_n + n) END), 6) AS score FROM sc GROUP BY 1""")
 def met_baselines(spark: SparkSession, d: str) -> DataFrame:
     return metrics.baselines(labelled(spark, d), ranked(spark, d).select("s1", "cand", "r", "cosine"), truth(spark, d), 5, 0.9)
 

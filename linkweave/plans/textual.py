@@ -193,11 +193,18 @@ def str_handle(spark: SparkSession, d: str) -> DataFrame:
     return one(spark, d, handle=T.is_handle(N))
 
 
-@query()
+@query(f"""WITH x AS (SELECT entity_id, coalesce(business_name, '') AS raw, {base_sql(N)} AS b, regexp_replace({base_sql(N)}, '{T.HONORIFIC}', '') AS s FROM train_source3)
+SELECT entity_id, CASE WHEN regexp_matches(raw, '[^\\x{{0000}}-\\x{{024F}}\\x{{1E00}}-\\x{{1EFF}}\\x{{2000}}-\\x{{206F}}\\x{{20A0}}-\\x{{20CF}}]') THEN 'native' WHEN regexp_extract(replace(s, ' ', ''), '{T.DOMAIN}', 1) <> '' THEN 'domain'
+WHEN regexp_matches(b, '{T.HONORIFIC}') THEN 'honorific' ELSE 'plain' END AS tag FROM x""")
 def str_casetag(spark: SparkSession, d: str) -> DataFrame:
     return one(spark, d, tag=T.case_tag(N))
 
 
+@query(r"""SELECT entity_id, CASE WHEN regexp_matches(business_name, '[\x{0900}-\x{0DFF}]') THEN business_name ELSE '' END AS native FROM train_source3""")
+def str_nativetext(spark: SparkSession, d: str) -> DataFrame:
+    return one(spark, d, native=F.when(c(N).rlike(r"[\x{0900}-\x{0DFF}]"), c(N)).otherwise(""))
+
+
 KEYS_SQL = f"""kx AS (SELECT entity_id, country, {clean_sql(N)} AS n, {clean_sql(A)} AS a FROM {{0}}), keys AS (SELECT entity_id, country, n AS name_clean, a AS addr_clean,
 nullif(regexp_extract(n, '(\\b[0-9]{{{{5,6}}}}\\b)', 1), '') AS pin, nullif(regexp_extract(a, '([0-9]{{{{1,6}}}})', 1), '') AS hnum,
 CASE WHEN length(split_part(n, ' ', 1)) >= 3 THEN split_part(n, ' ', 1) END AS first_tok,

@@ -25,3 +25,11 @@ def test_check_exit_codes(spark, tmp_path):
     assert found["matches: repeated_id"] == 1 and found["matches: unknown_id"] == 1 and found["matches: missing"] == 1 and "warning: matches outside the candidates" in found
     args = ["check", "--candidates", good, "--records", records, "--pool", pool, "--matches"]
     assert cli.main([*args, good]) == 0 and cli.main([*args, bad]) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_stages_and_compare(spark, tmp_path):
+    out = str(tmp_path / "s")
+    assert cli.stages(spark, ["agg_count", "met_macro"], SF, out) == [("agg_count", True), ("met_macro", True)]
+    assert cli.stages(spark, ["agg_count"], SF, out) == [("agg_count", False)]
+    assert cli.compare(spark, f"{out}/agg_count", f"{out}/agg_count") == (0, 0)
