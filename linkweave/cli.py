@@ -21,16 +21,16 @@ from linkweave.sources import tsv
 
 def done(spark: SparkSession, out: str, settings: dict) -> bool:
     """True if ``out`` has a manifest with these settings."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_manifest.json")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/manifest.json")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return False
-    kept = json.loads("".join(r.value for r in spark.read.text(f"{out}/_manifest.json").collect()))
+    kept = json.loads("".join(r.value for r in spark.read.text(f"{out}/manifest.json").collect()))
     return kept.get("settings") == settings
 
 
 def _manifest(spark: SparkSession, out: str, content: dict) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_manifest.json")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/manifest.json")
     stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     stream.write(bytearray(json.dumps(content).encode()))
     stream.close()
