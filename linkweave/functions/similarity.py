@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel: one word operation a letter of ``b``."""
+def _masks(a: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
+    return masks
+
+
+def _lcs(masks: dict[str, int], n: int, b: str) -> int:
+    full = row = (1 << n) - 1
     for ch in b:
-        hit = row & masks.get(ch, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+        if mask := masks.get(ch):
+            hit = row & mask
+            row = (row + hit | row - hit) & full
+    return n - row.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel: one word operation a letter of ``b``."""
+    return _lcs(_masks(a), len(a), b)
 
 
 def ratio(a: str, b: str) -> float:
@@ -35,12 +43,13 @@ def partial_ratio(a: str, b: str) -> float:
         return 0.0
     if a in b:
         return 100.0
-    n, best, letters = len(a), 0.0, set(a)
+    n, best, letters = len(a), 0.0, _masks(a)
     for i in range(1 - n, len(b)):
         w = b[max(0, i) : i + n]
         # A window that ends outside the shorter text's letters is no better than the one before it.
         if w[-1] in letters or i <= 0 or i + n > len(b):
-            best = max(best, ratio(a, w))
+            if 200.0 * sum(ch in letters for ch in w) / (n + len(w)) > best:
+                best = max(best, 200.0 * _lcs(letters, n, w) / (n + len(w)))
     return best
 
 
