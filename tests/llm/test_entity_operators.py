@@ -172,3 +172,15 @@ def test_crowded_building_keeps_its_links(parsed):
     found = {(r.a_id[3:], r.b_id[3:]) for r in variants.across(variants.variant_groups(parsed(rows)), "S2-", "S3-").collect()}
     right = {p for p in found if p[0] == p[1]}
     assert len(right) >= 85 and len(found - right) <= 5
+
+
+def test_crowded_building_meets_like_any_other(parsed):
+    filler = [f"{a}{b}{c}{d}zorvantel" for a in "bdfg" for b in "aeio" for c in "lmn" for d in "aou"][:100]
+    pairs = [(f"{a}r{b}nk", f"{a}r{c}nk") for a in "bdfgkptv" for b, c in (("a", "o"), ("i", "u"))]
+    place = "9 Oak Street, Tranjin, CO 31049"
+    rows = [(f"S2-f{i}", n, place, "US") for i, n in enumerate(filler)]
+    rows += [(f"S{2 + k}-{i}", p[k], place, "US") for i, p in enumerate(pairs) for k in (0, 1)]
+    n = variants.nodes(parsed(rows))
+    ids = {r.node: r.entity_id for r in n.collect()}
+    got = {frozenset((ids[r.a_node], ids[r.b_node])) for r in variants.candidates(n.dropDuplicates(["node"])).collect()}
+    assert len(ids) > 100 and {frozenset((f"S2-{i}", f"S3-{i}")) for i in range(len(pairs))} <= got
