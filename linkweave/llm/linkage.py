@@ -12,7 +12,7 @@ from linkweave.llm import pairs
 from linkweave.llm.records import variants
 from linkweave.sources.tables import cut
 
-#: A blocking key with more clean records than HOT is divided by own words; names alone that fit so many tell nothing apart.
+#: A blocking key with more clean records than HOT is joined in blocks of about so many.
 HOT = 64
 GROUPS = [pairs.VOTES[:4], [*pairs.VOTES[4:], "v_unique"]]
 LABELERS = [v for g in GROUPS for v in g]
@@ -26,7 +26,7 @@ def _variants(core: pd.Series) -> pd.Series:
 
 
 def keyed(parsed: DataFrame, clean: bool) -> DataFrame:
-    """``(entity_id, key, fine)``: blocking keys of each record, with what divides a key that is too common.
+    """``(entity_id, key)``: blocking keys of each record.
 
     Records of the other side use the most telling key they can: building, else street with number, else own word in the
     town, else own word in the country. The clean side has all of them. Own words come with one letter left out, so two
@@ -47,26 +47,21 @@ def keyed(parsed: DataFrame, clean: bool) -> DataFrame:
         w_keys = F.when(F.col("whole") != "", F.array_distinct(cuts))
     none = F.array().cast("array<string>")
     keys = F.concat(F.array_compact(F.array(building, number)), F.coalesce(n_keys, none), F.coalesce(m_keys, none), F.coalesce(w_keys, none))
-    fine_h = F.array_distinct(F.concat(v, F.array(F.concat(F.lit("i"), "letters"), F.concat(F.lit("s"), F.substring(F.when(F.col("site") != "", F.col("site")).otherwise(F.col("whole")), 1, 5)))))
-    rows = parsed.withColumn("variants", _variants("core")).withColumn("fine_h", fine_h)
-    out = rows.select("entity_id", "fine_h", "common", F.explode(keys).alias("key"))
-    return out.withColumn("fine", F.when(F.col("key").rlike("^[HS]"), F.col("fine_h")).otherwise(F.col("common"))).drop("fine_h", "common")
+    return parsed.withColumn("variants", _variants("core")).select("entity_id", F.explode(keys).alias("key"))
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct ``(a_id, b_id)`` of clean and other records that share a blocking key.
 
-    A key of more than HOT clean records is divided: a building by own words and initials, a name by its common words. A
-    name without a place that still fits more than HOT clean records belongs to none of them: nothing tells them apart.
+    All of them are kept, however many share a key: the label model and its rule for ties leave those unlinked that nothing
+    tells apart. A key of more than HOT clean records is spread over blocks of them, which each meet all its other records.
     """
     a, b = keyed(left, True), keyed(right, False)
-    hot = a.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key")
-    plain = a.join(hot, "key", "left_anti").select("key", F.col("entity_id").alias("a_id")).join(b.select("key", F.col("entity_id").alias("b_id")), "key").select("a_id", "b_id")
-    fine_a = a.join(hot, "key", "left_semi").select("key", F.col("entity_id").alias("a_id"), F.explode("fine").alias("f"))
-    fine_b = b.join(hot, "key", "left_semi").select("key", F.col("entity_id").alias("b_id"), F.explode("fine").alias("f"))
-    too_many = fine_a.filter(~F.col("key").rlike("^[HS]")).groupBy("key", "f").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key", "f")
-    divided = fine_a.join(too_many, ["key", "f"], "left_anti").join(fine_b, ["key", "f"]).select("a_id", "b_id")
-    return plain.unionByName(divided).distinct()
+    hot = a.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks")).filter("blocks > 1")
+    a, b = (x.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for x in (a, b))
+    x = a.select("key", F.col("entity_id").alias("a_id"), F.expr("cast(pmod(xxhash64(entity_id), blocks) as int)").alias("block"))
+    y = b.select("key", F.col("entity_id").alias("b_id"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    return x.join(y, ["key", "block"]).select("a_id", "b_id").distinct()
 
 
 def voted(left: DataFrame, right: DataFrame, found: DataFrame) -> DataFrame:

@@ -184,3 +184,11 @@ def test_crowded_building_meets_like_any_other(parsed):
     ids = {r.node: r.entity_id for r in n.collect()}
     got = {frozenset((ids[r.a_node], ids[r.b_node])) for r in variants.candidates(n.dropDuplicates(["node"])).collect()}
     assert len(ids) > 100 and {frozenset((f"S2-{i}", f"S3-{i}")) for i in range(len(pairs))} <= got
+
+
+def test_hot_name_keeps_all_its_candidates(parsed):
+    left = [(f"S1-{i}", "Zazinshon Silver Roofing", f"{i + 1} Mulgen{chr(97 + i % 26)}{chr(97 + i // 26)} Road, Dongol Falls, TX 19992", "US") for i in range(70)]
+    left.append(("S1-x", "Zazinshon Silver Roofing", "292 Sirzon Lane, Dongol Falls, TX 19991", "US"))
+    right = [("S2-1", "Zazinshon Silver Roofing", "Sirzon Lane, Dongol Falls, TX 19991", "US"), ("S2-2", "zazinshon.example", None, "US"), ("S2-3", "Zazinshon", "Dongol Falls, TX 19991", "US")]
+    got = {(r.a_id, r.b_id) for r in linkage.candidates(parsed(left), parsed(right)).collect()}
+    assert got == {(a[0], b[0]) for a in left for b in right}
