@@ -196,9 +196,9 @@ def truncated(df: DataFrame, partitions: int | None = None) -> DataFrame:
     piled = piled.select(
         "of",
         F.when(enough("at_chars"), F.col("most_chars")).alias("max_chars"),
-        F.when(~enough("at_chars") & enough("at_bytes"), F.col("most_bytes")).alias("max_bytes"),
+        F.when(enough("at_bytes"), F.col("most_bytes")).alias("max_bytes"),
     )
-    at_limit = (F.col("chars") == F.col("max_chars")) | (F.col("bytes") > F.col("max_bytes") - 4)
+    at_limit = F.coalesce(F.col("chars") == F.col("max_chars"), F.lit(False)) | F.coalesce(F.col("bytes") > F.col("max_bytes") - 4, F.lit(False))
     by_limit = rows.join(piled, F.coalesce("source", F.lit("")) == F.col("of")).filter(at_limit).select("doc_id", "source", F.lit("limit").alias("reason"))
     by_syntax = rows.filter("open").select("doc_id", "source", F.lit("syntax").alias("reason"))
     return by_prefix.unionByName(by_fragment).unionByName(by_limit).unionByName(by_syntax)

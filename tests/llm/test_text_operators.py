@@ -195,3 +195,10 @@ def test_truncated_reasons(spark):
     assert (2, "prefix") in got and (7, "syntax") in got and {d for d, _ in got} == {2, 7}
     assert truncation.truncated(df.limit(0), 4).count() == 0
     assert {r.source: r.n_truncated for r in truncation.shares(df).collect()} == {"s": 1, "t": 1, None: 0}
+
+
+def test_byte_limit_counts_beside_pile_up_of_characters(spark):
+    rows = [(i, f"{i:02d}" + "a" * 98, "s", f"c{i}") for i in range(4)] + [(10 + i, f"{i:02d}" + "\u00e9" * 49, "s", f"d{i}") for i in range(3)] + [(20, "Whole.", "s", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, commit_sha string")
+    got = {r.doc_id for r in truncation.truncated(df, 4).filter("reason = 'limit'").collect()}
+    assert got == {0, 1, 2, 3, 10, 11, 12}
