@@ -4,19 +4,28 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.sources.tables import cut
 
-#: A feed's longest length counts as its limit from this many distinct texts, or this share of them, on.
-LIMIT_TEXTS, LIMIT_SHARE = 3, 0.002
+#: A length is a limit of its source where this share of the distinct texts of that length, and so many, are found cut without it.
+LIMIT_SHARE, LIMIT_TEXTS = 0.8, 5
+#: Values a task remembers, so that what many texts hold goes out once; then it starts anew.
+SEEN = 500_000
+#: Fewest letters of a cut word: shorter ones begin too many words to tell anything.
+WORD = 4
 _HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
 _GIT = re.compile(r"diff --git a/(\S+) b/(\S+)\Z")
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
+_WORDS = re.compile(rf"\w{{{WORD},}}")
+_CUT_WORD = re.compile(rf"(?<!\w)[^\W\d]{{{WORD},}}\Z")
+_MARK = re.compile(r"[-+ ]?\s*")
+_ELLIPSIS = re.compile(r"\s*(?:…|\.\.\.)\Z")
 _TRAILER = re.compile(r"(?:Refs: (?:[0-9a-f]{0,39})|Signed-off-by: [^<>]*(?:<[^>]*)?)\Z")
 _HEADER = re.compile(r"commit [0-9a-f]*\Z|commit [0-9a-f]{40}\nA|From [0-9a-f]*\Z|From [0-9a-f]{40}\nF")
 
@@ -61,147 +70,218 @@ def diff_open(diff: str) -> bool:
             if k == len(lines) - 1 and line.startswith("Binary files ") and not line.endswith(" differ"):
                 return True
             head = None
-        elif line.startswith("@@"):
+        elif line.startswith("@@") or k == len(lines) - 1 and len(line) > 1 and "diff --git ".startswith(line):
             return True
     return old > 0 or new > 0 or head is not None
 
 
-def tail(message: str) -> tuple[str | None, bool]:
-    """The last sentence of a message that has no diff, if it can be unfinished, and whether its syntax shows it cut."""
-    line = message.rsplit("\n", 1)[-1]
+def broken_tail(message: str) -> bool:
+    """True if the last line of a message that has no diff is a cut trailer, diff header or path."""
+    before, _, line = message.rpartition("\n")
     if _TRAILER.match(line) and line.startswith(("Refs: ", "Signed-off-by: ")):
-        return None, True
-    if len(line) > 3 and "diff --git ".startswith(line):
-        return None, True
-    if line.startswith("#\t") and "." not in line.rsplit("/", 1)[-1]:
-        return None, True
-    last = _SENTENCE.split(line)[-1]
-    return (last if last and last[-1].isalnum() else None), False
+        return True
+    if "diff --git ".startswith(line) and (len(line) > 3 or line and before.rstrip("\n").endswith("\n---")):
+        return True
+    return line.startswith("#\t") and "." not in line.rsplit("/", 1)[-1]
 
 
-def _scan(id_type: str):
+def sentences(line: str) -> list[str]:
+    """Sentences of a line without what ends them, so one that lacks its full stop is the same sentence."""
+    return [x.rstrip(".!?:") for x in _SENTENCE.split(line) if x.rstrip(".!?:")]
+
+
+def digest(value: str) -> int:
+    return int.from_bytes(blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def units(text: str, commit: str | None) -> tuple[list[str], list[str], bool, bool]:
+    """What a text brings to the self-join: whole values, ends that may be cut, whether its syntax is open, whether it is a subject alone.
+
+    The first letter of a value tells its kind: ``b`` the body after its commit, ``s`` a sentence of the message, ``l`` a
+    line of the diff without its marker and indentation, ``w`` a word. Ends: the body, and of a text that may go on its
+    last sentence or line and its last word; a diff whose hunks are complete does not go on.
+    """
+    message, diff, broken = unwrap(text)
+    body = f"{message}\n\n{diff}".rstrip("\n ") if diff else message.rstrip("\n ")
+    is_open = broken or (diff_open(diff) if diff else broken_tail(message))
+    whole, ends = [], [f"b{commit or ''}\n{body}"]
+    goes_on, head = "", body
+    if diff:
+        lines = diff.split("\n")
+        if is_open:
+            goes_on = lines.pop()
+            head = text[: len(text) - len(goes_on)]
+            if len(x := _MARK.sub("", goes_on, count=1)) > 2:
+                ends.append("l" + x)
+        whole = ["l" + x for x in (_MARK.sub("", y, count=1) for y in lines) if len(x) > 2]
+        said = message.split("\n")
+    else:
+        *said, last = message.split("\n")
+        *done, goes_on = _SENTENCE.split(last)
+        dots = _ELLIPSIS.search(goes_on)
+        said += done
+        goes_on = goes_on[: dots.start()] if dots else goes_on
+        if goes_on and goes_on[-1].isalnum():
+            head = message[: message.rfind(goes_on)]
+            # After an ellipsis only a cut inside a word tells: a whole text may end with one.
+            ends.append(("t" if dots else "s") + goes_on)
+        else:
+            said.append(goes_on)
+            goes_on = ""
+    whole += ["s" + x for line in said for x in sentences(line)]
+    whole += ["w" + x for x in set(_WORDS.findall(head))]
+    if m := _CUT_WORD.search(goes_on):
+        if "\n" in body or m.group().islower():
+            ends.append("w" + m.group())
+        whole += ["w" + x for x in _WORDS.findall(goes_on[: m.start()])]
+    elif goes_on:
+        whole += ["w" + x for x in _WORDS.findall(goes_on)]
+    return whole, ends, is_open, "\n" not in body
+
+
+def _documents(id_type: str):
+    """Each document's lengths, open syntax and the digests of its ends."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for lo in range(0, batch.num_rows, 256):
-                for text in batch.column(1).slice(lo, 256).to_pylist():
-                    message, diff, broken = unwrap(text)
-                    last, cut_off = (None, False) if diff else tail(message)
-                    body = f"{message}\n\n{diff}".rstrip("\n ") if diff else message.rstrip("\n ")
-                    sentences = [s for x in message.split("\n")[: None if diff else -1] for s in _SENTENCE.split(x) if s]
-                    if not diff:
-                        sentences += _SENTENCE.split(message.rsplit("\n", 1)[-1])[:-1]
-                    for c, v in zip(cols, (body, broken or cut_off or bool(diff) and diff_open(diff), last, len(text.encode("utf-8", "replace")), sentences), strict=True):
+                piece = batch.slice(lo, 256)
+                for text, commit in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
+                    _, ends, is_open, subject = units(text, commit)
+                    row = (digest(text), len(text.encode("utf-8", "replace")), is_open, subject, [{"kind": e[0], "h": digest("s" + e[1:] if e[0] == "t" else e)} for e in ends])
+                    for c, v in zip(cols, row, strict=True):
                         c.append(v)
-            kinds = (pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.list_(pa.string()))
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.struct([("kind", pa.string()), ("h", pa.int64())])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:5], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                names=["doc_id", "source", "commit_sha", "chars", "body", "open", "last", "bytes", "sentences"],
+                names=["doc_id", "commit_sha", "source", "chars", "same", "bytes", "open", "subject", "ends"],
             )
 
-    return run, f"doc_id {id_type}, source string, commit_sha string, chars int, body string, open boolean, last string, bytes int, sentences array<string>"
+    return run, f"doc_id {id_type}, commit_sha string, source string, chars int, same bigint, bytes int, open boolean, subject boolean, ends array<struct<kind: string, h: bigint>>"
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(value, whole)`` of all texts; a value that a task has met lately goes out once."""
+    seen: set[int] = set()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            piece, values, wholes = batch.slice(lo, 256), [], []
+            for text, commit in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
+                whole, ends, _, _ = units(text, commit)
+                for kind, group in ((True, whole), (False, ["s" + e[1:] if e[0] == "t" else e for e in ends])):
+                    for v in group:
+                        if (key := hash((kind, v))) not in seen:
+                            seen.add(key)
+                            values.append(v)
+                            wholes.append(kind)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(wholes, pa.bool_())], names=["value", "whole"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted distinct values: those that the next value begins with. The first and the last value go out as edges."""
-    part, before, key, first = TaskContext.get().partitionId(), None, None, True
-    names = ["h", "part", "edge", "value", "follows"]
+    """Of sorted values: the ends that the next different value begins with. The first and the last value go out as edges.
+
+    Equal values stand together; they count as whole if one of them is. ``h`` is null for a value that is no end.
+    """
+    part, names = TaskContext.get().partitionId(), ["part", "edge", "h", "whole", "value", "follows"]
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string())
+    rows: list[tuple] = []
+    before, whole, end, first = None, False, False, None
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+    def close(value: str | None) -> None:
+        if end and value is not None and value.startswith(before):
+            rows.append((part, "inner", digest(before), whole, None, value[len(before) : len(before) + 40]))
+
+    def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for batch in batches:
-        rows = []
-        for lo in range(0, batch.num_rows, 256):
-            piece = batch.slice(lo, 256)
-            for h, value in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                if first:
-                    rows.append((h, part, "first", value, None))
-                    first = False
-                elif value.startswith(before):
-                    rows.append((key, part, "inner", None, value[len(before) : len(before) + 40]))
-                before, key = value, h
+        for lo in range(0, batch.num_rows, 1024):
+            piece = batch.slice(lo, 1024)
+            for value, is_whole in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                if value != before:
+                    if before is None:
+                        first = value
+                    else:
+                        close(value)
+                    before, whole, end = value, False, False
+                whole, end = whole or is_whole, end or not is_whole
         if rows:
-            yield out(rows)
-    if not first:
-        yield out([(key, part, "last", before, None)])
+            yield out()
+            rows.clear()
+    if before is not None:
+        rows += [(part, "first", None, None, first, None), (part, "last", digest(before) if end else None, whole, before, None)]
+        yield out()
 
 
 def strict_prefixes(values: DataFrame, partitions: int) -> DataFrame:
-    """``(h, follows)`` of each value of ``(h, value)``, distinct, that is a strict prefix of another, with what comes next there.
+    """``(h, whole, follows)`` of each end of ``(value, whole)`` that is a strict prefix of another value, with what comes next there.
 
-    Values are range-partitioned and sorted, so whatever begins with a value stands right behind it: one look at the next
-    value decides, however many values share a beginning. The first and last value of every partition (two rows each,
-    however large the data) are compared across partitions afterwards.
+    ``h`` is the value's digest, ``whole`` whether it also stands whole somewhere. Values are range-partitioned and sorted,
+    so whatever begins with a value stands right behind it: one look at the next value decides, however many values share
+    a beginning. The last value of a partition meets the first of the next one that has any: two rows a partition, put in
+    order by a window, however large the data are.
     """
     ordered = values.repartitionByRange(partitions, "value").sortWithinPartitions("value")
-    marks = cut(ordered.mapInArrow(_neighbours, "h bigint, part int, edge string, value string, follows string"))
-    inner = marks.filter("edge = 'inner'").select("h", "follows")
-    # A partition can hold one value or none: the next first value is looked up by the nearest later partition.
-    firsts = marks.filter("edge = 'first'").select(F.col("part").alias("p"), F.col("value").alias("v"))
-    lasts = marks.filter("edge = 'last'")
-    nearest = firsts.select(F.col("p")).join(lasts.select("part"), F.col("p") > F.col("part")).groupBy("part").agg(F.min("p").alias("p"))
-    across = lasts.join(nearest, "part").join(firsts, "p").filter(F.expr("startswith(v, value)"))
-    return inner.unionByName(across.select("h", F.expr("substring(v, char_length(value) + 1, 40)").alias("follows")))
+    marks = cut(ordered.mapInArrow(_neighbours, "part int, edge string, h bigint, whole boolean, value string, follows string"))
+    inner = marks.filter("edge = 'inner'").select("h", "whole", "follows")
+    edges = marks.filter("edge <> 'inner'").withColumn("later", F.lead("value").over(Window.partitionBy(F.lit(0)).orderBy("part", "edge")))
+    across = edges.filter("edge = 'last' and h is not null and startswith(later, value)")
+    return inner.unionByName(across.select("h", "whole", F.expr("substring(later, char_length(value) + 1, 40)").alias("follows")))
 
 
-def scan(df: DataFrame) -> DataFrame:
-    """One row per document with text: unwrapped body, lengths, whether its syntax is open, last fragment, whole sentences."""
-    texts = df.filter(F.col("text").rlike(r"\S")).select("doc_id", "text", "source", "commit_sha", F.char_length("text").alias("chars"))
-    run, schema = _scan(df.schema["doc_id"].dataType.simpleString())
-    return texts.mapInArrow(run, schema)
+def texts(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("text").rlike(r"\S")).select("doc_id", "text", "commit_sha", "source", F.char_length("text").alias("chars"))
 
 
 def truncated(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(doc_id, source, reason)`` of the documents whose text stops before its end.
 
-    Reasons: ``prefix`` - the unwrapped text is a strict prefix of another copy of the same commit; ``fragment`` - the last sentence is
-    a strict prefix of longer sentences elsewhere and nowhere complete; ``limit`` - the text has the length, in characters
-    or bytes, at which its source's texts pile up; ``syntax`` - a diff hunk, file header, trailer or feed header is open.
-    The first two are the prefix self-join, the others exact checks beside it. Null, empty and blank texts are no cases;
-    a null source is a source of its own; repeated documents each count; columns besides doc_id, text, source, commit_sha are ignored.
+    The prefix self-join takes all texts, whole and by parts. Reasons: ``prefix`` - the unwrapped text is a strict prefix of another copy of
+    its commit (of any text without commit, if cut inside a word); ``fragment`` - the last sentence of a message or the last line of
+    an unfinished diff is a strict prefix of longer ones elsewhere and nowhere complete; ``word`` - so is the last word.
+    Exact checks add: ``syntax`` - a diff hunk, file header, trailer or feed header is open; ``limit`` - the text has a
+    length, in characters or bytes, at which nearly all of its source's texts are found cut by the reasons before.
+
+    Null, empty and blank texts are no cases; a null source is a source of its own; repeated documents each count; other
+    columns are ignored. Equal values are sent once a task, so a line that a third of all texts hold is no hot key.
     """
     spark = df.sparkSession
     partitions = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = cut(scan(df))
-    # A message is often the beginning of another commit's, so only copies of one commit are sorted together.
-    value = F.concat_ws("\n", F.coalesce("commit_sha", F.lit("")), "body")
-    rows = rows.withColumn("h", F.xxhash64(value))
-    copies = rows.select("commit_sha", "h").distinct().groupBy("commit_sha").agg(F.count("*").alias("n")).filter("n > 1 and commit_sha is not null")
-    bodies = rows.join(copies.select("commit_sha"), "commit_sha", "left_semi").groupBy("h").agg(F.first(value).alias("value"))
-    prefix = strict_prefixes(bodies, partitions)
-    prefix = prefix.filter(F.col("follows").rlike(r"[\p{L}\p{N}]")).select("h").distinct()
-    by_prefix = rows.select("doc_id", "source", "h").join(prefix, "h").select("doc_id", "source", F.lit("prefix").alias("reason"))
-
-    whole = rows.select(F.explode("sentences").alias("value")).distinct()
-    lasts = rows.filter("last is not null").select("doc_id", "source", F.col("last").alias("value"), (~F.contains("body", F.lit("\n"))).alias("subject"))
-    parts = lasts.select("value").distinct()
-    complete = F.max("whole").alias("whole")
-    both = whole.withColumn("whole", F.lit(True)).unionByName(parts.withColumn("whole", F.lit(False))).groupBy("value").agg(complete)
-    both = cut(both.withColumn("h", F.xxhash64("value")))
-    begun = strict_prefixes(both.select("h", "value"), partitions).filter(F.col("follows").rlike(r"^[^\n]*[\p{L}\p{N}]"))
-    ended = whole.filter(F.col("value").rlike(r"[.!?:]$")).select(F.expr("left(value, char_length(value) - 1)").alias("value"))
-    open_values = both.filter("not whole").join(begun, "h").join(ended, "value", "left_anti").groupBy("value").agg(F.max(F.col("follows").rlike(r"^[\p{L}\p{N}_]")).alias("mid"))
-    # A subject alone can be whole where another goes on; it counts only when cut inside a word.
-    by_fragment = lasts.join(open_values, "value").filter("mid or not subject").select("doc_id", "source", F.lit("fragment").alias("reason"))
-
-    lengths = rows.select(F.coalesce("source", F.lit("")).alias("of"), "chars", "bytes", "h").distinct().groupBy("of", "chars", "bytes").agg(F.count("*").alias("n"))
-    tops = lengths.groupBy("of").agg(F.max("chars").alias("most_chars"), F.max("bytes").alias("most_bytes"), F.sum("n").alias("all"))
-    piled = lengths.join(tops, "of").groupBy("of", "most_chars", "most_bytes", "all").agg(
-        F.sum(F.when(F.col("chars") == F.col("most_chars"), F.col("n"))).alias("at_chars"),
-        F.sum(F.when(F.col("bytes") > F.col("most_bytes") - 4, F.col("n"))).alias("at_bytes"),
-    )
-    enough = lambda c: F.coalesce((F.col(c) >= LIMIT_TEXTS) & (F.col(c) >= LIMIT_SHARE * F.col("all")), F.lit(False))
-    piled = piled.select(
-        "of",
-        F.when(enough("at_chars"), F.col("most_chars")).alias("max_chars"),
-        F.when(enough("at_bytes"), F.col("most_bytes")).alias("max_bytes"),
+    run, schema = _documents(df.schema["doc_id"].dataType.simpleString())
+    rows = cut(texts(df).mapInArrow(run, schema))
+    begun = strict_prefixes(texts(df).mapInArrow(_values, "value string, whole boolean"), partitions)
+
+    mid = F.col("follows").rlike(r"^[\p{L}\p{M}\p{N}_]")
+    goes_on = F.col("follows").rlike(r"[\p{L}\p{N}]")
+    ends = rows.select("doc_id", "source", "subject", F.col("commit_sha").isNull().alias("alone"), F.explode("ends").alias("e")).select("*", "e.kind", "e.h").drop("e")
+    is_cut = (
+        F.when(F.col("kind") == "b", goes_on & (~F.col("alone") | mid & ~F.col("subject")))
+        .when(F.col("kind") == "s", ~F.col("whole") & goes_on & (mid | ~F.col("subject")))  # a subject can be whole where another goes on
+        .when(F.col("kind") == "t", ~F.col("whole") & mid)
+        .otherwise(~F.col("whole") & F.col("follows").rlike(r"\S"))
     )
-    at_limit = F.coalesce(F.col("chars") == F.col("max_chars"), F.lit(False)) | F.coalesce(F.col("bytes") > F.col("max_bytes") - 4, F.lit(False))
-    by_limit = rows.join(piled, F.coalesce("source", F.lit("")) == F.col("of")).filter(at_limit).select("doc_id", "source", F.lit("limit").alias("reason"))
+    reason = F.when(F.col("kind") == "b", "prefix").when(F.col("kind") == "w", "word").otherwise("fragment")
+    by_prefix = ends.join(begun, "h").filter(is_cut).select("doc_id", "source", reason.alias("reason"))
     by_syntax = rows.filter("open").select("doc_id", "source", F.lit("syntax").alias("reason"))
-    return by_prefix.unionByName(by_fragment).unionByName(by_limit).unionByName(by_syntax)
+    found = cut(by_prefix.unionByName(by_syntax).distinct())
+
+    of = F.coalesce("source", F.lit(""))
+    sized = rows.join(found.select("doc_id").distinct().withColumn("cut", F.lit(1)), "doc_id", "left").select("doc_id", "source", of.alias("of"), "chars", "bytes", "same", F.coalesce("cut", F.lit(0)).alias("cut"))
+
+    def limits(of_texts: DataFrame, unit: str) -> DataFrame:
+        full = of_texts.select("of", unit, "same", "cut").distinct().groupBy("of", unit).agg(F.avg("cut").alias("share"), F.sum("cut").alias("n"))
+        return full.filter((F.col("share") >= LIMIT_SHARE) & (F.col("n") >= LIMIT_TEXTS)).select("of", unit)
+
+    in_chars = limits(sized, "chars")
+    rest = sized.join(in_chars, ["of", "chars"], "left_anti")
+    # A text cut in bytes can end in a character of up to four, dropped or replaced by one of three.
+    in_bytes = limits(rest, "bytes").select("of", F.explode(F.sequence(F.col("bytes") - 3, F.col("bytes") + 2)).alias("bytes")).distinct()
+    at_limit = sized.join(in_chars, ["of", "chars"], "left_semi").unionByName(rest.join(in_bytes, ["of", "bytes"], "left_semi"))
+    by_limit = at_limit.select("doc_id", "source", F.lit("limit").alias("reason"))
+    return found.unionByName(by_limit)
 
 
 def shares(df: DataFrame) -> DataFrame:

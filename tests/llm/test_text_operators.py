@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkweave.llm import bpe, packing, skeleton, topn, truncation
 
@@ -172,10 +173,13 @@ def test_fill_is_whole(spark):
 
 def test_strict_prefixes_against_brute_force(spark):
     rng = random.Random(8)
-    values = sorted({"".join(rng.choice("ab\n") for _ in range(rng.randrange(1, 7))) for _ in range(150)})
-    df = spark.createDataFrame(list(enumerate(values)), "h long, value string")
-    got = {r.h for r in truncation.strict_prefixes(df, 6).collect()}
-    assert got == {i for i, v in enumerate(values) if any(w != v and w.startswith(v) for w in values)}
+    rows = [("".join(rng.choice("ab\n") for _ in range(rng.randrange(1, 7))), rng.random() < 0.5) for _ in range(300)]
+    df = spark.createDataFrame(rows, "value string, whole boolean")
+    values, ends, whole = {v for v, _ in rows}, {v for v, w in rows if not w}, {v for v, w in rows if w}
+    expected = {truncation.digest(v): v in whole for v in ends if any(w != v and w.startswith(v) for w in values)}
+    for partitions in (1, 6, 40):
+        got = truncation.strict_prefixes(df, partitions).collect()
+        assert {r.h: r.whole for r in got} == expected and len(got) == len(expected)
 
 
 def test_diff_syntax():
@@ -183,7 +187,8 @@ def test_diff_syntax():
     assert not truncation.diff_open(whole) and not truncation.diff_open(whole.rstrip("\n"))
     for n in range(11, 70):
         assert truncation.diff_open(whole[:n]), whole[:n]
-    assert truncation.tail("Fix it\n\ndiff --g") == (None, True) and truncation.tail("Fix it") == ("Fix it", False)
+    assert truncation.broken_tail("Fix it\n\ndiff --g") and truncation.broken_tail("Fix it\n---\n\ndi") and not truncation.broken_tail("Fix it")
+    assert truncation.diff_open(whole + "diff --gi") and not truncation.diff_open(whole + "-- \nend")
     assert not truncation.diff_open("diff --git a/x b/x\nindex 1..2\nBinary files a/x and b/x differ")
 
 
@@ -197,8 +202,28 @@ def test_truncated_reasons(spark):
     assert {r.source: r.n_truncated for r in truncation.shares(df).collect()} == {"s": 1, "t": 1, None: 0}
 
 
-def test_byte_limit_counts_beside_pile_up_of_characters(spark):
-    rows = [(i, f"{i:02d}" + "a" * 98, "s", f"c{i}") for i in range(4)] + [(10 + i, f"{i:02d}" + "\u00e9" * 49, "s", f"d{i}") for i in range(3)] + [(20, "Whole.", "s", "e")]
+def test_truncated_by_parts_of_other_texts(spark):
+    """Sentences, words and lines of other commits tell a cut text; null commits are compared with each other."""
+    whole = ["Fix queue\n\nCallers of the reader must pass the limit explicitly.", "Add cache\n\nThe command line client stays as it is.", "Ends with an ellipsis\n\nSo be it…", "Fix queue reader"]
+    diff = "diff --git a/x.py b/x.py\nindex 1..2 100644\n--- a/x.py\n+++ b/x.py\n@@ -1,1 +1,2 @@\n a\n+    return reader_limit(7)\n"
+    cut = ["New\n\nCallers of the reader must pass the lim", "New\n\nIt was tried in the comma", "New\n\nCallers of the reader must pass the lim…", "New\n\n" + diff.replace("+1,2", "+1,9")[:-6]]
+    rows = [(i, t, "s", f"c{i}") for i, t in enumerate([*whole, "Old\n\n" + diff])] + [(10 + i, t, "s", f"d{i}") for i, t in enumerate(cut)]
+    rows += [(20, "A message without commit\n\nThat goes on and on and on", "s", None), (21, "A message without commit\n\nThat goes on and o", "s", None), (22, None, None, None), (23, "", "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, commit_sha string").withColumn("follows", F.lit("clash"))
+    got = {}
+    for r in truncation.truncated(df, 4).collect():
+        got.setdefault(r.doc_id, set()).add(r.reason)
+    assert set(got) == {10, 11, 12, 13, 21}
+    assert "fragment" in got[10] and "word" in got[11] and "fragment" in got[12] and {"fragment", "syntax"} <= got[13] and "prefix" in got[21]
+
+
+def test_limits_follow_texts_found_cut(spark):
+    """Where nearly all texts of a length are cut, all are; a byte limit counts beside one in characters."""
+    begun = "Fix\n\nRefs: "
+    rows = [(i, begun + f"{i:x}" * 20, "s", f"c{i}") for i in range(8)] + [(9, begun.replace("Refs: ", "Whole ") + "b" * 20, "s", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, commit_sha string")
     got = {r.doc_id for r in truncation.truncated(df, 4).filter("reason = 'limit'").collect()}
-    assert got == {0, 1, 2, 3, 10, 11, 12}
+    assert got == set(range(8)) | {9}
+    accents = [(i, "\u00e9" * i + "\n\nRefs: " + "a" * (38 - 2 * i), "s", f"c{i}") for i in range(6)] + [(7, "Whole" + "\u20ac" * 14, "s", "z")]
+    df = spark.createDataFrame(accents, "doc_id long, text string, source string, commit_sha string")
+    assert {r.doc_id for r in truncation.truncated(df, 4).filter("reason = 'limit'").collect()} == {0, 1, 2, 3, 4, 5, 7}
