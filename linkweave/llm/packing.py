@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +14,8 @@ from linkweave.sources.tables import cut
 
 #: Items packed together; containers with more unused space than OPEN are emptied and packed again across blocks.
 BLOCK, OPEN = 2048, 0.01
+#: Blocks that a partition of the second round holds.
+BLOCKS = 4
 NODES, VISITS, BRANCHES = 4000, 400, 4
 
 
@@ -33,11 +35,23 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def completions(sizes: list[int], counts: list[int], start: int, room: int, allowed: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def dominated(chosen: list[int], left: int, spare: list[int]) -> bool:
+    """True if some of the ``chosen`` sizes could give way to one larger item of ``spare`` (ascending sizes) that still fits.
+
+    The items given up fit wherever that item would have gone, so the filling with it is at least as good. Giving up
+    nothing is the case that an item still fits in what is ``left``.
+    """
+    sums = {0}
+    for size in chosen:
+        sums |= {s + size for s in sums}
+    return any((at := bisect_right(spare, s)) < len(spare) and spare[at] <= s + left for s in sums)
+
+
+def completions(sizes: list[int], counts: list[int], start: int, room: int, allowed: int, visits: int | None = VISITS, branches: int | None = BRANCHES) -> list[tuple[int, list[tuple[int, int]]]]:
     """Undominated fillings of ``room`` from distinct descending ``sizes``: ``(waste, [(index, count)])``, least waste first.
 
-    Only maximal fillings are kept (nothing left over would still fit), larger sizes are tried first, a branch whose whole
-    remainder cannot bring the waste under ``allowed`` is cut, and a filling without waste ends the search.
+    Larger sizes are tried first, a branch whose whole remainder cannot bring the waste under ``allowed`` is cut, and a
+    filling without waste ends the search. ``visits`` and ``branches`` bound the search; None: all fillings.
     """
     n = len(sizes)
     rest = [0] * (n + 1)
@@ -46,18 +60,21 @@ def completions(sizes: list[int], counts: list[int], start: int, room: int, allo
     smallest = next((sizes[i] for i in range(n - 1, start - 1, -1) if counts[i]), 0)
     found: list[tuple[int, list[tuple[int, int]]]] = []
     stack: list[tuple[int, int, list[tuple[int, int]]]] = [(start, room, [])]
-    visits = 0
-    while stack and visits < VISITS:
-        visits += 1
+    seen = 0
+    while stack and (visits is None or seen < visits):
+        seen += 1
         i, left, chosen = stack.pop()
         while i < n and (sizes[i] > left or not counts[i]):
             i += 1
         if i == n or left < smallest:
-            taken = dict(chosen)
-            if left <= allowed and not any(sizes[j] <= left and counts[j] > taken.get(j, 0) for j in range(n - 1, start - 1, -1) if sizes[j] <= left):
-                found.append((left, chosen))
-                if left == 0:
-                    break
+            if left == 0:
+                found.append((0, chosen))
+                break
+            if left <= allowed:
+                taken = dict(chosen)
+                spare = [sizes[j] for j in range(n - 1, start - 1, -1) if counts[j] > taken.get(j, 0)]
+                if not dominated([sizes[j] for j, c in chosen for _ in range(c)], left, spare):
+                    found.append((left, chosen))
             continue
         if left - rest[i] > allowed:
             continue
@@ -66,15 +83,17 @@ def completions(sizes: list[int], counts: list[int], start: int, room: int, allo
         for c in range(1, most + 1):
             stack.append((i + 1, left - c * sizes[i], [*chosen, (i, c)]))
     found.sort(key=lambda f: (f[0], len(f[1])))
-    return found[:BRANCHES]
+    return found[:branches]
 
 
-def pack_block(items: list[int], capacity: int) -> list[list[int]]:
+def pack_block(items: list[int], capacity: int, exact: bool = False) -> list[list[int]]:
     """Bins of positions in ``items`` (sizes from 1 to ``capacity``), as few as the search finds; best fit is the incumbent.
 
     Around the largest item left, the undominated fillings are tried in order of waste. The search goes back when the
-    waste so far rules out fewer bins than the incumbent has, and ends at the lower bound or after NODES nodes.
+    waste so far rules out fewer bins than the incumbent has, and ends at the lower bound or, as packing is NP-hard, after
+    NODES nodes. ``exact``: it ends only when nothing is left to try, so the bins are the fewest there are (small blocks).
     """
+    nodes_most, visits, branches = (None, None, None) if exact else (NODES, VISITS, BRANCHES)
     order = sorted(range(len(items)), key=lambda i: (-items[i], i))
     desc = [items[i] for i in order]
     total = sum(desc)
@@ -95,12 +114,12 @@ def pack_block(items: list[int], capacity: int) -> list[list[int]]:
         def options() -> list:
             first = next(k for k, c in enumerate(counts) if c)
             counts[first] -= 1
-            got = completions(sizes, counts, first, capacity - sizes[first], allowed - waste)
+            got = completions(sizes, counts, first, capacity - sizes[first], allowed - waste, visits, branches)
             counts[first] += 1
             return [(w, [(first, 1), *c]) for w, c in reversed(got)]
 
         frames.append(options())
-        while frames and nodes < NODES:
+        while frames and (nodes_most is None or nodes < nodes_most):
             nodes += 1
             if not frames[-1]:
                 frames.pop()
@@ -183,13 +202,16 @@ def fill(sizes: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     ``limits`` are (limit_id, capacity) pairs, few by nature. A document larger than the capacity is cut into full
     containers and a remainder (pieces 0, 1, ...); no other is split. Null and empty texts (0 tokens) go in an existing
     container. First round: blocks of BLOCK documents as the partitions hold them, without a shuffle; second round: what
-    lies in containers with over OPEN unused space is packed again across partitions. Empty input: no rows.
+    lies in containers with over OPEN unused space is packed again across partitions, in the order of a hash, so that
+    every block has items of all sizes, and in as many partitions as its rows need. Empty input: no rows.
     """
     schema = "limit_id int, capacity int, container_id bigint, doc_id bigint, piece int, tokens int, open boolean"
     of_limit = F.explode(F.array(*[F.lit(k) for k, _ in limits]).cast("array<int>"))
     items = sizes.select(of_limit.alias("limit_id"), "doc_id", F.lit(0).alias("piece"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
     first = cut(items.mapInPandas(_pack(limits, 0), schema))
     again = first.filter("open").select("limit_id", "doc_id", "piece", "tokens")
-    again = again.repartition(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(64))).sortWithinPartitions("limit_id", F.desc("tokens"), "doc_id", "piece")
+    order = F.xxhash64("doc_id", "piece")
+    parts = max(1, again.count() // (BLOCKS * BLOCK))
+    again = again.repartition(parts, order).sortWithinPartitions(order, "doc_id", "piece")
     second = again.mapInPandas(_pack(limits, 1), schema)
     return first.filter("not open").unionByName(second).drop("open")

@@ -152,6 +152,44 @@ def test_packing_against_brute_force():
     assert more == 0
 
 
+def test_exact_packing_against_brute_force():
+    """Without bounds on the search the bins are the fewest there are, also where sizes are over an eighth of the capacity."""
+    for seed in range(150):
+        rng = random.Random(seed)
+        capacity = rng.choice([20, 50, 100])
+        sizes = sorted((rng.randrange(capacity // 8, capacity * 3 // 4) for _ in range(rng.randrange(1, 9))), reverse=True)
+        assert len(packing.pack_block(sizes, capacity, exact=True)) == least_bins_of(sizes, capacity)
+
+
+def least_bins_of(sizes, capacity):
+    best = len(sizes)
+    todo = [(0, ())]
+    while todo:
+        i, rooms = todo.pop()
+        if len(rooms) >= best and i < len(sizes):
+            continue
+        if i == len(sizes):
+            best = min(best, len(rooms))
+            continue
+        todo += [(i + 1, tuple(sorted((*rooms[:k], r - sizes[i], *rooms[k + 1 :])))) for k, r in enumerate(rooms) if r >= sizes[i]]
+        todo.append((i + 1, (*rooms, capacity - sizes[i])))
+    return best
+
+
+def test_dominated_fillings_are_left_out():
+    assert packing.dominated([3, 2], 1, [6]) and packing.dominated([3], 2, [1]) and not packing.dominated([3, 2], 0, [5]) and not packing.dominated([4], 1, [3, 6])
+    found = packing.completions([7, 5, 4, 2], [1, 1, 1, 2], 1, 10, 10, None, None)
+    assert [w for w, _ in found] == sorted(w for w, _ in found) and found[0][0] == 1
+
+
+def test_fill_reaches_the_bound_in_many_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, min(5000, max(1, int(rng.lognormvariate(5.5, 1.1))))) for i in range(30_000)]
+    out = packing.fill(spark.createDataFrame(rows, "doc_id long, tokens int").repartition(6), [(1, 512), (2, 2048)])
+    for r in out.groupBy("limit_id", "capacity").agg(F.count_distinct("container_id").alias("n"), F.sum("tokens").alias("t")).collect():
+        assert r.t == sum(t for _, t in rows) and r.n <= 1.002 * -(-r.t // r.capacity) + 1
+
+
 def test_fill_is_whole(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([None, 0, 1, 99, 100, 101, 250, rng.randrange(1, 100)])) for i in range(500)]
