@@ -35,6 +35,25 @@ def test_consistent_cases():
         assert skeleton.consistent(skeleton.consistent(given)) == expected
 
 
+def test_public_table_of_lookalikes(spark):
+    """The table reaches scripts that the built-in one lacks; words that can't be read as Latin, letters like digits and signs stay."""
+    look = skeleton.Lookalikes(skeleton.confusables(spark))
+    if not look.prototypes:
+        pytest.skip("no ICU library beside Spark")
+    cases = {
+        "\u13aalpha": "Alpha", "\ua4d0eta": "Beta", "\u2c9fne": "one", "\u03f2at": "cat", "\u041f\u0438\u0440\u043e\u0433": "\u041f\u0438\u0440\u043e\u0433", "\u03a8\u03c9\u03bc\u03af": "\u03a8\u03c9\u03bc\u03af",
+        "\uff3bA\uff3d": "[A]", "2 \u00d7 3": "2 \u00d7 3", "Caf\u00e9": "Caf\u00e9", "\u092c\u093e\u0932\u094d\u200d\u092a\u094b": "\u092c\u093e\u0932\u094d\u200d\u092a\u094b", "": "",
+    }
+    for given, expected in cases.items():
+        assert skeleton.consistent(given, look) == expected, ascii(given)
+        assert skeleton.consistent(expected, look) == expected, ascii(expected)
+    assert skeleton.skeleton("\u0406l1|", look) == skeleton.skeleton("lIl1", look) == "llll" and skeleton.skeleton("rn", look) == skeleton.skeleton("m", look)
+    assert skeleton.skeleton(None, look) is None and skeleton.skeleton("", look) == ""
+    plain = "".join(map(chr, range(32, 127)))
+    df = spark.createDataFrame([(plain,)], "value string")
+    assert df.select(skeleton._plain_skeleton(F.col("value"), look.prototypes)).first()[0] == skeleton.skeleton(plain, look)
+
+
 def test_odd_values_with_clashing_columns(spark):
     rows = [("1", "Ａ", None, "x"), ("1", "Ａ", None, "y"), ("2", "plain", "", "z"), ("3", None, "a b", None)]
     df = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, form string")
