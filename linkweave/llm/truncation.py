@@ -24,7 +24,6 @@ _GIT = re.compile(r"diff --git a/(\S+) b/(\S+)\Z")
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
 _WORDS = re.compile(rf"\w{{{WORD},}}")
 _CUT_WORD = re.compile(rf"(?<!\w)[^\W\d]{{{WORD},}}\Z")
-_MARK = re.compile(r"[-+ ]?\s*")
 _ELLIPSIS = re.compile(r"\s*(?:…|\.\.\.)\Z")
 _TRAILER = re.compile(r"(?:Refs: (?:[0-9a-f]{0,39})|Signed-off-by: [^<>]*(?:<[^>]*)?)\Z")
 _HEADER = re.compile(r"commit [0-9a-f]*\Z|commit [0-9a-f]{40}\nA|From [0-9a-f]*\Z|From [0-9a-f]{40}\nF")
@@ -94,7 +93,12 @@ def digest(value: str) -> int:
     return int.from_bytes(blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def units(text: str, commit: str | None) -> tuple[list[str], list[str], bool, bool]:
+def code(line: str) -> str:
+    """A line of a diff without its marker and indentation."""
+    return line[1:].lstrip() if line[:1] in ("+", "-") else line.lstrip()
+
+
+def units(text: str, commit: str | None, ends_only: bool = False) -> tuple[list[str], list[str], bool, bool]:
     """What a text brings to the self-join: whole values, ends that may be cut, whether its syntax is open, whether it is a subject alone.
 
     The first letter of a value tells its kind: ``b`` the body after its commit, ``s`` a sentence of the message, ``l`` a
@@ -105,15 +109,14 @@ def units(text: str, commit: str | None) -> tuple[list[str], list[str], bool, bo
     body = f"{message}\n\n{diff}".rstrip("\n ") if diff else message.rstrip("\n ")
     is_open = broken or (diff_open(diff) if diff else broken_tail(message))
     whole, ends = [], [f"b{commit or ''}\n{body}"]
-    goes_on, head = "", body
+    goes_on, head, lines = "", body, []
     if diff:
         lines = diff.split("\n")
         if is_open:
             goes_on = lines.pop()
             head = text[: len(text) - len(goes_on)]
-            if len(x := _MARK.sub("", goes_on, count=1)) > 2:
+            if len(x := code(goes_on)) > 2:
                 ends.append("l" + x)
-        whole = ["l" + x for x in (_MARK.sub("", y, count=1) for y in lines) if len(x) > 2]
         said = message.split("\n")
     else:
         *said, last = message.split("\n")
@@ -128,14 +131,13 @@ def units(text: str, commit: str | None) -> tuple[list[str], list[str], bool, bo
         else:
             said.append(goes_on)
             goes_on = ""
-    whole += ["s" + x for line in said for x in sentences(line)]
-    whole += ["w" + x for x in set(_WORDS.findall(head))]
-    if m := _CUT_WORD.search(goes_on):
-        if "\n" in body or m.group().islower():
-            ends.append("w" + m.group())
-        whole += ["w" + x for x in _WORDS.findall(goes_on[: m.start()])]
-    elif goes_on:
-        whole += ["w" + x for x in _WORDS.findall(goes_on)]
+    last = _CUT_WORD.search(goes_on)
+    if last and ("\n" in body or last.group().islower()):
+        ends.append("w" + last.group())
+    if not ends_only:
+        whole = ["l" + x for x in map(code, lines) if len(x) > 2]
+        whole += ["s" + x for line in said for x in sentences(line)]
+        whole += ["w" + x for x in {*_WORDS.findall(head), *_WORDS.findall(goes_on[: last.start() if last else None])}]
     return whole, ends, is_open, "\n" not in body
 
 
@@ -148,7 +150,7 @@ def _documents(id_type: str):
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
                 for text, commit in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
-                    _, ends, is_open, subject = units(text, commit)
+                    _, ends, is_open, subject = units(text, commit, ends_only=True)
                     row = (digest(text), len(text.encode("utf-8", "replace")), is_open, subject, [{"kind": e[0], "h": digest("s" + e[1:] if e[0] == "t" else e)} for e in ends])
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
@@ -163,20 +165,20 @@ def _documents(id_type: str):
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(value, whole)`` of all texts; a value that a task has met lately goes out once."""
-    seen: set[int] = set()
+    seen: tuple[set[int], set[int]] = (set(), set())
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             piece, values, wholes = batch.slice(lo, 256), [], []
             for text, commit in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
                 whole, ends, _, _ = units(text, commit)
-                for kind, group in ((True, whole), (False, ["s" + e[1:] if e[0] == "t" else e for e in ends])):
-                    for v in group:
-                        if (key := hash((kind, v))) not in seen:
-                            seen.add(key)
-                            values.append(v)
-                            wholes.append(kind)
-            if len(seen) > SEEN:
-                seen.clear()
+                for kind, group in ((1, whole), (0, ["s" + e[1:] if e[0] == "t" else e for e in ends])):
+                    new = {h: v for v in group if (h := hash(v)) not in seen[kind]}
+                    seen[kind].update(new)
+                    values += new.values()
+                    wholes += [kind == 1] * len(new)
+            if len(seen[0]) + len(seen[1]) > SEEN:
+                seen[0].clear()
+                seen[1].clear()
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(wholes, pa.bool_())], names=["value", "whole"])
 
 
