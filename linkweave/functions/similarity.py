@@ -2,73 +2,34 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _masks(a: str) -> dict[str, int]:
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    return masks
-
-
-def _lcs(masks: dict[str, int], n: int, b: str) -> int:
-    full = row = (1 << n) - 1
-    for ch in b:
-        if mask := masks.get(ch):
-            hit = row & mask
-            row = (row + hit | row - hit) & full
-    return n - row.bit_count()
-
-
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel: one word operation a letter of ``b``."""
-    return _lcs(_masks(a), len(a), b)
+from linkweave.functions.ratios import partial_many, ratio_many, token_set_many, token_sort_many
 
 
 def ratio(a: str, b: str) -> float:
     """200 times the common subsequence over both lengths."""
-    n = len(a) + len(b)
-    return 200.0 * lcs(a, b) / n if n else 100.0
+    return float(ratio_many([a], [b])[0])
 
 
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter text with a window of the longer, windows at the ends included."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 0.0
-    if a in b:
-        return 100.0
-    n, best, letters = len(a), 0.0, _masks(a)
-    for i in range(1 - n, len(b)):
-        w = b[max(0, i) : i + n]
-        # A window that ends outside the shorter text's letters is no better than the one before it.
-        if w[-1] in letters or i <= 0 or i + n > len(b):
-            if 200.0 * sum(ch in letters for ch in w) / (n + len(w)) > best:
-                best = max(best, 200.0 * _lcs(letters, n, w) / (n + len(w)))
-    return best
+    return float(partial_many([a], [b])[0])
 
 
 def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return float(token_sort_many([a], [b])[0])
 
 
 def token_set_ratio(a: str, b: str) -> float:
     """100 where words are shared and one side adds none, else the best of the shared words with either side and both sides."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
-    if both and (not left or not right):
-        return 100.0
-    s, l, r = " ".join(both), " ".join(left), " ".join(right)
-    with_l, with_r = f"{s} {l}".strip(), f"{s} {r}".strip()
-    best = ratio(with_l, with_r)
-    return max(best, ratio(s, with_l), ratio(s, with_r)) if both else best
+    return float(token_set_many([a], [b])[0])
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -101,15 +62,25 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * same * (1 - jaro)
 
 
-def _pairwise(f):
+def _pairwise(many):
+    """A column of a function of many pairs; null where a side is null or empty. A pair that repeats in a batch is done once."""
+
     @F.pandas_udf(T.DoubleType())
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y) if x and y else None for x, y in zip(a, b, strict=True)], dtype="float64")
+        at: dict[tuple[str, str], int] = {}
+        place = [at.setdefault((x, y), len(at)) if x and y else -1 for x, y in zip(a, b, strict=True)]
+        left, right = [x for x, _ in at], [y for _, y in at]
+        values = np.append(np.asarray(many(left, right), float), np.nan)
+        return pd.Series(values[place]) if len(place) else pd.Series([], dtype="float64")
 
     return udf
 
 
-ratio_col, partial_col, token_sort_col, token_set_col, jaro_winkler_col = map(_pairwise, (ratio, partial_ratio, token_sort_ratio, token_set_ratio, jaro_winkler))
+def _jaro_winkler_many(a: list[str], b: list[str]) -> list[float]:
+    return [jaro_winkler(x, y) for x, y in zip(a, b, strict=True)]
+
+
+ratio_col, partial_col, token_sort_col, token_set_col, jaro_winkler_col = map(_pairwise, (ratio_many, partial_many, token_sort_many, token_set_many, _jaro_winkler_many))
 
 
 def same(a: Column, b: Column) -> Column:
@@ -182,15 +153,28 @@ def idf_overlap_typo(a: list[str], wa: list[float], b: list[str], wb: list[float
     return both / (both + sum(left.values()) + sum(right.values())), both / sum(x.values()), max(left.values(), default=0.0), max(right.values(), default=0.0)
 
 
+@lru_cache(maxsize=1_000_000)
+def _letters(word: str) -> int:
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+@lru_cache(maxsize=1_000_000)
 def _near(a: str, b: str) -> bool:
     if len(a) < 4 or len(b) < 4 or abs(len(a) - len(b)) > 2 or not (a.isalpha() and b.isalpha()):
         return False
+    # Every letter that one word lacks takes an edit.
+    most, x, y = 1 if len(a) < 6 else 2, _letters(a), _letters(b)
+    if (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
+        return False
     row = list(range(len(b) + 1))
     for i, p in enumerate(a, 1):
         last, row = row, [i]
         for j, q in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q)))
-    return row[-1] <= (1 if len(a) < 6 else 2)
+    return row[-1] <= most
 
 
 @F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in ("jaccard", "cover", "miss_s1", "miss_cand")]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import similarity as S
 from linkweave.functions import text as T
+from linkweave.sources.tables import cut
 
 
 def word_weights(records: DataFrame, column: str = "business_name") -> tuple[DataFrame, DataFrame]:
@@ -89,7 +90,7 @@ def pair_features(bucket: DataFrame, left: DataFrame, right: DataFrame) -> DataF
     Everything that depends on one record is made once a record, before the pairs; candidate-side statistics come from
     the whole bucket table, before any sampling. Two Arrow passes (text ratios, typo overlap); the rest is native.
     """
-    from linkweave.operators.windows import candidate_side
+    from linkweave.operators.windows import candidate_side, dominated
 
     sizes = left.groupBy("country").agg(F.count("*").alias("n"))
 
@@ -150,9 +151,9 @@ def pair_features(bucket: DataFrame, left: DataFrame, right: DataFrame) -> DataF
         relative[f"{k}_rank"] = F.when(F.col(k).isNotNull(), F.rank().over(w.orderBy(F.col(k).desc_nulls_last())) - 1)
     twins = lambda k: F.sum(F.when(F.col(k) >= 90, 1).otherwise(0)).over(w)
     f = f.withColumns({**relative, "n_name_twins": twins("name_token_set"), "n_addr_twins": twins("addr_token_set"), "_name": F.coalesce("name_token_set", F.lit(-1.0)), "_addr": F.coalesce("addr_token_set", F.lit(-1.0))})
-    peers = F.collect_list(F.struct("_name", "_addr")).over(w)
-    better = F.size(F.filter(peers, lambda q: (q["_name"] >= F.col("_name")) & (q["_addr"] >= F.col("_addr") + 10)))
-    f = f.withColumn("better_addr_same_name", better)
+    f = cut(f)
+    better = dominated(f.select("s1", "cand", "_name", "_addr"), "s1", "cand", "_name", "_addr", 10.0)
+    f = f.join(better.withColumnRenamed("better", "better_addr_same_name"), ["s1", "cand"])
     columns = FEATURES()
     return f.select("s1", "cand", "country", *columns)
 

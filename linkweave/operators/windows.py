@@ -35,8 +35,26 @@ def competition_rank(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def dominated(df: DataFrame, group: str, item: str, a: str, b: str, by: float) -> DataFrame:
-    """``better``: peers of the group with ``a`` no less and ``b`` at least ``by`` more. Groups are buckets of bounded size."""
-    y = df.select(F.col(group), F.col(item).alias("_i"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    j = df.join(y, group, "left")
-    ahead = (F.col("_i") != F.col(item)) & (F.col("_a") >= F.col(a)) & (F.col("_b") >= F.col(b) + by)
-    return j.groupBy(group, item).agg(F.count_if(ahead).alias("better"))
+    """``better``: how many peers of its group have ``a`` no less and ``b`` at least ``by`` (over 0) more; ``(group, item, better)``.
+
+    No pair of peers is ever made. Peers stand in the order of falling ``a``, so those with ``a`` no less are a head of
+    that order, and a head is at most one block of each power of two. A peer is listed in the blocks that hold it, a row
+    in the blocks of its head, and within a block a running count over falling ``b`` tells how many peers are ahead: rows
+    times the logarithm of the group's size, however large it is. ``item`` must be unique in its group; a row with null
+    ``a`` or ``b`` is no peer and has none.
+    """
+    whole = Window.partitionBy(group)
+    order = whole.orderBy(F.desc("_a"), "_i")
+    x = df.select(F.col(group), F.col(item).alias("_i"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    known = x.filter("_a IS NOT NULL AND _b IS NOT NULL")
+    heads = whole.orderBy(F.desc("_a")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = known.select("*", (F.row_number().over(order) - 1).alias("_at"), F.count("*").over(heads).alias("_head"), F.count("*").over(whole).alias("_all"))
+    levels = "sequence(0, char_length(bin(_all)) - 1)"
+    # A head uses blocks of even number only: block 2j of a level where its size has that level's bit.
+    held = f"transform(filter({levels}, k -> (shiftright(_at, k) & 1) = 0), k -> struct(k AS level, shiftright(_at, k) AS block, _b AS value, 1 AS peer))"
+    asked = f"transform(filter({levels}, k -> (shiftright(_head, k) & 1) = 1), k -> struct(k AS level, 2 * shiftright(_head, k + 1) AS block, _b + {float(by)!r}D AS value, 0 AS peer))"
+    rows = placed.select(group, "_i", F.explode(F.expr(f"concat({held}, {asked})")).alias("x")).select(group, "_i", "x.*")
+    ahead = Window.partitionBy(group, "level", "block").orderBy(F.desc("value"), F.desc("peer")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = rows.withColumn("_n", F.sum("peer").over(ahead)).filter("peer = 0").groupBy(group, "_i").agg(F.sum("_n").alias("better"))
+    unknown = x.filter("_a IS NULL OR _b IS NULL").select(group, "_i", F.lit(0).cast("long").alias("better"))
+    return counts.unionByName(unknown).withColumnRenamed("_i", item)

@@ -145,13 +145,13 @@ def lim_head(spark: SparkSession, d: str) -> DataFrame:
 # ---- joins
 
 
-@query(f"""WITH {S1_SQL}, {POOL_SQL}, a AS (SELECT entity_id, country, nullif(regexp_extract(business_address, '([0-9]{{5,6}})', 1), '') AS pin FROM s1 WHERE business_name LIKE '%Services%'),
-b AS (SELECT entity_id, country, nullif(regexp_extract(business_address, '([0-9]{{5,6}})', 1), '') AS pin FROM pool WHERE business_name LIKE '%Services%')
+@query(f"""WITH {S1_SQL}, {POOL_SQL}, a AS (SELECT entity_id, country, nullif(regexp_extract(business_address, '([0-9]{{5,6}})', 1), '') AS pin FROM s1),
+b AS (SELECT entity_id, country, nullif(regexp_extract(business_address, '([0-9]{{5,6}})', 1), '') AS pin FROM pool)
 SELECT a.entity_id AS s1, b.entity_id AS cand, a.pin FROM a JOIN b ON a.country = b.country AND a.pin = b.pin""")
 def jn_inner_key(spark: SparkSession, d: str) -> DataFrame:
     pin = F.nullif(F.regexp_extract("business_address", "([0-9]{5,6})", 1), F.lit(""))
-    a = X.s1(spark, d).filter("business_name LIKE '%Services%'").select(c("entity_id").alias("s1"), "country", pin.alias("pin"))
-    b = X.pool(spark, d).filter("business_name LIKE '%Services%'").select(c("entity_id").alias("cand"), "country", pin.alias("pin"))
+    a = X.s1(spark, d).select(c("entity_id").alias("s1"), "country", pin.alias("pin"))
+    b = X.pool(spark, d).select(c("entity_id").alias("cand"), "country", pin.alias("pin"))
     return a.join(b, ["country", "pin"]).select("s1", "cand", "pin")
 
 
@@ -414,10 +414,10 @@ def win_twins(spark: SparkSession, d: str) -> DataFrame:
     return X.buckets(spark, d).select("s1", "cand", n.cast("int").alias("twins"))
 
 
-@query(f"""WITH {BUCKET_SQL}, x AS (SELECT s1, cand, coalesce(score, -1) AS a, coalesce(cosine, -1) AS b FROM bk WHERE rank < 20)
+@query(f"""WITH {BUCKET_SQL}, x AS (SELECT s1, cand, coalesce(score, -1) AS a, coalesce(cosine, -1) AS b FROM bk)
 SELECT x.s1, x.cand, count(y.cand) AS better FROM x LEFT JOIN x y ON y.s1 = x.s1 AND y.cand <> x.cand AND y.a >= x.a AND y.b >= x.b + 0.05 GROUP BY 1, 2""")
 def win_dominated(spark: SparkSession, d: str) -> DataFrame:
-    x = X.buckets(spark, d).filter("rank < 20").select("s1", "cand", F.coalesce("score", F.lit(-1.0)).alias("a"), F.coalesce("cosine", F.lit(-1.0)).alias("b"))
+    x = X.buckets(spark, d).select("s1", "cand", F.coalesce("score", F.lit(-1.0)).alias("a"), F.coalesce("cosine", F.lit(-1.0)).alias("b"))
     return W.dominated(x, "s1", "cand", "a", "b", 0.05)
 
 
