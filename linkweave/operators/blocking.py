@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,39 +85,100 @@ def by_country(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def grams(df: DataFrame, text: str, n: int = 3) -> DataFrame:
-    """``(entity_id, gram, tf)``: character n-grams of each word with a space on either side, sublinear frequency ``1 + ln tf``."""
+    """``(entity_id, country, gram, tf)``: character n-grams of each word with a space on either side, sublinear frequency ``1 + ln tf``."""
     word = F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("w")
-    padded = df.select("entity_id", word).select("entity_id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
+    padded = df.select("entity_id", "country", word).select("entity_id", "country", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w") - (n - 1))))
-    cuts = padded.select("entity_id", "w", at.alias("i")).select("entity_id", F.col("w").substr(F.col("i"), F.lit(n)).alias("gram"))
-    return cuts.groupBy("entity_id", "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
+    cuts = padded.select("entity_id", "country", "w", at.alias("i")).select("entity_id", "country", F.col("w").substr(F.col("i"), F.lit(n)).alias("gram"))
+    return cuts.groupBy("entity_id", "country", "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
 
 
 def tfidf(left: DataFrame, right: DataFrame, text: str, min_df: int = 2, max_df: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """Unit TF-IDF vectors ``(entity_id, gram, w)`` of both sides, with smooth idf and grams from ``min_df`` records to ``max_df`` of all.
+    """Unit TF-IDF vectors ``(entity_id, country, gram, w)`` of both sides, with smooth idf and grams from ``min_df`` records to ``max_df`` of all.
 
-    Grams too common to be in the vocabulary never reach the posting join, which bounds it.
+    Each country has its own vocabulary, of the records of both sides. A null text has no grams.
     """
     a, b = grams(left, text), grams(right, text)
-    n = left.select("entity_id").unionAll(right.select("entity_id")).agg(F.count("*").alias("n"))
-    df = a.select("gram").unionAll(b.select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    vocab = df.crossJoin(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    vocab = vocab.select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = left.select("country").unionAll(right.select("country")).groupBy("country").agg(F.count("*").alias("n"))
+    df = a.select("country", "gram").unionAll(b.select("country", "gram")).groupBy("country", "gram").agg(F.count("*").alias("df"))
+    vocab = df.join(n, "country").filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    vocab = vocab.select("country", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
     def unit(x: DataFrame) -> DataFrame:
-        y = x.join(vocab, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-        return y.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("entity_id")))).select("entity_id", "gram", "w")
+        y = x.join(vocab, ["country", "gram"]).withColumn("w", F.col("tf") * F.col("idf"))
+        return y.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("entity_id")))).select("entity_id", "country", "gram", "w")
 
     return unit(a), unit(b)
 
 
-def sparse_top(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """``(s1, cand, sim, r)``: the k most similar of each record by dot product over shared grams; ties by smaller id."""
-    x = a.select(F.col("entity_id").alias("s1"), "gram", F.col("w").alias("wa"))
-    y = b.select(F.col("entity_id").alias("cand"), "gram", F.col("w").alias("wb"))
-    sims = x.join(y, "gram").groupBy("s1", "cand").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("sim"))
+#: Records that one block of a sparse search holds.
+SPARSE_BLOCK = 8192
+
+
+def sparse_top(a: DataFrame, b: DataFrame, k: int, least: float = 0.0, block: int = SPARSE_BLOCK) -> DataFrame:
+    """``(s1, cand, sim, r)``: the k most similar records of one country by dot product over shared grams, over ``least``; ties by smaller id.
+
+    ``a`` and ``b``: vectors (entity_id, country, gram, w). The product is taken in blocks: a block holds the posting lists
+    of about ``block`` records of ``b``, each record of ``a`` goes once to each block of its country and gets k records
+    back. What is shuffled is records times blocks; the hits of a common gram meet inside a task, as sums in an array,
+    and are never rows, so a posting list that grows with the data costs no shuffle.
+    """
+    vector = lambda x, t: x.groupBy("country", "entity_id").agg(F.collect_list(F.xxhash64("gram")).alias("g"), F.collect_list("w").alias("w")).withColumn("t", F.lit(t))
+    left, right = vector(a, 1), vector(b, 0)
+    sizes = b.groupBy("country").agg(F.ceil(F.approx_count_distinct("entity_id") / block).cast("int").alias("blocks"))
+    mine = right.join(sizes, "country").withColumn("b", F.expr("cast(pmod(xxhash64(entity_id), blocks) as int)")).drop("blocks")
+    asked = left.join(sizes, "country").withColumn("b", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    tasks = max(1, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = mine.unionByName(asked).repartition(tasks, "country", "b").sortWithinPartitions("country", "b", "t", "entity_id")
+    found = rows.mapInPandas(_sparse_products(k, least), "s1 string, cand string, sim double")
     n = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("sim"), "cand"))
-    return sims.withColumn("n", n).filter(F.col("n") <= k).select("s1", "cand", "sim", (F.col("n") - 1).alias("r"))
+    return found.withColumn("n", n).filter(F.col("n") <= k).select("s1", "cand", "sim", (F.col("n") - 1).alias("r"))
+
+
+def _sparse_products(k: int, least: float):
+    def postings(parts: list[pd.DataFrame]) -> tuple:
+        """Ids, sorted grams, where each gram's postings begin, and the postings: place and weight."""
+        ids = np.concatenate([p.entity_id.to_numpy() for p in parts])
+        sizes = np.concatenate([p.g.map(len).to_numpy() for p in parts])
+        gram, weight = (np.concatenate([x for p in parts for x in p[c]]) for c in ("g", "w"))
+        place = np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(gram, kind="stable")
+        known, begin = np.unique(gram[order], return_index=True)
+        return ids, known, np.append(begin, len(gram)), place[order], weight[order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, parts, index = None, [], None
+        for df in batches:
+            for key, part in df.groupby(["country", "b"], sort=False, dropna=False):
+                if key != of:
+                    of, parts, index = key, [], None
+                if len(mine := part[part.t == 0]):
+                    parts.append(mine)
+                if not len(asked := part[part.t == 1]) or not parts:
+                    continue
+                index = index or postings(parts)
+                ids, known, begin, place, weight = index
+                q, c, sims = [], [], []
+                for name, gram, w in zip(asked.entity_id, asked.g, asked.w, strict=True):
+                    at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                    hit = known[at] == gram
+                    lists = [(begin[i], begin[i + 1], x) for i, x in zip(at[hit], w[hit], strict=True)]
+                    if not lists:
+                        continue
+                    where = np.concatenate([place[lo:hi] for lo, hi, _ in lists])
+                    total = np.round(np.bincount(where, np.concatenate([weight[lo:hi] * x for lo, hi, x in lists])), 6)
+                    some = np.unique(where)
+                    some = some[total[some] > least] if least else some
+                    if len(some) > k:
+                        some = some[total[some] >= -np.partition(-total[some], k - 1)[k - 1]]
+                    # Ids are ascending: of equals the first places have the smaller ones.
+                    some = some[np.lexsort((some, -total[some]))][:k]
+                    q += [name] * len(some)
+                    c += ids[some].tolist()
+                    sims += total[some].tolist()
+                yield pd.DataFrame({"s1": q, "cand": c, "sim": np.array(sims, float)})
+
+    return run
 
 
 def union_searches(searches: dict[str, DataFrame]) -> DataFrame:

@@ -31,24 +31,24 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 
 ARMS = " UNION ALL ".join(f"SELECT entity_id, country, '{k}:' || {k} AS k, {p} AS prio FROM keys WHERE {k} IS NOT NULL" for k, p in blocking.PRIORITY.items() if k != "tok")
 LONG = f"{ARMS} UNION ALL SELECT entity_id, country, 'tok:' || t, 2 FROM (SELECT entity_id, country, unnest(string_split(name_clean, ' ')) AS t FROM keys) WHERE length(t) >= 4"
-LEX = f"""a AS (WITH {keys_sql('train_source1')} {LONG}), b AS (WITH {POOL_SQL}, {keys_sql('pool')} {LONG}), stop AS (SELECT country, k FROM b GROUP BY 1, 2 HAVING count(*) > 100),
+LEX = f"""a AS (WITH {keys_sql('train_source1')} {LONG}), b AS (WITH {POOL_SQL}, {keys_sql('pool')} {LONG}), stop AS (SELECT country, k FROM b GROUP BY 1, 2 HAVING count(*) > 2000),
 pr AS (SELECT a.entity_id AS s1, b.entity_id AS cand, count(*) AS nkeys, min(a.prio)::INT AS best_prio FROM a JOIN b USING (country, k) WHERE NOT EXISTS (SELECT 1 FROM stop s WHERE s.country = a.country AND s.k = a.k) GROUP BY 1, 2),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY nkeys DESC, best_prio, cand) AS n FROM pr) WHERE n <= 30)"""
 
 
 @query(f"WITH {LEX} SELECT s1, cand, nkeys, best_prio FROM pr")
 def agg_pairkeys(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.lexical_pairs(X.s1(spark, d), X.pool(spark, d), 100)
+    return blocking.lexical_pairs(X.s1(spark, d), X.pool(spark, d))
 
 
 @query(f"WITH {LEX} SELECT s1, cand, nkeys, best_prio FROM top")
 def blk_lex(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.lexical_block(X.s1(spark, d), X.pool(spark, d), 30, 100)
+    return blocking.lexical_block(X.s1(spark, d), X.pool(spark, d), 30)
 
 
 @query(f"WITH {LEX} SELECT s.entity_id AS s1, coalesce(string_agg(cand, ',' ORDER BY nkeys DESC, cand), '') AS ids FROM train_source1 s LEFT JOIN top ON top.s1 = s.entity_id GROUP BY 1")
 def blk_lex_lists(spark: SparkSession, d: str) -> DataFrame:
-    top = blocking.lexical_block(X.s1(spark, d), X.pool(spark, d), 30, 100).withColumn("p", c("nkeys"))
+    top = blocking.lexical_block(X.s1(spark, d), X.pool(spark, d), 30).withColumn("p", c("nkeys"))
     lists = decide.ordered_lists(top)
     return X.s1(spark, d).select(c("entity_id").alias("s1")).join(lists, "s1", "left").select("s1", F.coalesce("ids", F.lit("")).alias("ids"))
 
@@ -104,54 +104,61 @@ def blk_number(spark: SparkSession, d: str) -> DataFrame:
     return number_search(spark, d)
 
 
-def tfidf_sql(a: str, b: str) -> str:
-    """Unit 3-gram vectors ga and gb of the texts of two relations (entity_id, t)."""
-    gram = "SELECT entity_id, gram, 1 + ln(count(*)) AS tf FROM (SELECT entity_id, substr(w, i, 3) AS gram FROM (SELECT entity_id, w, unnest(range(1, greatest(1, length(w) - 2) + 1)) AS i FROM (SELECT entity_id, ' ' || w || ' ' AS w FROM (SELECT entity_id, unnest(regexp_split_to_array(lower(t), '\\s+')) AS w FROM {0}) WHERE w <> ''))) GROUP BY 1, 2"
-    return f"""ta AS ({gram.replace('{0}', a)}), tb AS ({gram.replace('{0}', b)}), nn AS (SELECT (SELECT count(*) FROM {a}) + (SELECT count(*) FROM {b}) AS n),
-voc AS (SELECT gram, ln((1 + n) / (1.0 + count(*))) + 1 AS idf FROM (SELECT gram FROM ta UNION ALL SELECT gram FROM tb), nn GROUP BY gram, n HAVING count(*) >= 2 AND count(*) <= 0.02 * n),
-wa AS (SELECT entity_id, gram, tf * idf AS w FROM ta JOIN voc USING (gram)), wb AS (SELECT entity_id, gram, tf * idf AS w FROM tb JOIN voc USING (gram)),
-ga AS (SELECT entity_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM wa), gb AS (SELECT entity_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM wb)"""
+def tfidf_sql(a: str, b: str, ga: str = "ga", gb: str = "gb") -> str:
+    """Unit 3-gram vectors of the texts of two relations (entity_id, country, t), each country with its own vocabulary."""
+    gram = "SELECT entity_id, country, gram, 1 + ln(count(*)) AS tf FROM (SELECT entity_id, country, substr(w, i, 3) AS gram FROM (SELECT entity_id, country, w, unnest(range(1, greatest(1, length(w) - 2) + 1)) AS i FROM (SELECT entity_id, country, ' ' || w || ' ' AS w FROM (SELECT entity_id, country, unnest(regexp_split_to_array(lower(t), '\\s+')) AS w FROM {0}) WHERE w <> ''))) GROUP BY ALL"
+    return f"""t{ga} AS ({gram.replace('{0}', a)}), t{gb} AS ({gram.replace('{0}', b)}), n{ga} AS (SELECT country, count(*) AS n FROM (SELECT country FROM {a} UNION ALL SELECT country FROM {b}) GROUP BY 1),
+v{ga} AS (SELECT country, gram, ln((1 + n) / (1.0 + count(*))) + 1 AS idf FROM (SELECT country, gram FROM t{ga} UNION ALL SELECT country, gram FROM t{gb}) JOIN n{ga} USING (country) GROUP BY country, gram, n HAVING count(*) >= 2 AND count(*) <= 0.02 * n),
+w{ga} AS (SELECT entity_id, country, gram, tf * idf AS w FROM t{ga} JOIN v{ga} USING (country, gram)), w{gb} AS (SELECT entity_id, country, gram, tf * idf AS w FROM t{gb} JOIN v{ga} USING (country, gram)),
+{ga} AS (SELECT entity_id, country, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM w{ga}), {gb} AS (SELECT entity_id, country, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM w{gb})"""
 
 
 def top_sql(k: int, a: str = "ga", b: str = "gb") -> str:
-    return f"(SELECT s1, cand, sim, (r - 1)::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY sim DESC, cand) AS r FROM (SELECT x.entity_id AS s1, y.entity_id AS cand, round(sum(x.w * y.w), 6) AS sim FROM {a} x JOIN {b} y USING (gram) GROUP BY 1, 2)) WHERE r <= {k})"
+    return f"(SELECT s1, cand, sim, (r - 1)::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY sim DESC, cand) AS r FROM (SELECT x.entity_id AS s1, y.entity_id AS cand, round(sum(x.w * y.w), 6) AS sim FROM {a} x JOIN {b} y USING (country, gram) GROUP BY 1, 2)) WHERE r <= {k})"
 
 
-INDIA = "ia AS (SELECT entity_id, business_name AS t FROM train_source1 WHERE country = 'India'), ib AS (SELECT entity_id, business_name AS t FROM pool WHERE country = 'India')"
+NAMED = "ia AS (SELECT entity_id, country, business_name AS t FROM train_source1), ib AS (SELECT entity_id, country, business_name AS t FROM pool)"
 
 
-def india(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = lambda x: x.filter("country = 'India'").select("entity_id", c(N).alias("t"))
+def name_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = lambda x: x.select("entity_id", "country", c(N).alias("t"))
     return blocking.tfidf(t(X.s1(spark, d)), t(X.pool(spark, d)), "t")
 
 
-@query(f"WITH {POOL_SQL}, {INDIA}, {tfidf_sql('ia', 'ib')} SELECT entity_id, gram, round(w, 5) AS w FROM ga")
+@query(f"WITH {POOL_SQL}, {NAMED}, {tfidf_sql('ia', 'ib')} SELECT entity_id, gram, round(w, 5) AS w FROM ga UNION ALL SELECT entity_id, gram, round(w, 5) FROM gb")
 def sim_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return india(spark, d)[0].select("entity_id", "gram", F.round("w", 5).alias("w"))
+    a, b = name_vectors(spark, d)
+    return a.unionByName(b).select("entity_id", "gram", F.round("w", 5).alias("w"))
 
 
-@query(f"WITH {POOL_SQL}, {INDIA}, {tfidf_sql('ia', 'ib')} SELECT s1, sim, r FROM {top_sql(5)}")
+@query(f"WITH {POOL_SQL}, {NAMED}, {tfidf_sql('ia', 'ib')} SELECT s1, cand, sim, r FROM {top_sql(5)}")
 def blk_name3g(spark: SparkSession, d: str) -> DataFrame:
-    a, b = india(spark, d)
-    return blocking.sparse_top(a, b, 5).select("s1", "sim", "r")
+    return blocking.sparse_top(*name_vectors(spark, d), 5)
 
 
-@query(f"WITH {POOL_SQL}, {INDIA}, {tfidf_sql('ia', 'ib')} SELECT x.entity_id AS s1, y.entity_id AS cand, round(sum(x.w * y.w), 4) AS sim FROM ga x JOIN gb y USING (gram) GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.80005")
+@query(f"WITH {POOL_SQL}, {NAMED}, {tfidf_sql('ia', 'ib')} SELECT s1 AS cand, cand AS s1, sim, r FROM {top_sql(10, 'gb', 'ga')}")
 def jn_sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    a, b = india(spark, d)
-    return blocking.sparse_top(a, b, 1 << 30).filter("sim > 0.80005").select("s1", "cand", F.round("sim", 4).alias("sim"))
+    a, b = name_vectors(spark, d)
+    return blocking.sparse_top(b, a, 10).select(c("s1").alias("cand"), c("cand").alias("s1"), "sim", "r")
 
 
-EMPTY = "ea AS (SELECT entity_id, business_name AS t FROM train_source1), eb AS (SELECT entity_id, business_name AS t FROM pool WHERE trim(coalesce(business_address, '')) IN ('', '-', 'N/A'))"
+EMPTY = "ea AS (SELECT entity_id, country, business_name AS t FROM train_source1), eb AS (SELECT entity_id, country, business_name AS t FROM pool WHERE trim(coalesce(business_address, '')) IN ('', '-', 'N/A'))"
 
 
-@query(f"WITH {POOL_SQL}, {EMPTY}, {tfidf_sql('ea', 'eb')} SELECT 's1' AS side, s1 AS id, sim, r FROM {top_sql(2)} UNION ALL SELECT 'cand', s1, sim, r FROM {top_sql(3, 'gb', 'ga')}")
-def blk_empty(spark: SparkSession, d: str) -> DataFrame:
-    a = X.s1(spark, d).select("entity_id", c(N).alias("t"))
-    b = X.pool(spark, d).filter(F.trim(T.text("business_address")).isin("", "-", "N/A")).select("entity_id", c(N).alias("t"))
+def empty_searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Name search among the records without an address: the two best of each clean record, the three best clean records of each."""
+    a = X.s1(spark, d).select("entity_id", "country", c(N).alias("t"))
+    b = X.pool(spark, d).filter(F.trim(T.text("business_address")).isin("", "-", "N/A")).select("entity_id", "country", c(N).alias("t"))
     ga, gb = blocking.tfidf(a, b, "t")
-    out = lambda s, side: s.select(F.lit(side).alias("side"), c("s1").alias("id"), "sim", "r")
-    return out(blocking.sparse_top(ga, gb, 2), "s1").unionByName(out(blocking.sparse_top(gb, ga, 3), "cand"))
+    back = blocking.sparse_top(gb, ga, 3).select(c("cand").alias("s1"), c("s1").alias("cand"), "sim", "r")
+    return blocking.sparse_top(ga, gb, 2), back
+
+
+@query(f"WITH {POOL_SQL}, {EMPTY}, {tfidf_sql('ea', 'eb')} SELECT 's1' AS side, s1, cand, sim, r FROM {top_sql(2)} UNION ALL SELECT 'cand', cand, s1, sim, r FROM {top_sql(3, 'gb', 'ga')}")
+def blk_empty(spark: SparkSession, d: str) -> DataFrame:
+    out, back = empty_searches(spark, d)
+    side = lambda s, name: s.select(F.lit(name).alias("side"), "s1", "cand", "sim", "r")
+    return side(out, "s1").unionByName(side(back, "cand"))
 
 
 @query(f"""WITH {POOL_SQL}, {ADDRESS}, {NUMBER} SELECT coalesce(a.s1, n.s1) AS s1, coalesce(a.cand, n.cand) AS cand, CASE WHEN a.s1 IS NOT NULL THEN 0 END AS address_rank, CASE WHEN n.s1 IS NOT NULL THEN 0 END AS number_rank
@@ -167,55 +174,64 @@ def blk_phonkey(spark: SparkSession, d: str) -> DataFrame:
     return blocking.capped_join(X.s1(spark, d).select("entity_id", key), X.pool(spark, d).select("entity_id", key), ["key"], 200)
 
 
-# ---- dense search over the embeddings table: a quarter asks, the rest answers
+# ---- dense search: every vector asks, all others answer
 
 
-def split_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
-    return e.filter("vec_id % 4 = 0").select(c("vec_id").alias("q"), c("embedding").alias("v")), e.filter("vec_id % 4 <> 0").select(c("vec_id").alias("c"), c("embedding").alias("v"))
+    return e.select(c("vec_id").alias("q"), c("embedding").alias("v")), e.select(c("vec_id").alias("c"), c("embedding").alias("v"))
 
 
-DENSE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS c, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0)"""
+DENSE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT a.vec_id AS q, b.vec_id AS c, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+rk AS (SELECT q, c, sim, (row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) - 1)::INT AS r FROM s)"""
 
 
-@query(f"WITH {DENSE} SELECT q, sim, (r - 1)::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s) WHERE r <= 10")
+@query(f"WITH {DENSE} SELECT q, c, sim, r FROM rk WHERE r < 10")
 def jn_dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return dense.dense_top(*split_vectors(spark, d), 10).select("q", "sim", "r")
+    return dense.dense_top(*vectors(spark, d), 10, not_self=True)
 
 
-@query(f"WITH {DENSE} SELECT q, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s) WHERE r <= 3")
+@query(f"WITH {DENSE} SELECT q, c, sim FROM rk WHERE r < 3")
 def top_k(spark: SparkSession, d: str) -> DataFrame:
-    return dense.dense_top(*split_vectors(spark, d), 3).select("q", "sim")
+    return dense.dense_top(*vectors(spark, d), 3, not_self=True).select("q", "c", "sim")
+
+
+CENTERED = """e AS (SELECT entity_id, country, s1_embeddings::DOUBLE[] AS v FROM s1_embeddings WHERE s1_embeddings IS NOT NULL),
+m AS (SELECT country, list(a ORDER BY i) AS mean FROM (SELECT country, i, avg(x) AS a FROM (SELECT country, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e) GROUP BY 1, 2) GROUP BY 1),
+cv AS (SELECT entity_id, country, list_transform(list_zip(v, mean), lambda z: z[1] - z[2]) AS v FROM e JOIN m USING (country)),
+s AS (SELECT a.entity_id AS s1, b.entity_id AS cand, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM cv a JOIN cv b ON a.country = b.country AND a.entity_id <> b.entity_id)"""
 
 
-CENTERED = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(x) AS a FROM (SELECT generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e WHERE vec_id % 4 <> 0) GROUP BY 1)),
-cv AS (SELECT vec_id, list_transform(list_zip(v, mean), lambda z: z[1] - z[2]) AS v FROM e, m), s AS (SELECT a.vec_id AS q, b.vec_id AS c, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM cv a JOIN cv b ON a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0)"""
+def record_vectors(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k nearest of each record's vector within its country, centered on the country's mean."""
+    e = table(spark, d, "s1_embeddings").select("entity_id", "country", c("s1_embeddings").alias("v"))
+    mean = dense.mean_vectors(e, "v", "country")
+    return dense.dense_top(e.withColumnRenamed("entity_id", "q"), e.withColumnRenamed("entity_id", "c"), k, mean, "country", not_self=True)
 
 
-@query(f"WITH {CENTERED} SELECT q, sim, (r - 1)::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s) WHERE r <= 30")
+@query(f"WITH {CENTERED} SELECT s1, cand, sim, r FROM (SELECT *, (row_number() OVER (PARTITION BY s1 ORDER BY sim DESC, cand) - 1)::INT AS r FROM s) WHERE r < 30")
 def blk_dense(spark: SparkSession, d: str) -> DataFrame:
-    a, b = split_vectors(spark, d)
-    return dense.dense_top(a, b, 30, dense.mean_vector(b, "v")).select("q", "sim", "r")
+    return record_vectors(spark, d, 30).select(c("q").alias("s1"), c("c").alias("cand"), "sim", "r")
 
 
-@query(f"WITH {CENTERED} SELECT c, sim, (r - 1)::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY sim DESC, q) AS r FROM s) WHERE r <= 5")
+@query(f"WITH {CENTERED} SELECT s1, cand, sim, r, r < 2 AS adds FROM (SELECT *, (row_number() OVER (PARTITION BY cand ORDER BY sim DESC, s1) - 1)::INT AS r FROM s) WHERE r < 5")
 def blk_reverse(spark: SparkSession, d: str) -> DataFrame:
-    a, b = split_vectors(spark, d)
-    t = dense.dense_top(b.withColumnRenamed("c", "q"), a.withColumnRenamed("q", "c"), 5, dense.mean_vector(b, "v"))
-    return t.select(c("q").alias("c"), "sim", "r")
+    return record_vectors(spark, d, 5).select(c("c").alias("s1"), c("q").alias("cand"), "sim", "r", (c("r") < 2).alias("adds"))
 
 
 @query("""WITH m AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(x) AS a FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY 1)),
-cv AS (SELECT vec_id, list_transform(list_zip(embedding::DOUBLE[], mean), lambda z: z[1] - z[2]) AS v FROM embeddings, m) SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first FROM cv""")
+cv AS (SELECT vec_id, list_transform(list_zip(embedding::DOUBLE[], mean), lambda z: z[1] - z[2]) AS v FROM embeddings, m), u AS (SELECT vec_id, generate_subscripts(v, 1) - 1 AS i, unnest(v) / greatest(sqrt(list_inner_product(v, v)), 1e-12) AS x FROM cv) SELECT vec_id, i::INT AS i, round(x, 6) AS x FROM u""")
 def sim_centered(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     mean = F.array(*[F.lit(x) for x in dense.mean_vector(e, "embedding")])
-    return e.select("vec_id", F.round(S.centered(c("embedding"), mean)[0], 6).alias("first"))
+    return e.select("vec_id", F.posexplode(S.centered(c("embedding"), mean)).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
 @query()
 def jn_ivfpq(spark: SparkSession, d: str) -> DataFrame:
-    return dense.lsh_top(*split_vectors(spark, d), 10)
+    """Approximate neighbours of the records' vectors, those with an id divisible by 100 asking and all answering."""
+    e = table(spark, d, "s1_embeddings").select("vec_id", c("s1_embeddings").alias("v"))
+    return dense.ivf_top(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "q"), e.withColumnRenamed("vec_id", "c"), 11).filter("q <> c").select("q", "c", "sim")
 
 
 @query()
