@@ -38,12 +38,32 @@ def latin_of(ch: str) -> tuple[str, str]:
     return "", "other"
 
 
+#: In Malayalam a doubled rra is read tt.
+DOUBLE_RRA, DOUBLE_TTA = "\u0d31\u0d4d\u0d31", "\u0d1f\u0d4d\u0d1f"
+LABIALS = ("PA", "PHA", "BA", "BHA", "MA")
+
+
+def is_nasal(ch: str) -> bool:
+    return 0x0900 <= ord(ch) <= 0x0D7F and "ANUSVARA" in unicodedata.name(ch, "")
+
+
+def is_labial(ch: str) -> bool:
+    name = unicodedata.name(ch, "")
+    return 0x0900 <= ord(ch) <= 0x0D7F and " LETTER " in name and name.rsplit(" ", 1)[-1] in LABIALS
+
+
 def transliterate(text: str) -> str:
-    """Lower-case Latin of a text: Indic by syllables, other named alphabets by letter names, Latin without accents."""
+    """Lower-case Latin of a text: Indic by syllables, other named alphabets by letter names, Latin without accents.
+
+    An anusvara is n, before a labial m.
+    """
     out: list[str] = []
     hold = False  # a consonant waits for its vowel
-    for ch in unicodedata.normalize("NFC", text):
-        if ch in "‌‍":
+    text = "".join(ch for ch in unicodedata.normalize("NFC", text).replace(DOUBLE_RRA, DOUBLE_TTA) if ch not in "‌‍")
+    for i, ch in enumerate(text):
+        if i + 1 < len(text) and is_nasal(ch) and is_labial(text[i + 1]):
+            out.append(("a" if hold else "") + "m")
+            hold = False
             continue
         latin, kind = latin_of(ch) if ord(ch) > 0x24F else ("", "other")
         if kind == "sign" and hold:
@@ -68,6 +88,44 @@ def normalize(text: str) -> str:
     return "".join(c for c in flat if not unicodedata.combining(c)).lower()
 
 
+# Short forms of legal words in Indian scripts, as people write them, and what they stand for.
+LEGAL_SHORT = {"प्रा": "pvt", "लि": "ltd"}
+#: Words of so few characters go by the table: a trained model does not read them better.
+SHORT = 4
+
+
+def transliterate_word(word: str, model=None) -> str:
+    """A word in Latin: legal short forms by their list, short words by the table, others by ``model`` (word, script) where there is one."""
+    bare = word.strip(".,")
+    if bare in LEGAL_SHORT:
+        return LEGAL_SHORT[bare]
+    if model is None or len(bare) <= SHORT:
+        return transliterate(word)
+    return model(bare, script_of(bare)) or transliterate(word)
+
+
+def script_of(word: str) -> str:
+    """Script of the first letter by its Unicode name, in lower case; empty where there is no letter."""
+    return next((unicodedata.name(ch, "").split(" ")[0].lower() for ch in word if ch.isalpha()), "")
+
+
+def transliterate_words(df, id_col: str, column: str, model=None):
+    """``(id, latin)``: texts in Latin word by word; each distinct word is read once, however many records hold it.
+
+    ``model``: a function of (word, script) that Arrow workers can load, in place of the table for longer words. Null
+    texts have no row; words are parted by blanks.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def read(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: transliterate_word(w, model), na_action="ignore")
+
+    words = df.filter(F.col(column).isNotNull()).select(id_col, F.posexplode(F.split(F.trim(column), r"\s+")).alias("i", "w"))
+    known = words.select("w").distinct().withColumn("latin", read("w"))
+    done = words.join(known, "w").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "latin"))).alias("x"))
+    return done.select(id_col, F.array_join(F.transform("x", lambda e: e["latin"]), " ").alias("latin"))
+
+
 def _udf(f):
     @F.pandas_udf(T.StringType())
     def udf(s: pd.Series) -> pd.Series:

@@ -18,6 +18,7 @@ IN_CODES = {"MH": "maharashtra", "RJ": "rajasthan", "TN": "tamil nadu", "KA": "k
 IN_NAMES = ["maharashtra", "rajasthan", "tamil nadu", "karnataka", "delhi", "west bengal", "uttar pradesh", "gujarat", "kolkata", "howrah"]
 FR_REGIONS = ["auvergne-rhone-alpes", "bourgogne-franche-comte", "bretagne", "centre-val de loire", "corse", "grand est", "hauts-de-france", "ile-de-france", "normandie", "nouvelle-aquitaine", "occitanie", "pays de la loire", "provence-alpes-cote d'azur", "guadeloupe", "martinique", "guyane", "la reunion", "mayotte"]
 NATIVE_STATES = {"தமிழ்நாடு": "tamil nadu", "महाराष्ट्र": "maharashtra", "दिल्ली": "delhi", "पश्चिम बंगाल": "west bengal", "कर्नाटक": "karnataka"}
+# Patterns of junk marks, honorifics, web names, house numbers, boxes and landmarks.
 JUNK = r"\*+|>>|--|<<|##|\[services\]|\(id:\s*\d+\)|<null>"
 HONORIFIC = r"^\s*(smt|shri|mr|mrs|miss|dr)\.?\s+"
 DOMAIN = r"^([\w-]+)\.(?:com|in|fr|co\.in|net|org)(?:\.\w+)?$"
@@ -98,6 +99,11 @@ def phonetic(x: Column | str) -> Column:
     return F.when(letters == "", "").otherwise(F.soundex(letters))
 
 
+def block_key(x: Column | str, country: str = "country") -> Column:
+    """``country|phonetic code|first four letters of the core name``."""
+    return F.concat_ws("|", country, phonetic(x), F.substring(core_name(x), 1, 4))
+
+
 def house_marked(x: Column | str) -> Column:
     s = base_clean(x)
     return F.coalesce(F.nullif(F.regexp_extract(s, HOUSE, 1), F.lit("")), F.nullif(F.regexp_extract(s, HOUSE, 2), F.lit("")), F.lit(""))
@@ -195,6 +201,11 @@ def compact(x: Column | str) -> Column:
     return F.regexp_replace(F.lower(text(x)), "[^0-9a-z]", "")
 
 
+def compact_of(domain: Column | str, latin: Column | str, norm: Column | str) -> Column:
+    """Letters and digits of the web name, else of the name in Latin, else of the cleaned name."""
+    return compact(F.coalesce(F.nullif(_c(domain), F.lit("")), F.nullif(_c(latin), F.lit("")), _c(norm)))
+
+
 def is_native(x: Column | str) -> Column:
     """Holds a character outside Latin, general punctuation and currency signs."""
     return text(x).rlike(r"[^\x{0000}-\x{024F}\x{1E00}-\x{1EFF}\x{2000}-\x{206F}\x{20A0}-\x{20CF}]")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import similarity as S
 from linkweave.functions import text as T
+from linkweave.functions.script import transliterate_col
 from linkweave.sources.tables import cut
 
 
@@ -70,8 +71,10 @@ def _record_side(df: DataFrame) -> DataFrame:
     st = T.street_of("business_address")
     digits = F.array_distinct(F.filter(T.words("business_address"), lambda w: w.rlike("[0-9]")))
     split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    # Only names in another script go through Arrow.
+    x = x.withColumn("name_lat", F.when(T.is_native("business_name"), transliterate_col("name_lat")).otherwise(F.col("name_lat")))
     return x.withColumns({
-        "raw_name": F.lower("business_name"), "raw_addr": F.lower("business_address"), "compact": T.compact("business_name"), "streets": split("street_tokens"), "numbers": digits,
+        "raw_name": F.lower("business_name"), "raw_addr": F.lower("business_address"), "compact": T.compact_of("domain_stem", "name_lat", "name_norm"), "streets": split("street_tokens"), "numbers": digits,
         "post": T.postcode_last("business_address"), "street_name": st["street"], "street_no": st["house"], "name_words": F.array_distinct(split("name_norm")), "addr_words": F.array_distinct(split("addr_norm")),
         "native": T.is_native("business_name").cast("int"), "web": ((F.col("domain_stem") != "") | T.is_handle("business_name")).cast("int"), "word_set": F.array_join(F.array_sort(F.array_distinct(split("name_norm"))), " "),
     })
@@ -84,8 +87,8 @@ def _weights_joined(df: DataFrame, column: str, idf: DataFrame, out: str) -> Dat
     return df.join(m, "entity_id", "left")
 
 
-def pair_features(bucket: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The feature frame of (s1, cand) pairs of a bucket table: 85 columns, null where unknown.
+def pair_features(bucket: DataFrame, left: DataFrame, right: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The feature frame of (s1, cand) pairs of a bucket table, of the records in ``only`` (s1) if given: 85 columns, null where unknown.
 
     Everything that depends on one record is made once a record, before the pairs; candidate-side statistics come from
     the whole bucket table, before any sampling. Two Arrow passes (text ratios, typo overlap); the rest is native.
@@ -111,7 +114,9 @@ def pair_features(bucket: DataFrame, left: DataFrame, right: DataFrame) -> DataF
     need = ["name_norm", "core_name", "name_lat", "raw_name", "compact", "phonetic_code", "legal_form", "addr_norm", "raw_addr", "streets", "numbers", "post", "house_no", "city", "state_code", "street_name", "street_no", "name_words", "addr_words", "name_w", "addr_w", "name_freq", "native", "web", "empty_addr", "has_honorific", "landmark_flag"]
     pa = ready(a).select(F.col("entity_id").alias("s1"), F.struct(*need).alias("a"))
     pb = ready(b).select(F.col("entity_id").alias("cand"), F.struct(*need).alias("b"))
-    p = candidate_side(bucket).join(pa, "s1").join(pb, "cand")
+    sides = candidate_side(bucket)
+    sides = sides if only is None else sides.join(only.select("s1"), "s1", "left_semi")
+    p = sides.join(pa, "s1").join(pb, "cand")
     x, y = (lambda k: F.col(f"a.{k}")), (lambda k: F.col(f"b.{k}"))
 
     def overlap(kind: str) -> dict:

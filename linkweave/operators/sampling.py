@@ -58,14 +58,27 @@ def linked(clean: DataFrame, pool: DataFrame, edges: DataFrame, share: float, se
 
 
 def tag_minimum(df: DataFrame, tags: dict[str, Column], id_col: str, size: int, least: float = 0.05, seed: int = 42) -> DataFrame:
-    """About ``size`` rows with at least ``least`` of them of each tag (or all there are), filled up by hash order."""
+    """About ``size`` rows with at least ``least`` of them of each tag (or all there are), filled up by hash order.
+
+    Each part is the head of a hash order, which Spark takes from every partition and merges, without a full sort.
+    """
     need = int(least * size)
-    x = df.withColumn("_h", hashed(id_col, seed))
-    wanted = F.lit(False)
-    for name, tag in tags.items():
-        w = Window.partitionBy(f"_{name}").orderBy("_h", id_col)
-        x = x.withColumn(f"_{name}", tag).withColumn(f"_{name}_n", F.row_number().over(w))
-        wanted = wanted | (F.col(f"_{name}") & (F.col(f"_{name}_n") <= need))
-    x = x.withColumn("_first", wanted)
-    taken = x.orderBy(F.desc("_first"), "_h", id_col).limit(size)
-    return taken.select(df.columns)
+    ids = None
+    for tag in tags.values():
+        head = df.filter(tag).orderBy(hashed(id_col, seed), id_col).limit(need).select(id_col)
+        ids = head if ids is None else ids.unionByName(head)
+    tagged = ids.distinct()
+    rest = df.join(tagged, id_col, "left_anti").orderBy(hashed(id_col, seed), id_col).limit(max(0, size - tagged.count()))
+    return df.join(tagged, id_col, "left_semi").unionByName(rest).limit(size)
+
+
+def linked_share(df: DataFrame, kind: str, tags: dict[str, Column], id_col: str, size: int, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """About ``size`` rows, ``share`` of them of the kind ``linked`` and the rest ``no_match``, each with its least of every tag.
+
+    What is missing of either is filled up from ``other_owner``, ``linked``, ``no_match`` and ``unlabeled``, in that order.
+    """
+    n = round(share * size)
+    taken = tag_minimum(df.filter(F.col(kind) == "linked"), tags, id_col, n, seed=seed).unionByName(tag_minimum(df.filter(F.col(kind) == "no_match"), tags, id_col, size - n, seed=seed))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k) for k in ("other_owner", "linked", "no_match", "unlabeled")]), F.col(kind)), F.lit(0)), F.lit(9))
+    rest = df.join(taken.select(id_col), id_col, "left_anti").orderBy(place, hashed(id_col, seed), id_col).limit(max(0, size - taken.count()))
+    return taken.unionByName(rest)

@@ -1,36 +1,45 @@
-"""Checks of output lists: one row a rule with the number of breaches."""
+"""Checks of output lists: one row a rule with the number of breaches and the first of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def check(lists: DataFrame, required: DataFrame, known: DataFrame) -> DataFrame:
-    """``(rule, n)`` of ``lists`` (s1, ids): repeated rows, repeats within a list, own ids, wrong prefixes, unknown ids, missing and extra records."""
-    items = lists.select("s1", F.explode(F.filter(F.split("ids", ","), lambda x: x != "")).alias("id"))
-    per_list = lists.select(F.filter(F.split("ids", ","), lambda x: x != "").alias("x"))
-    count = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
-    ids = required.select(F.col("entity_id").alias("s1"))
-    rules = [
-        count(lists.groupBy("s1").agg(F.count("*").alias("k")).filter("k > 1"), "repeated_row"),
-        count(per_list.filter(F.size("x") > F.size(F.array_distinct("x"))), "repeated_id"),
-        count(items.filter(F.col("id").startswith("S1-")), "own_id"),
-        count(items.filter(~F.col("id").rlike("^S[123]-")), "wrong_prefix"),
-        count(items.join(known.select(F.col("entity_id").alias("id")), "id", "left_anti"), "unknown_id"),
-        count(ids.join(lists, "s1", "left_anti"), "missing"),
-        count(lists.join(ids, "s1", "left_anti"), "extra"),
-    ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
+#: Breaches of a rule that are shown.
+SHOWN = 3
+
+
+def check(lines: DataFrame, header: str, required: DataFrame, known: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """``(rule, n, examples)`` of the lines (value) of an output file: id, tab, ids between commas; one header among them.
+
+    Rules: ``header`` - lines equal to the header are more or fewer than one; ``no_tab`` - lines with text and no tab;
+    ``repeated_row``, ``repeated_id`` within a list, ``own_id`` (of the clean source), ``wrong_prefix``, ``unknown_id``,
+    ``missing`` and ``extra`` records, and, a warning only, ``outside``: matches that are no candidates (s1, cand).
+    Blank lines count for nothing.
+    """
+    said = lines.filter(F.trim("value") != "")
+    rows = said.filter(F.contains("value", F.lit("\t")) & (F.col("value") != header))
+    parts = F.split("value", "\t", 2)
+    lists = rows.select(parts[0].alias("s1"), F.filter(F.split(F.get(parts, F.lit(1)), ","), lambda x: x != "").alias("ids"))
+    items = lists.select("s1", F.explode("ids").alias("id")).distinct()
+    needed = required.select(F.col("entity_id").alias("s1"))
+    breaches = {
+        "no_tab": said.filter(~F.contains("value", F.lit("\t"))).select("value"),
+        "repeated_row": lists.groupBy("s1").agg(F.count("*").alias("n")).filter("n > 1").select("s1"),
+        "repeated_id": lists.filter(F.size("ids") > F.size(F.array_distinct("ids"))).select("s1"),
+        "own_id": items.filter(F.col("id").startswith("S1-")).select("id"),
+        "wrong_prefix": items.filter(~F.col("id").rlike("^S[123]-")).select("id"),
+        "unknown_id": items.filter(F.col("id").rlike("^S[23]-")).join(known.select(F.col("entity_id").alias("id")), "id", "left_anti").select("id"),
+        "missing": needed.join(lists, "s1", "left_anti"),
+        "extra": lists.join(needed, "s1", "left_anti").select("s1"),
+    }
+    if candidates is not None:
+        breaches["outside"] = items.withColumnRenamed("id", "cand").join(candidates.select("s1", "cand"), ["s1", "cand"], "left_anti").select(F.concat_ws(" ", "s1", "cand"))
+    heads = said.filter(F.col("value") == header).agg(F.abs(F.count("*") - 1).alias("n"))
+    out = heads.select(F.lit("header").alias("rule"), "n", F.lit("").alias("examples"))
+    for rule, found in breaches.items():
+        x = found.toDF("x").distinct()
+        # The first few are taken from every partition, so no list of all breaches is made.
+        first = x.orderBy("x").limit(SHOWN).agg(F.array_join(F.array_sort(F.collect_list("x")), " | ").alias("examples"))
+        out = out.unionByName(x.agg(F.count("*").alias("n")).crossJoin(first).select(F.lit(rule).alias("rule"), "n", "examples"))
     return out
-
-
-def outside(matches: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Matches (s1, cand) that are no candidates: a warning, not an error."""
-    return matches.join(candidates, ["s1", "cand"], "left_anti")
-
-
-def lines_without_tab(lines: DataFrame) -> DataFrame:
-    return lines.filter(~F.contains(F.col("value"), F.lit("\t")))

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import similarity as S
 from linkweave.functions import text as T
-from linkweave.operators import augment, blocking, decide, dense, features, matcher, metrics, sampling, validate
+from linkweave.operators import augment, blocking, decide, dense, features, matcher, metrics, profile, sampling, validate
 from linkweave.operators import windows as W
 from linkweave.plans.registry import query
-from linkweave.plans.textual import N, PAIRS_SQL, keys_sql, list_sql, numkeys_sql, pairs, words_sql
+from linkweave.plans.textual import SOUNDEX_SQL, N, core_sql, keys_sql, list_sql, numkeys_sql, pairs, words_sql
 from linkweave.sources import fixtures as X
+from linkweave.sources import tsv
 from linkweave.sources.fixtures import BUCKET_SQL, EDGES_SQL, P_SQL, POOL_SQL
-from linkweave.sources.tables import table
+from linkweave.sources.tables import cut, scratch, table
 
 c = F.col
+NATIVE = "[^\\x{0000}-\\x{024F}\\x{1E00}-\\x{1EFF}\\x{2000}-\\x{206F}\\x{20A0}-\\x{20CF}]"
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
@@ -161,17 +163,61 @@ def blk_empty(spark: SparkSession, d: str) -> DataFrame:
     return side(out, "s1").unionByName(side(back, "cand"))
 
 
-@query(f"""WITH {POOL_SQL}, {ADDRESS}, {NUMBER} SELECT coalesce(a.s1, n.s1) AS s1, coalesce(a.cand, n.cand) AS cand, CASE WHEN a.s1 IS NOT NULL THEN 0 END AS address_rank, CASE WHEN n.s1 IS NOT NULL THEN 0 END AS number_rank
-FROM address a FULL JOIN number n ON n.s1 = a.s1 AND n.cand = a.cand""")
+WORD_SCORE = "len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w)))::DOUBLE"
+
+
+@query(f"""WITH {POOL_SQL}, {ADDRESS}, {NUMBER}, {NAMED}, {tfidf_sql('ia', 'ib')}, {EMPTY}, {tfidf_sql('ea', 'eb', 'ha', 'hb')},
+al AS (SELECT s1, cand, 'address' AS k, 0 AS r FROM address UNION ALL SELECT s1, cand, 'number', 0 FROM number UNION ALL SELECT s1, cand, 'name', r FROM {top_sql(5)} UNION ALL SELECT s1, cand, 'empty', r FROM {top_sql(2, 'ha', 'hb')} UNION ALL SELECT cand, s1, 'empty_back', r FROM {top_sql(3, 'hb', 'ha')}),
+un AS (SELECT s1, cand, min(r) FILTER (k = 'name') AS name_rank, min(r) FILTER (k = 'empty') AS empty_rank, min(r) FILTER (k = 'empty_back') AS empty_back_rank, max((k = 'address')::INT) AS address_key, max((k = 'number')::INT) AS number_key FROM al GROUP BY 1, 2),
+wx AS (SELECT entity_id, list_distinct(string_split(lower(business_name), ' ')) AS w FROM train_source1), wy AS (SELECT entity_id, list_distinct(string_split(lower(business_name), ' ')) AS w FROM pool),
+sc AS (SELECT un.*, round({WORD_SCORE}, 6) AS score FROM un JOIN wx x ON x.entity_id = s1 JOIN wy y ON y.entity_id = cand)
+SELECT s1, cand, score, (row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cand) - 1)::INT AS rank, name_rank::INT AS name_rank, empty_rank::INT AS empty_rank, empty_back_rank::INT AS empty_back_rank, address_key, number_key FROM sc""")
 def blk_union(spark: SparkSession, d: str) -> DataFrame:
-    zero = lambda s: s.withColumn("r", F.lit(0))
-    return blocking.union_searches({"address": zero(address_search(spark, d)), "number": zero(number_search(spark, d))})
+    """The searches over texts in one list, scored by shared words of the names."""
+    return ranked_union(spark, d, {}, None)
 
 
 @query()
+def blk_union_dense(spark: SparkSession, d: str) -> DataFrame:
+    """All seven searches in one list: those over texts, and forward and backward search of centered vectors, whose cosine scores every pair."""
+    ids = lambda t: t.select("entity_id", "country", N)
+    a, b = ids(X.s1(spark, d)), ids(X.pool(spark, d))
+    texts = a.unionByName(b)
+    v = texts.join(dense.encode(texts, "entity_id", N), "entity_id").select("entity_id", "country", "v")
+    va, vb = v.join(a.select("entity_id"), "entity_id", "left_semi"), v.join(b.select("entity_id"), "entity_id", "left_semi")
+    mean = dense.mean_vectors(vb, "v", "country")
+    top = lambda q, p, k: dense.dense_top(q.withColumnRenamed("entity_id", "q"), p.withColumnRenamed("entity_id", "c"), k, mean, "country")
+    forward = top(va, vb, 30).select(c("q").alias("s1"), c("c").alias("cand"), "r")
+    back = top(vb, va, 2).select(c("c").alias("s1"), c("q").alias("cand"), "r")
+    return ranked_union(spark, d, {"dense": forward, "reverse": back}, (va, vb))
+
+
+def ranked_union(spark: SparkSession, d: str, more: dict[str, DataFrame], vectors: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    empty, back = empty_searches(spark, d)
+    flag = lambda s: s.withColumn("r", F.lit(0))
+    searches = more | {"name": blk_name3g(spark, d), "empty": empty, "empty_back": back, "address": flag(address_search(spark, d)), "number": flag(number_search(spark, d))}
+    u = blocking.union_searches(searches)
+    u = u.withColumns({f"{k}_key": F.coalesce(1 - c(f"{k}_rank"), F.lit(0)) for k in ("address", "number")}).drop("address_rank", "number_rank")
+    if vectors:
+        a, b = (x.select(c("entity_id").alias(k), c("v").alias(f"v_{k}")) for x, k in zip(vectors, ("s1", "cand"), strict=True))
+        score = S.cosine(c("v_s1"), c("v_cand"))
+    else:
+        told = lambda t, k: t.select(c("entity_id").alias(k), F.array_distinct(F.split(F.lower(N), " ")).alias(f"v_{k}"))
+        a, b, score = told(X.s1(spark, d), "s1"), told(X.pool(spark, d), "cand"), S.jaccard(c("v_s1"), c("v_cand"))
+    scored = u.join(a, "s1").join(b, "cand").withColumn("score", F.round(score, 6)).drop("v_s1", "v_cand")
+    return W.ranked(scored, "s1", [c("score").desc_nulls_last(), c("cand")]).withColumnRenamed("r", "rank")
+
+
+@query(f"""WITH {POOL_SQL}, {EDGES_SQL}, ka AS (WITH {core_sql('train_source1')}, {SOUNDEX_SQL} SELECT entity_id AS s1, country || '|' || code || '|' || left(core, 4) AS key FROM sx),
+kb AS (WITH {core_sql('pool')}, {SOUNDEX_SQL} SELECT entity_id AS cand, country || '|' || code || '|' || left(core, 4) AS key FROM sx), ok AS (SELECT key FROM kb GROUP BY 1 HAVING count(*) <= 2000),
+hit AS (SELECT DISTINCT s1, cand FROM ka JOIN ok USING (key) JOIN kb USING (key)), t AS (SELECT e.s1, e.mid, CASE WHEN regexp_matches(p.business_name, '{NATIVE}') THEN 'native' ELSE 'latin' END AS slice FROM edges e JOIN pool p ON p.entity_id = e.mid)
+SELECT slice, count(*) AS pairs, count(cand) AS found, round(count(cand) / count(*)::DOUBLE, 6) AS recall FROM t LEFT JOIN hit ON hit.s1 = t.s1 AND cand = mid GROUP BY 1""")
 def blk_phonkey(spark: SparkSession, d: str) -> DataFrame:
-    key = F.concat_ws("|", "country", T.phonetic(N), F.substring(T.core_name(N), 1, 4)).alias("key")
-    return blocking.capped_join(X.s1(spark, d).select("entity_id", key), X.pool(spark, d).select("entity_id", key), ["key"], 200)
+    """Recall of blocking by country, sound and first letters of the core name, by the script of the match."""
+    key = T.block_key(N).alias("key")
+    found = blocking.capped_join(X.s1(spark, d).select("entity_id", key), X.pool(spark, d).select("entity_id", key), ["key"], 2000)
+    script = X.pool(spark, d).select(c("entity_id").alias("cand"), F.when(T.is_native(N), "native").otherwise("latin").alias("slice"))
+    return metrics.recall(found, truth(spark, d).join(script, "cand"), "slice")
 
 
 # ---- dense search: every vector asks, all others answer
@@ -279,28 +325,41 @@ def mat_negdown(spark: SparkSession, d: str) -> DataFrame:
     return sampling.negatives_down(labelled_pairs(spark, d).select("s1", "cand", "is_true"), "is_true", ["s1", "cand"])
 
 
-MODEL = ["score", "cosine", "rank", "e5_rank", "rev_rank", "addr_key", "name_rank", "num_key"]
+def labelled_features(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The 85 features of every pair of the records whose matches are known, with ``is_true``, written once for the fits."""
+    f = features.pair_features(X.buckets(spark, d), X.s1(spark, d), X.pool(spark, d), labelled(spark, d))
+    rows = f.join(truth(spark, d).withColumn("_t", F.lit(1)), ["s1", "cand"], "left").withColumn("is_true", F.coalesce("_t", F.lit(0))).drop("_t")
+    return cut(rows), features.feature_set("all")
 
 
 @query()
 def mat_fit(spark: SparkSession, d: str) -> DataFrame:
-    p = labelled_pairs(spark, d)
-    return matcher.predict(matcher.fit(p, MODEL), p, MODEL).select("s1", "cand", "is_true", F.round("p", 6).alias("p"))
+    p, columns = labelled_features(spark, d)
+    return matcher.predict(matcher.fit(p, columns), p, columns).select("s1", "cand", "is_true", F.round("p", 6).alias("p"))
 
 
 @query()
 def mat_oof(spark: SparkSession, d: str) -> DataFrame:
-    return matcher.out_of_fold(labelled_pairs(spark, d), MODEL).select("s1", "cand", "is_true", "fold", F.round("p", 6).alias("p"))
+    return matcher.out_of_fold(*labelled_features(spark, d)).select("s1", "cand", "is_true", "fold", F.round("p", 6).alias("p"))
 
 
 @query()
 def mat_transfer(spark: SparkSession, d: str) -> DataFrame:
-    return matcher.transfer(labelled_pairs(spark, d), MODEL, "India").select("s1", "cand", "is_true", F.round("p", 6).alias("p"))
+    """Pairs of each country scored by a model of the other."""
+    p, columns = labelled_features(spark, d)
+    parts = [matcher.transfer(p, columns, country) for country in ("India", "US")]
+    return parts[0].unionByName(parts[1]).select("s1", "cand", "country", "is_true", F.round("p", 6).alias("p"))
 
 
 @query()
 def mat_importance(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(matcher.importance(matcher.fit(labelled_pairs(spark, d), MODEL), MODEL), "feature string, gain double")
+    p, columns = labelled_features(spark, d)
+    return spark.createDataFrame(matcher.importance(matcher.fit(p, columns), columns), "feature string, gain double, splits int")
+
+
+@query("SELECT 'all' AS name, 85 AS n UNION ALL SELECT 'submission2', 61 UNION ALL SELECT 'base', 44")
+def mat_featureset(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(k, len(set(features.feature_set(k)))) for k in ("all", "submission2", "base")], "name string, n int")
 
 
 # ---- decisions
@@ -332,7 +391,8 @@ att AS (SELECT t, rec.s1, {'rec.' + col if col else ''}count(p) AS n, coalesce(s
 cv AS (SELECT t, {col}round(avg(CASE WHEN true_n = 0 THEN (n = 0)::INT::DOUBLE WHEN tp = 0 THEN 0 ELSE 1.25 * tp / (0.25 * true_n + n) END), 6) AS score FROM att GROUP BY ALL)"""
 
 
-GRID = [round(0.05 * i, 2) for i in range(1, 20)]
+GRID = [round(0.01 * i, 2) for i in range(2, 99)]
+COSINE_GRID = [round(0.8 + 0.005 * i, 3) for i in range(39)]
 LEX_GRID = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 
 
@@ -346,16 +406,19 @@ def dec_tune(spark: SparkSession, d: str) -> DataFrame:
     return decide.tune(decide.one_owner(X.probabilities(spark, d)), truth(spark, d), labelled(spark, d), GRID)
 
 
+COSINE_OWN = f"{BUCKET_SQL}, pr AS (SELECT s1, cand, round(cosine, 4) AS p FROM bk WHERE cosine IS NOT NULL), own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS n FROM pr) WHERE n = 1)"
+
+
+@query(f"WITH {grid_sql(COSINE_GRID).replace(OWN, COSINE_OWN)} SELECT t, score FROM cv ORDER BY score DESC, t LIMIT 1")
+def dec_tune_cosine(spark: SparkSession, d: str) -> DataFrame:
+    p = X.buckets(spark, d).filter("cosine IS NOT NULL").select("s1", "cand", F.round("cosine", 4).alias("p"))
+    return decide.tune(decide.one_owner(p), truth(spark, d), labelled(spark, d), COSINE_GRID)
+
+
 @query(f"WITH {grid_sql(LEX_GRID, 'country')} SELECT country, t, score FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY score DESC, t) AS n FROM cv) WHERE n = 1")
 def dec_tune_lex(spark: SparkSession, d: str) -> DataFrame:
     rec = labelled(spark, d).join(X.s1(spark, d).select(c("entity_id").alias("s1"), "country"), "s1")
-    own = decide.one_owner(X.probabilities(spark, d))
-    out = None
-    for country in ("India", "US"):
-        mine = rec.filter(c("country") == country).select("s1")
-        x = decide.tune(own, truth(spark, d).join(mine, "s1", "left_semi"), mine, LEX_GRID).select(F.lit(country).alias("country"), "t", "score")
-        out = x if out is None else out.unionByName(x)
-    return out
+    return decide.tune(decide.one_owner(X.probabilities(spark, d)), truth(spark, d), rec, LEX_GRID, "country").select("country", "t", "score")
 
 
 @query(f"""WITH {OWN}, m AS (SELECT s1, string_agg(cand, ',' ORDER BY p DESC, cand) AS matches FROM own WHERE p >= 0.6 GROUP BY 1), k AS (SELECT s1, string_agg(cand, ',' ORDER BY p DESC, cand) AS candidates FROM pr GROUP BY 1)
@@ -387,11 +450,16 @@ def met_macro(spark: SparkSession, d: str) -> DataFrame:
     return metrics.macro(scores(spark, d))
 
 
-@query(f"""WITH {BUCKET_SQL}, {EDGES_SQL}, {POOL_SQL}, t AS (SELECT e.s1, e.mid, CASE WHEN trim(coalesce(p.business_address, '')) = '' THEN 'empty' ELSE 'filled' END AS slice FROM edges e JOIN pool p ON p.entity_id = e.mid)
-SELECT slice, count(*) AS pairs, count(cand) AS found, round(count(cand) / count(*)::DOUBLE, 6) AS recall FROM t LEFT JOIN bk ON bk.s1 = t.s1 AND cand = mid GROUP BY 1""")
+@query(f"""WITH {BUCKET_SQL}, {EDGES_SQL}, {POOL_SQL}, t0 AS (SELECT e.s1, e.mid, trim(coalesce(p.business_address, '')) = '' AS empty, regexp_matches(p.business_name, '{NATIVE}') AS native FROM edges e JOIN pool p ON p.entity_id = e.mid),
+t AS (SELECT s1, mid, unnest(list_filter(['all', CASE WHEN native THEN 'native' ELSE 'latin' END, CASE WHEN empty THEN 'empty_address' END], lambda x: x IS NOT NULL)) AS slice FROM t0), v AS (SELECT round(count(*) / count(DISTINCT s1)::DOUBLE, 6) AS per_s1 FROM bk)
+SELECT slice, count(*) AS pairs, count(cand) AS found, round(count(cand) / count(*)::DOUBLE, 6) AS recall, any_value(per_s1) AS per_s1 FROM t CROSS JOIN v LEFT JOIN bk ON bk.s1 = t.s1 AND cand = mid GROUP BY 1""")
 def met_recall(spark: SparkSession, d: str) -> DataFrame:
-    slices = X.pool(spark, d).select(c("entity_id").alias("cand"), F.when(F.trim(T.text("business_address")) == "", "empty").otherwise("filled").alias("slice"))
-    return metrics.recall(X.buckets(spark, d), truth(spark, d).join(slices, "cand"), "slice")
+    """Recall of the buckets over all true pairs and by slice, beside the pairs a record."""
+    names = F.array(F.lit("all"), F.when(T.is_native(N), "native").otherwise("latin"), F.when(F.trim(T.text("business_address")) == "", "empty_address"))
+    slices = X.pool(spark, d).select(c("entity_id").alias("cand"), F.explode(F.array_compact(names)).alias("slice"))
+    b = X.buckets(spark, d)
+    per = b.agg(F.round(F.count("*") / F.count_distinct("s1"), 6).alias("per_s1"))
+    return metrics.recall(b, truth(spark, d).join(slices, "cand"), "slice").crossJoin(per)
 
 
 @query(f"""WITH {BUCKET_SQL}, {EDGES_SQL}, r AS (SELECT m.source1_entity_id AS s1, count(mid) AS n, count(cand) AS k FROM train_matches m LEFT JOIN edges e ON e.s1 = m.source1_entity_id LEFT JOIN bk ON bk.s1 = e.s1 AND cand = mid GROUP BY 1)
@@ -407,10 +475,10 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     return W.ranked(X.buckets(spark, d), "s1", [c("score").desc_nulls_last(), c("cand")])
 
 
-@query(f"""WITH {RANKED}, {EDGES_SQL}, x AS (SELECT k, e.s1, avg((coalesce(r, 1000000) < k)::INT) AS a, sum((coalesce(r, 1000000) < k)::INT) AS s, count(*) AS n FROM edges e CROSS JOIN (VALUES (1), (5), (10), (20)) g(k) LEFT JOIN rk ON rk.s1 = e.s1 AND cand = mid GROUP BY 1, 2)
+@query(f"""WITH {RANKED}, {EDGES_SQL}, x AS (SELECT k, e.s1, avg((coalesce(r, 1000000) < k)::INT) AS a, sum((coalesce(r, 1000000) < k)::INT) AS s, count(*) AS n FROM edges e CROSS JOIN (VALUES (1), (5), (10), (20), (50)) g(k) LEFT JOIN rk ON rk.s1 = e.s1 AND cand = mid GROUP BY 1, 2)
 SELECT k, round(avg(a), 6) AS per_record, round(sum(s) / sum(n)::DOUBLE, 6) AS pooled FROM x GROUP BY 1""")
 def met_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.recall_at(ranked(spark, d), truth(spark, d), [1, 5, 10, 20])
+    return metrics.recall_at(ranked(spark, d), truth(spark, d), [1, 5, 10, 20, 50])
 
 
 @query(f"""WITH {RANKED}, {EDGES_SQL}, pd AS (SELECT 'top5' AS rule, s1, cand FROM rk WHERE r < 5 UNION ALL SELECT 'cosine', s1, cand FROM rk WHERE cosine >= 0.9 UNION ALL SELECT 'ceiling', rk.s1, cand FROM rk JOIN edges e ON e.s1 = rk.s1 AND e.mid = cand),
@@ -421,15 +489,22 @@ def met_baselines(spark: SparkSession, d: str) -> DataFrame:
     return metrics.baselines(labelled(spark, d), ranked(spark, d).select("s1", "cand", "r", "cosine"), truth(spark, d), 5, 0.9)
 
 
-@query(f"""WITH {POOL_SQL}, l AS (SELECT source1_entity_id AS s1, matched_entity_ids AS ids FROM train_matches UNION ALL SELECT 'S1-x', 'S1-1,S9-2,S9-2'), i AS (SELECT s1, unnest(string_split(ids, ',')) AS id FROM l WHERE ids <> '')
-SELECT 'repeated_row' AS rule, count(*) AS n FROM (SELECT s1 FROM l GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated_id', count(*) FROM l WHERE len(list_distinct(string_split(ids, ','))) < len(string_split(ids, ','))
-UNION ALL SELECT 'own_id', count(*) FROM i WHERE id LIKE 'S1-%' UNION ALL SELECT 'wrong_prefix', count(*) FROM i WHERE NOT regexp_matches(id, '^S[123]-')
-UNION ALL SELECT 'unknown_id', count(*) FROM i WHERE id NOT IN (SELECT entity_id FROM pool) UNION ALL SELECT 'missing', count(*) FROM train_source1 WHERE entity_id NOT IN (SELECT s1 FROM l)
-UNION ALL SELECT 'extra', count(*) FROM l WHERE s1 NOT IN (SELECT entity_id FROM train_source1)""")
+PLANTED = ["S1-x\tS1-1,S9-2,S9-2,S2-x", "no tab here", "source1_entity_id\tmatched_entity_ids"]
+SHOW = "(SELECT coalesce(string_agg(x, ' | ' ORDER BY x), '') FROM (SELECT DISTINCT x FROM {0} ORDER BY x LIMIT 3))"
+RULES = {"no_tab": "nt", "repeated_row": "rr", "repeated_id": "ri", "own_id": "oi", "wrong_prefix": "wp", "unknown_id": "ui", "missing": "mi", "extra": "ex", "outside": "ou"}
+
+
+@query(f"""WITH {POOL_SQL}, {BUCKET_SQL}, li AS (SELECT source1_entity_id AS s1, matched_entity_ids AS ids FROM train_matches UNION ALL SELECT 'S1-x', 'S1-1,S9-2,S9-2,S2-x'), it AS (SELECT DISTINCT s1, unnest(string_split(ids, ',')) AS id FROM li WHERE ids <> ''),
+nt AS (SELECT 'no tab here' AS x), rr AS (SELECT s1 AS x FROM li GROUP BY 1 HAVING count(*) > 1), ri AS (SELECT s1 AS x FROM li WHERE len(list_distinct(string_split(ids, ','))) < len(string_split(ids, ','))), oi AS (SELECT DISTINCT id AS x FROM it WHERE id LIKE 'S1-%'),
+wp AS (SELECT DISTINCT id AS x FROM it WHERE NOT regexp_matches(id, '^S[123]-')), ui AS (SELECT DISTINCT id AS x FROM it WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT entity_id FROM pool)), mi AS (SELECT entity_id AS x FROM train_source1 WHERE entity_id NOT IN (SELECT s1 FROM li)),
+ex AS (SELECT DISTINCT s1 AS x FROM li WHERE s1 NOT IN (SELECT entity_id FROM train_source1)), ou AS (SELECT DISTINCT it.s1 || ' ' || id AS x FROM it LEFT JOIN bk ON bk.s1 = it.s1 AND bk.cand = id WHERE bk.s1 IS NULL)
+SELECT 'header' AS rule, 1 AS n, '' AS examples UNION ALL {' UNION ALL '.join(f"SELECT '{k}', (SELECT count(*) FROM {v}), {SHOW.replace('{0}', v)}" for k, v in RULES.items())}""")
 def val_format(spark: SparkSession, d: str) -> DataFrame:
-    lists = table(spark, d, "train_matches").select(c("source1_entity_id").alias("s1"), c("matched_entity_ids").alias("ids"))
-    planted = spark.createDataFrame([("S1-x", "S1-1,S9-2,S9-2")], "s1 string, ids string")
-    return validate.check(lists.unionByName(planted), X.s1(spark, d), X.pool(spark, d))
+    """A results file with a few planted breaches, written and checked."""
+    path = scratch(spark, "results")
+    tsv.write_tsv(table(spark, d, "train_matches").select("source1_entity_id", "matched_entity_ids"), path)
+    spark.createDataFrame([(x,) for x in PLANTED], "value string").write.mode("append").text(path)
+    return validate.check(spark.read.text(path), "source1_entity_id\tmatched_entity_ids", X.s1(spark, d), X.pool(spark, d), X.buckets(spark, d))
 
 
 # ---- samples, profile, noise
@@ -451,22 +526,39 @@ def smp_anchored(spark: SparkSession, d: str) -> DataFrame:
     return sampling.linked(known, X.pool(spark, d), X.edges(spark, d), 0.5, 7)
 
 
+def tags() -> dict[str, F.Column]:
+    """The eight tags of a processed record that a sample must hold."""
+    return {
+        "native": T.is_native(N), "web": (c("domain_stem") != "") | T.is_handle(N), "empty": c("empty_addr") == 1, "honorific": c("has_honorific") == 1, "landmark": c("landmark_flag") == 1,
+        "postcode": c("missing_pin") == 0, "no_legal": c("legal_form") == "", "one_word": F.size(F.split(c("core_name"), " ")) <= 1,
+    }
+
+
 @query()
 def smp_tagmin(spark: SparkSession, d: str) -> DataFrame:
-    empty = F.trim(T.text("business_address")) == ""
-    return sampling.tag_minimum(X.pool(spark, d), {"native": T.is_native(N), "empty": empty, "domain": T.domain_stem(N) != ""}, "entity_id", 400)
+    """400 records of the noisy sources, 70 % linked to a known record, with at least a twentieth of each tag."""
+    owner = X.edges(spark, d).select(c("mid").alias("entity_id"), F.lit(True).alias("_owned")).distinct()
+    p = T.processed(X.pool(spark, d)).join(owner, "entity_id", "left").withColumn("kind", F.when(c("_owned"), "linked").otherwise("no_match"))
+    p = cut(p)
+    return sampling.linked_share(p, "kind", tags(), "entity_id", 400).select("entity_id", "kind", *[v.alias(k) for k, v in tags().items()])
+
+
+PRF_SIDE = """SELECT '{0}_rows_' || lower(country) AS fact, count(*)::DOUBLE AS value FROM {1} GROUP BY country UNION ALL SELECT '{0}_rows', count(*) FROM {1} UNION ALL SELECT '{0}_empty_address', count(*) FILTER (trim(coalesce(business_address, '')) = '') FROM {1}
+UNION ALL SELECT '{0}_distinct_names', count(DISTINCT business_name) FROM {1} UNION ALL SELECT '{0}_mean_name', round(avg(length(business_name)), 6) FROM {1} UNION ALL SELECT '{0}_mean_address', round(avg(length(business_address)), 6) FROM {1}
+UNION ALL SELECT '{0}_longest_name', max(length(business_name)) FROM {1} UNION ALL SELECT '{0}_native_names', count(*) FILTER (regexp_matches(business_name, '""" + NATIVE + """')) FROM {1} UNION ALL SELECT '{0}_exact_copies', count(*) - count(DISTINCT (business_name, coalesce(business_address, ''), country)) FROM {1}"""
+
+
+def prf_sql(name: str, source: str) -> str:
+    return PRF_SIDE.replace("{0}", name).replace("{1}", source)
 
 
-@query(f"""WITH {POOL_SQL}, {EDGES_SQL} SELECT 'rows_s1' AS fact, count(*)::DOUBLE AS value FROM train_source1 UNION ALL SELECT 'rows_pool', count(*) FROM pool UNION ALL SELECT 'empty_address', count(*) FROM pool WHERE business_address IS NULL
-UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'distinct_names', count(DISTINCT business_name) FROM pool UNION ALL SELECT 'mean_address', round(avg(length(business_address)), 6) FROM pool""")
+@query(f"""WITH {POOL_SQL}, {EDGES_SQL}, mc AS (SELECT source1_entity_id AS s1, count(mid) AS n FROM train_matches LEFT JOIN edges ON edges.s1 = source1_entity_id GROUP BY 1)
+{prf_sql('s1', 'train_source1')} UNION ALL {prf_sql('pool', 'pool')} UNION ALL SELECT 'links', count(*) FROM edges UNION ALL SELECT 'links_mean', round(avg(n), 6) FROM mc WHERE n > 0 UNION ALL SELECT 'links_most', max(n) FROM mc
+UNION ALL SELECT 'singletons_share', round(avg((n = 0)::INT), 6) FROM mc UNION ALL SELECT 'reused_most', max(k) FROM (SELECT count(*) AS k FROM edges GROUP BY mid) UNION ALL SELECT 'unlinked_pool', count(*) FROM pool WHERE entity_id NOT IN (SELECT mid FROM edges)
+UNION ALL SELECT 'dangling_links', count(*) FROM edges WHERE mid NOT IN (SELECT entity_id FROM pool)""")
 def prf_eda(spark: SparkSession, d: str) -> DataFrame:
-    p = X.pool(spark, d).agg(
-        F.count("*").cast("double").alias("rows_pool"), F.count_if(c("business_address").isNull()).cast("double").alias("empty_address"),
-        F.count_distinct(N).cast("double").alias("distinct_names"), F.round(F.avg(F.char_length("business_address")), 6).alias("mean_address"),
-    )
-    facts = lambda t: t.unpivot([], list(t.columns), "fact", "value")
-    n = lambda t, name: facts(t.agg(F.count("*").cast("double").alias(name)))
-    return facts(p).unionByName(n(X.s1(spark, d), "rows_s1")).unionByName(n(X.edges(spark, d), "edges"))
+    """The profile of both sides and of the links in one list of facts."""
+    return profile.report({"s1": X.s1(spark, d), "pool": X.pool(spark, d)}, labelled(spark, d), X.edges(spark, d))
 
 
 @query()
@@ -482,9 +574,9 @@ def aug_noise(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def aug_pairs(spark: SparkSession, d: str) -> DataFrame:
-    own = X.s1(spark, d).join(labelled(spark, d).withColumnRenamed("s1", "entity_id"), "entity_id", "left_anti")
-    noisy = augment.add_noise(own).select(c("entity_id").alias("s1"), F.concat_ws(" | ", "noisy_name", F.nullif("noisy_address", F.lit(""))).alias("text"), F.lit("noisy").alias("kind"))
-    return own.select(c("entity_id").alias("s1"), F.concat_ws(" | ", N, "business_address").alias("anchor")).join(noisy, "s1")
+    """The four sets of training pairs; half of the labelled records are kept for the matcher."""
+    held = sampling.bucketed(labelled(spark, d), "s1", 0.5)
+    return augment.pair_sets(X.s1(spark, d), X.pool(spark, d), X.edges(spark, d), X.buckets(spark, d), held)
 
 
 @query(f"""WITH {BUCKET_SQL}, {EDGES_SQL} SELECT s1, cand, (n - 1)::INT AS r FROM (SELECT bk.s1, cand, row_number() OVER (PARTITION BY bk.s1 ORDER BY score DESC, cand) AS n FROM bk LEFT JOIN edges e ON e.s1 = bk.s1 AND e.mid = cand WHERE e.mid IS NULL AND score IS NOT NULL) WHERE n <= 10""")

@@ -10,7 +10,7 @@ from linkweave.plans.registry import query
 from linkweave.sources import fixtures as X
 from linkweave.sources import tsv
 from linkweave.sources.fixtures import BUCKET_SQL, EDGES_SQL, P_SQL, POOL_SQL, S1_SQL
-from linkweave.sources.tables import table
+from linkweave.sources.tables import scratch, table
 
 c = F.col
 
@@ -22,16 +22,22 @@ def r6(x):
 # ---- scans and sinks
 
 
+def stored_tsv(spark: SparkSession, df: DataFrame) -> str:
+    path = scratch(spark, "tsv")
+    tsv.write_tsv(df, path)
+    return path
+
+
 @query("SELECT entity_id, business_name FROM train_source1 WHERE country = 'India'")
 def src_tsv_lazy(spark: SparkSession, d: str) -> DataFrame:
-    lines = tsv.to_lines(X.s1(spark, d), X.RECORD)
-    return tsv.from_lines(lines, X.RECORD).filter("country = 'India'").select("entity_id", "business_name")
+    path = stored_tsv(spark, X.s1(spark, d))
+    return tsv.read_tsv(spark, path, X.RECORD).filter("country = 'India'").select("entity_id", "business_name")
 
 
-@query("SELECT entity_id, coalesce(business_address, '') AS business_address FROM train_source3")
+@query("SELECT entity_id, regexp_replace(coalesce(business_name, ''), '[\t\r\n]', ' ', 'g') AS business_name, regexp_replace(coalesce(business_address, ''), '[\t\r\n]', ' ', 'g') AS business_address FROM train_source3")
 def src_tsv_raw(spark: SparkSession, d: str) -> DataFrame:
-    lines = tsv.to_lines(table(spark, d, "train_source3"), ["entity_id", "business_address"])
-    return tsv.from_lines(lines, ["entity_id", "business_address"])
+    columns = ["entity_id", "business_name", "business_address"]
+    return tsv.read_tsv(spark, stored_tsv(spark, table(spark, d, "train_source3").select(columns)), columns)
 
 
 @query("SELECT entity_id, country, '' AS absent FROM train_source2")
@@ -50,30 +56,76 @@ def src_pq_isin(spark: SparkSession, d: str) -> DataFrame:
     return X.s1(spark, d).join(ids, "entity_id", "left_semi").select("entity_id", "business_name")
 
 
-@query("""SELECT 'train' AS split, source, sum(CASE WHEN country = 'India' THEN n ELSE 0 END)::BIGINT AS india, sum(CASE WHEN country = 'US' THEN n ELSE 0 END)::BIGINT AS us FROM (
-SELECT 'source1' AS source, country, count(*) AS n FROM train_source1 GROUP BY 2 UNION ALL SELECT 'source2', country, count(*) FROM train_source2 GROUP BY 2
-UNION ALL SELECT 'source3', country, count(*) FROM train_source3 GROUP BY 2) GROUP BY 2""")
+@query("""SELECT split, source, count(*) FILTER (country = 'France') AS france, count(*) FILTER (country = 'India') AS india, count(*) FILTER (country = 'US') AS us FROM (
+SELECT 'train' AS split, 'source1' AS source, country FROM train_source1 UNION ALL SELECT 'train', 'source2', country FROM train_source2
+UNION ALL SELECT 'train', 'source3', country FROM train_source3 UNION ALL SELECT 'test', 'source1', country FROM test_source1) GROUP BY 1, 2""")
 def src_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return tsv.inventory(spark, d, ["train_source1", "train_source2", "train_source3"], ["India", "US"])
+    return tsv.inventory(spark, d, ["train_source1", "train_source2", "train_source3", "test_source1"])
 
 
-@query("SELECT DISTINCT source1_entity_id FROM train_matches")
+@query("SELECT source1_entity_id AS id, row_number() OVER (ORDER BY source1_entity_id) - 1 AS n FROM train_matches")
 def src_idlist(spark: SparkSession, d: str) -> DataFrame:
-    lines = tsv.to_lines(table(spark, d, "train_matches"), ["source1_entity_id", "matched_entity_ids"])
-    return lines.select(F.split("value", "\t")[0].alias("source1_entity_id")).distinct()
+    path = stored_tsv(spark, table(spark, d, "train_matches").select("source1_entity_id", "matched_entity_ids").orderBy("source1_entity_id"))
+    return tsv.id_list(spark, path, "source1_entity_id")
 
 
 @query(f"""WITH {EDGES_SQL} SELECT s.entity_id || chr(9) || coalesce(string_agg(e.mid, ',' ORDER BY e.mid), '') AS line
-FROM train_source1 s LEFT JOIN edges e ON e.s1 = s.entity_id GROUP BY s.entity_id""")
+FROM train_source1 s LEFT JOIN edges e ON e.s1 = s.entity_id GROUP BY s.entity_id UNION ALL SELECT 'entity_id' || chr(9) || 'ids'""")
 def snk_tsv(spark: SparkSession, d: str) -> DataFrame:
     lists = X.edges(spark, d).groupBy("s1").agg(F.array_join(F.sort_array(F.collect_list("mid")), ",").alias("ids"))
-    return tsv.required_lines(X.s1(spark, d).select("entity_id"), lists)
+    path = stored_tsv(spark, tsv.required(X.s1(spark, d).select("entity_id"), lists))
+    return spark.read.text(path).select(c("value").alias("line"))
+
+
+@query("SELECT entity_id || chr(9) || country AS line FROM train_source1 UNION ALL SELECT entity_id || chr(9) || country FROM test_source1 UNION ALL SELECT 'entity_id' || chr(9) || 'country'")
+def snk_tsv_append(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "tsv")
+    for name in ("train_source1", "test_source1"):
+        tsv.write_tsv(table(spark, d, name).select("entity_id", "country"), path, "append")
+    return spark.read.text(path).select(c("value").alias("line"))
+
+
+@query("SELECT country, count(*) AS n, round(avg(length(business_name)), 6) AS mean FROM train_source2 GROUP BY 1")
+def snk_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A metric table written as CSV with a header and as JSON lines, and both read back: they must agree."""
+    m = table(spark, d, "train_source2").groupBy("country").agg(F.count("*").alias("n"), F.round(F.avg(F.char_length("business_name")), 6).alias("mean"))
+    path = scratch(spark, "metrics")
+    m.write.csv(f"{path}/csv", header=True)
+    m.write.json(f"{path}/json")
+    kind = "country string, n bigint, mean double"
+    return spark.read.csv(f"{path}/csv", header=True, schema=kind).intersect(spark.read.schema(kind).json(f"{path}/json"))
 
 
-@query("SELECT count(*) AS changed FROM (SELECT entity_id, business_name FROM train_source1 EXCEPT SELECT entity_id, business_name FROM train_source1)")
+@query("SELECT vec_id, len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings UNION ALL SELECT -1, max(len(embedding))::INT, round(sum(list_sum(embedding::DOUBLE[])) / count(*), 5) FROM embeddings")
+def snk_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors and their mean stored as array columns and read back; the mean's row has the id -1."""
+    from linkweave.operators.dense import mean_vector
+
+    path, e = scratch(spark, "vectors"), table(spark, d, "embeddings").select("vec_id", "embedding")
+    e.write.parquet(path)
+    back = spark.read.parquet(path)
+    spark.createDataFrame([(-1, mean_vector(back, "embedding"))], "vec_id bigint, embedding array<double>").write.parquet(f"{path}-mean")
+    both = back.select("vec_id", c("embedding").cast("array<double>").alias("v")).unionAll(spark.read.parquet(f"{path}-mean"))
+    return both.select("vec_id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query("""WITH a AS (SELECT entity_id, business_name FROM train_source1), b AS (SELECT entity_id, CASE WHEN entity_id = (SELECT min(entity_id) FROM a) THEN business_name || '!' ELSE business_name END AS business_name FROM a),
+d AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) SELECT step, CASE step WHEN 'same' THEN true WHEN 'changed' THEN (SELECT n = 0 FROM d) ELSE false END AS reused, (SELECT sum(length(business_name)) FROM a) + CASE WHEN step IN ('changed', 'settings') THEN 1 ELSE 0 END AS letters
+FROM (VALUES ('first'), ('same'), ('changed'), ('settings')) s(step)""")
 def src_cache(spark: SparkSession, d: str) -> DataFrame:
-    keys = X.s1(spark, d).select("entity_id", "business_name")
-    return keys.exceptAll(keys).agg(F.count("*").alias("changed"))
+    """A stored result asked for again, with one text changed, and under other settings: what was reused, and what came out."""
+    from linkweave.sources.cache import reuse
+
+    a = X.s1(spark, d).select("entity_id", "business_name")
+    least = a.agg(F.min("entity_id")).first()[0]
+    b = a.withColumn("business_name", F.when(c("entity_id") == least, F.concat("business_name", F.lit("!"))).otherwise(c("business_name")))
+    path, out = scratch(spark, "cache"), None
+    build = lambda x: x.select("entity_id", F.char_length("business_name").alias("n"))
+    for step, inputs, settings in (("first", a, {"mode": "raw"}), ("same", a, {"mode": "raw"}), ("changed", b, {"mode": "raw"}), ("settings", b, {"mode": "latin"})):
+        result, reused = reuse(path, inputs, settings, build)
+        row = spark.createDataFrame([(step, reused, result.agg(F.sum("n")).first()[0])], "step string, reused boolean, letters bigint")
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 # ---- projections, filters, casts
@@ -199,16 +251,13 @@ def jn_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT DISTINCT entity_id, country, unnest(string_split(lower(business_name), ' ')) AS tok FROM train_source1),
-rare AS (SELECT country, tok FROM w WHERE length(tok) >= 4 GROUP BY 1, 2 HAVING count(*) <= 3),
 v AS (SELECT DISTINCT entity_id, country, unnest(string_split(lower(business_name), ' ')) AS tok FROM test_source1)
-SELECT w.entity_id AS s1, v.entity_id AS other, tok FROM w JOIN rare USING (country, tok) JOIN v USING (country, tok)""")
+SELECT w.entity_id AS s1, v.entity_id AS other, tok FROM w JOIN v USING (country, tok) WHERE length(tok) >= 4""")
 def jn_token_explode(spark: SparkSession, d: str) -> DataFrame:
     from linkweave.operators.blocking import tokens
 
-    a, b = tokens(X.s1(spark, d)), tokens(table(spark, d, "test_source1"))
-    rare = a.filter(F.length("tok") >= 4).groupBy("country", "tok").agg(F.count("*").alias("n")).filter("n <= 3").select("country", "tok")
-    a = a.join(rare, ["country", "tok"], "left_semi").withColumnRenamed("entity_id", "s1")
-    return a.join(b.withColumnRenamed("entity_id", "other"), ["country", "tok"]).select("s1", "other", "tok")
+    a, b = (tokens(t).filter(F.length("tok") >= 4) for t in (X.s1(spark, d), table(spark, d, "test_source1")))
+    return a.withColumnRenamed("entity_id", "s1").join(b.withColumnRenamed("entity_id", "other"), ["country", "tok"]).select("s1", "other", "tok")
 
 
 @query(f"WITH {BUCKET_SQL}, {EDGES_SQL} SELECT bk.s1, cand FROM bk JOIN edges ON edges.s1 = bk.s1 AND edges.mid = cand")
@@ -493,8 +542,17 @@ def set_newpairs(spark: SparkSession, d: str) -> DataFrame:
     return X.buckets(spark, d).groupBy("country").agg(n.alias("n"), r6(n / F.count_distinct("s1")).alias("per_s1"))
 
 
-@query("SELECT true AS equal")
+@query(f"""WITH {BUCKET_SQL}, a AS (SELECT s1, cand FROM bk), b AS (SELECT DISTINCT s1_entity_id, candidate_entity_id FROM s1_buckets), h AS (SELECT s1, cand FROM bk WHERE rank < 5)
+SELECT pair, missing, extra, missing + extra = 0 AS equal FROM (SELECT 'same' AS pair, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS missing, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS extra
+UNION ALL SELECT 'head', (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM h)), (SELECT count(*) FROM (SELECT * FROM h EXCEPT ALL SELECT * FROM a)))""")
 def set_equal(spark: SparkSession, d: str) -> DataFrame:
     a = X.buckets(spark, d).select("s1", "cand")
     b = table(spark, d, "s1_buckets").select(c("s1_entity_id").alias("s1"), c("candidate_entity_id").alias("cand")).distinct()
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg((F.count("*") == 0).alias("equal"))
+    return difference(a, b, "same").unionAll(difference(a, X.buckets(spark, d).filter("rank < 5").select("s1", "cand"), "head"))
+
+
+def difference(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    """``(pair, missing, extra, equal)``: rows of ``a`` that ``b`` lacks and the other way round, repeated rows as often as they occur."""
+    side = lambda x, missing: x.select(F.lit(missing).alias("m"))
+    both = side(a.exceptAll(b), 1).unionAll(side(b.exceptAll(a), 0)).agg(F.count_if(c("m") == 1).alias("missing"), F.count_if(c("m") == 0).alias("extra"))
+    return both.select(F.lit(name).alias("pair"), "missing", "extra", (c("missing") + c("extra") == 0).alias("equal"))

@@ -88,7 +88,19 @@ def str_domain(spark: SparkSession, d: str) -> DataFrame:
     return one(spark, d, stem=T.domain_stem(N))
 
 
-@query()
+def core_sql(source: str) -> str:
+    """Words of the names of a relation (entity_id, country, core) that are no legal form; all words where nothing else is left."""
+    return f"""cn AS (SELECT entity_id, country, list_filter(list_transform(string_split(regexp_replace({base_sql(N)}, '{T.HONORIFIC}', ''), ' '), lambda t: trim(t, '.')), lambda t: t <> '') AS t FROM {source}),
+co AS (SELECT entity_id, country, array_to_string(CASE WHEN len(list_filter(t, lambda x: x NOT IN ({list_sql(T.LEGAL)}))) = 0 THEN t ELSE list_filter(t, lambda x: x NOT IN ({list_sql(T.LEGAL)})) END, ' ') AS core FROM cn)"""
+
+
+# Letters h and w do not part two letters of one code, all others do; the first letter stands for itself.
+SOUNDEX_SQL = """sl AS (SELECT entity_id, country, core, regexp_extract_all(regexp_replace(split_part(core, ' ', 1), '[^a-z]', '', 'g'), '.') AS l FROM co),
+sk AS (SELECT *, l[1:1] || list_filter(l[2:], lambda x: x NOT IN ('h', 'w')) AS k FROM sl), sd AS (SELECT *, list_transform(k, lambda x: translate(x, 'abcdefghijklmnopqrstuvwxyz', '01230127022455012623017202')) AS d FROM sk),
+sx AS (SELECT entity_id, country, core, CASE WHEN len(l) = 0 THEN '' ELSE rpad(upper(l[1]) || left(array_to_string(list_transform(list_filter(range(2, len(d) + 1), lambda i: d[i] <> '0' AND d[i] <> d[i - 1]), lambda i: d[i]), ''), 3), 4, '0') END AS code FROM sd)"""
+
+
+@query(f"WITH {core_sql('train_source3')}, {SOUNDEX_SQL} SELECT entity_id, code FROM sx")
 def str_soundex(spark: SparkSession, d: str) -> DataFrame:
     return one(spark, d, code=T.phonetic(N))
 
@@ -151,8 +163,11 @@ ELSE coalesce({region_sql('last')}, list_filter(list_transform(w, lambda t: {map
 f AS (SELECT *, coalesce(state, CASE WHEN len(p) >= 2 THEN list_filter(list_transform(p, lambda x: {region_sql('x')}), lambda x: x IS NOT NULL)[1] END, '') AS code FROM st)"""
 
 
-@query(f"""WITH {STATE_SQL} SELECT entity_id, code AS state, CASE WHEN len(p) < 2 THEN '' WHEN state IS NOT NULL THEN trim(regexp_replace(p[-2], '[0-9]+', '', 'g'), ' ')
-WHEN code <> '' THEN coalesce(list_filter(p, lambda x: {region_sql('x')} IS NULL AND NOT regexp_matches(x, '^[0-9]') AND length(x) > 2)[1], '') ELSE '' END AS city FROM f""")
+CITY_SQL = f"""CASE WHEN len(p) < 2 THEN '' WHEN state IS NOT NULL THEN trim(regexp_replace(p[-2], '[0-9]+', '', 'g'), ' ')
+WHEN code <> '' THEN coalesce(list_filter(p, lambda x: {region_sql('x')} IS NULL AND NOT regexp_matches(x, '^[0-9]') AND length(x) > 2)[1], '') ELSE '' END"""
+
+
+@query(f"WITH {STATE_SQL} SELECT entity_id, code AS state, {CITY_SQL} AS city FROM f")
 def str_citystate(spark: SparkSession, d: str) -> DataFrame:
     rows = s3(spark, d).select("entity_id", A).unionByName(table(spark, d, "test_source1").select("entity_id", A))
     return rows.select("entity_id", T.state_code(A).alias("state"), T.city(A).alias("city"))
@@ -163,9 +178,10 @@ def str_landmark(spark: SparkSession, d: str) -> DataFrame:
     return one(spark, d, landmark=T.landmark(A))
 
 
-@query(f"WITH {NORM_A} SELECT entity_id, (norm = '')::INT AS empty_addr, (NOT regexp_matches(s, '(^|[^0-9])[0-9]{{5,6}}($|[^0-9])'))::INT AS missing_pin FROM n")
+@query(f"""WITH {STATE_SQL}, {NORM_A}, ci AS (SELECT entity_id, {CITY_SQL} AS city FROM f)
+SELECT n.entity_id, (norm = '')::INT AS empty_addr, (NOT regexp_matches(s, '(^|[^0-9])[0-9]{{5,6}}($|[^0-9])'))::INT AS missing_pin, (city = '')::INT AS missing_city FROM n JOIN (SELECT DISTINCT * FROM ci) USING (entity_id)""")
 def str_flags(spark: SparkSession, d: str) -> DataFrame:
-    return T.processed(s3(spark, d)).select("entity_id", "empty_addr", "missing_pin")
+    return T.processed(s3(spark, d)).select("entity_id", "empty_addr", "missing_pin", "missing_city")
 
 
 @query(f"""WITH r AS (SELECT entity_id, list_transform(string_split(coalesce(business_address, ''), ','), lambda p: {words_sql('p')}) AS parts FROM train_source3),
@@ -178,9 +194,10 @@ def str_streetof(spark: SparkSession, d: str) -> DataFrame:
     return one(spark, d, x=T.street_of(A)).select("entity_id", "x.street", "x.house")
 
 
-@query("SELECT entity_id, regexp_replace(lower(coalesce(business_name, '')), '[^0-9a-z]', '', 'g') AS compact FROM train_source3")
+@query(f"""WITH {NAMES}, o AS (SELECT *, list_filter(t, lambda x: x NOT IN ({list_sql(T.LEGAL)})) AS o FROM tk)
+SELECT entity_id, regexp_replace(lower(coalesce(nullif(regexp_extract(replace(s, ' ', ''), '{T.DOMAIN}', 1), ''), nullif(array_to_string(CASE WHEN len(o) = 0 THEN t ELSE o END, ' '), ''), s)), '[^0-9a-z]', '', 'g') AS compact FROM o""")
 def str_compact(spark: SparkSession, d: str) -> DataFrame:
-    return one(spark, d, compact=T.compact(N))
+    return T.processed(s3(spark, d)).select("entity_id", T.compact_of("domain_stem", "name_lat", "name_norm").alias("compact"))
 
 
 @query(r"SELECT entity_id, regexp_matches(business_name, '[^\x{0000}-\x{024F}\x{1E00}-\x{1EFF}\x{2000}-\x{206F}\x{20A0}-\x{20CF}]') AS native FROM train_source3")
@@ -231,25 +248,40 @@ def str_numkeys(spark: SparkSession, d: str) -> DataFrame:
     return s3(spark, d).select("entity_id", F.explode(T.number_keys(A)).alias("key"))
 
 
-@query(f"WITH {keys_sql('train_source1')} SELECT entity_id, country || '|' || phon || '|' || left(name_clean, 4) AS key FROM keys")
+@query(f"""WITH {core_sql('train_source1')}, {SOUNDEX_SQL} SELECT entity_id, country || '|' || code || '|' || left(core, 4) AS key FROM sx""")
 def str_blockkey(spark: SparkSession, d: str) -> DataFrame:
-    x = T.with_keys(X.s1(spark, d))
-    return x.select("entity_id", F.concat_ws("|", "country", "phon", F.substring("name_clean", 1, 4)).alias("key"))
+    return X.s1(spark, d).select("entity_id", T.block_key(N).alias("key"))
+
+
+WORDMAP = f"""{EDGES_SQL}, {POOL_SQL}, wp AS (SELECT t, unnest(es) AS e FROM (SELECT unnest(string_split(lower(b.business_name), ' ')) AS t, string_split(lower(a.business_name), ' ') AS es FROM edges e JOIN train_source1 a ON a.entity_id = e.s1 JOIN pool b ON b.entity_id = e.mid)),
+al AS (SELECT t, e, count(*) AS n FROM wp WHERE length(t) > 2 AND left(t, 1) = left(e, 1) GROUP BY 1, 2), wm AS (SELECT t, e, n FROM (SELECT *, sum(n) OVER (PARTITION BY t) AS all_n, row_number() OVER (PARTITION BY t ORDER BY n DESC, e) AS r FROM al) WHERE r = 1 AND n >= 20 AND n >= 0.6 * all_n)"""
 
 
-@query("SELECT entity_id, array_to_string(list_transform(string_split(lower(business_name), ' '), lambda w: CASE w WHEN 'ltd' THEN 'limited' WHEN 'corp' THEN 'corporation' WHEN 'inc' THEN 'incorporated' ELSE w END), ' ') AS name FROM train_source1")
+@query(f"""WITH {WORDMAP}, ws AS (SELECT entity_id, unnest(string_split(lower(business_name), ' ')) AS t, generate_subscripts(string_split(lower(business_name), ' '), 1) AS i FROM (SELECT DISTINCT entity_id, business_name FROM train_source3))
+SELECT entity_id, string_agg(coalesce(e, ws.t), ' ' ORDER BY i) AS name FROM ws LEFT JOIN wm ON wm.t = ws.t GROUP BY 1""")
 def str_wordmap(spark: SparkSession, d: str) -> DataFrame:
-    from linkweave.operators.wordmap import apply_map
+    """Names rewritten by the word map that labelled pairs teach."""
+    from linkweave.operators.wordmap import aligned_words, apply_table, learn_map
 
-    m = {"ltd": "limited", "corp": "corporation", "inc": "incorporated"}
-    return X.s1(spark, d).select("entity_id", apply_map(F.split(F.lower(N), " "), m).alias("name"))
+    learned = learn_map(aligned_words(pairs(spark, d), "y", "x"))
+    names = s3(spark, d).select("entity_id", F.lower(N).alias("name")).distinct()
+    return apply_table(names, "entity_id", "name", learned.select("t", "e"))
 
 
-@query("SELECT entity_id, CASE WHEN trim(coalesce(business_address, '')) = '' THEN business_name ELSE business_name || ' | ' || business_address END AS raw FROM train_source3")
+@query(f"""WITH {NAMES.replace(", tk AS", ", tkx AS")}, {NORM_A} SELECT r.entity_id, CASE WHEN trim(coalesce(r.business_address, '')) = '' THEN r.business_name ELSE r.business_name || ' | ' || r.business_address END AS raw,
+CASE WHEN trim(n.norm) = '' THEN norm.s ELSE norm.s || ' | ' || n.norm END AS processed FROM (SELECT DISTINCT entity_id, business_name, business_address FROM train_source3) r JOIN (SELECT DISTINCT entity_id, s FROM norm) norm USING (entity_id) JOIN (SELECT DISTINCT entity_id, norm FROM n) n USING (entity_id)""")
 def str_textmode(spark: SparkSession, d: str) -> DataFrame:
     from linkweave.operators.wordmap import text_of
 
-    return s3(spark, d).select("entity_id", text_of("raw").alias("raw"))
+    return s3(spark, d).select("entity_id", text_of("raw").alias("raw"), text_of("processed").alias("processed")).distinct()
+
+
+@query()
+def str_textmode_latin(spark: SparkSession, d: str) -> DataFrame:
+    """The two modes that write other scripts in Latin."""
+    from linkweave.operators.wordmap import text_of
+
+    return s3(spark, d).select("entity_id", text_of("fixed").alias("fixed"), text_of("latin").alias("latin"))
 
 
 @query()
@@ -259,6 +291,14 @@ def str_translit(spark: SparkSession, d: str) -> DataFrame:
     return s3(spark, d).filter(T.is_native(N)).select("entity_id", N, transliterate_col(N).alias("latin"))
 
 
+@query()
+def str_xlit(spark: SparkSession, d: str) -> DataFrame:
+    """Names in another script written in Latin word by word, each distinct word once."""
+    from linkweave.functions.script import transliterate_words
+
+    return transliterate_words(s3(spark, d).filter(T.is_native(N)).select("entity_id", N).distinct(), "entity_id", N)
+
+
 @query()
 def agg_wordmap(spark: SparkSession, d: str) -> DataFrame:
     from linkweave.functions.script import transliterate_col
@@ -266,7 +306,7 @@ def agg_wordmap(spark: SparkSession, d: str) -> DataFrame:
 
     owner = X.edges(spark, d).join(X.pool(spark, d).withColumnRenamed("entity_id", "mid"), "mid").select("s1", transliterate_col(N).alias("t"), T.is_native(N).alias("native"))
     names = X.s1(spark, d).select(c("entity_id").alias("s1"), F.lower(N).alias("e"))
-    return learn_map(aligned_words(owner.filter("native").join(names, "s1"), "t", "e"), 2, 0.6)
+    return learn_map(aligned_words(owner.filter("native").join(names, "s1"), "t", "e"))
 
 
 # ---- arrays, maths, JSON
@@ -418,3 +458,12 @@ def sim_lex8(spark: SparkSession, d: str) -> DataFrame:
 
     f = lexical_features(X.edges(spark, d).withColumnRenamed("mid", "cand"), X.s1(spark, d), X.pool(spark, d))
     return f.select("s1", c("cand").alias("mid"), "pin", "hnum", "first", "name_gap", "addr_gap")
+
+
+@query()
+def sim_lex8_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """The three ratios of the eight lexical features."""
+    from linkweave.operators.features import lexical_features
+
+    f = lexical_features(X.edges(spark, d).withColumnRenamed("mid", "cand"), X.s1(spark, d), X.pool(spark, d))
+    return f.select("s1", c("cand").alias("mid"), "name_ratio", "name_set", "addr_ratio")

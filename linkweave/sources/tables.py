@@ -1,8 +1,11 @@
-"""Reading the tables of a data directory, and cutting lineage on a cluster."""
+"""Reading the tables of a data directory, cutting lineage, and files in the shared folder of a cluster."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,13 +15,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, as the context uses it.
+
+    Where none is named, a local session gets a temporary folder that goes with the process; a cluster gets an error, as
+    a folder of one machine would be lost to the others.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="linkweave-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and continue from the copy.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is used. Survives the loss of executors, unlike a local checkpoint.
+    Survives the loss of executors, unlike a local checkpoint. The copies go when nothing refers to them any more where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, and with a local session's folder.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkweave-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from linkweave.sources.tables import table
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All-string TSV with a header; quotes are ordinary characters; empty fields are empty strings."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.csv(path, sep="\t", header=True, schema=schema, quote="", escape="", nullValue="\u0000", emptyValue="")
-    return raw.select([F.coalesce(c, F.lit("")).alias(c) for c in columns])
+    """All-string TSV of one file or many, a header in the first or in each; quotes are ordinary characters; empty fields are empty strings.
+
+    ``columns`` are the header's. Lines are split in the JVM; what is not selected afterwards is not cut out.
+    """
+    lines = spark.read.text(path).filter(F.col("value") != "\t".join(columns))
+    return from_lines(lines, columns)
+
+
+def id_list(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """``(id, n)``: distinct first fields of a TSV and the place of each one's first line in file order, from 0.
+
+    Lines are numbered within their partition; only the partitions' line counts are summed over all of them.
+    """
+    lines = spark.read.text(path).select(F.split("value", "\t")[0].alias("id"), F.monotonically_increasing_id().alias("m"))
+    if header is not None:
+        lines = lines.filter(F.col("id") != header)
+    lines = lines.select("id", F.shiftright("m", 33).alias("part"), F.col("m"))
+    inside = Window.partitionBy("part").orderBy("m")
+    sizes = lines.groupBy("part").agg(F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.withColumn("n", F.row_number().over(inside) - 1).join(sizes.select("part", before.alias("before")), "part")
+    return placed.groupBy("id").agg(F.min(F.col("before") + F.col("n")).alias("n"))
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One header, no quoting; null is an empty field. Appending keeps the header per part file."""
-    rows = df.select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
-    rows.write.mode(mode).csv(path, sep="\t", header=True, quote="", emptyValue="")
+    """Tab-separated part files, never quoted; null is an empty field, a tab or line end within one a space.
+
+    The header is the first line of the first part file, so the files in order of name are one TSV; appending to files
+    that are there adds none.
+    """
+    lines = to_lines(df, df.columns)
+    if mode != "append" or not _exists(df.sparkSession, path):
+        header = df.sparkSession.range(1, numPartitions=1).select(F.lit("\t".join(df.columns)).alias("value"))
+        lines = header.unionAll(lines)
+    lines.write.mode(mode).text(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def write_by_country(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -43,18 +70,20 @@ def tolerant(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select([F.col(c) if c in df.columns else F.lit("").alias(c) for c in columns])
 
 
-def required_lines(required: DataFrame, lists: DataFrame) -> DataFrame:
-    """One line per required id: id, tab, its list, or nothing. ``required`` (entity_id), ``lists`` (s1, ids)."""
-    j = required.join(lists.withColumnRenamed("s1", "entity_id"), "entity_id", "left")
-    return j.select(F.concat(F.col("entity_id"), F.lit("\t"), F.coalesce("ids", F.lit(""))).alias("line"))
+def required(ids: DataFrame, lists: DataFrame) -> DataFrame:
+    """One row per required id with its list, empty where there is none. ``ids`` (entity_id), ``lists`` (s1, ids)."""
+    j = ids.join(lists.withColumnRenamed("s1", "entity_id"), "entity_id", "left")
+    return j.select("entity_id", F.coalesce("ids", F.lit("")).alias("ids"))
 
 
-def inventory(spark: SparkSession, d: str, names: list[str], countries: list[str]) -> DataFrame:
-    """Row counts by split and source, from table names of the form split_source, with a column a country."""
+def inventory(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
+    """``(split, source, country columns)``: rows of the files called <split>_<source>, by what their names say, with a column a country."""
+    paths = [f"{d}/{n}.parquet" for n in names]
     rows = None
-    for name in names:
-        t = table(spark, d, name).select(F.lit(name).alias("name"), "country")
+    for path in paths:
+        t = spark.read.parquet(path).select(F.input_file_name().alias("file"), F.coalesce("country", F.lit("")).alias("country"))
         rows = t if rows is None else rows.unionByName(t)
-    rows = rows.withColumn("split", F.split("name", "_")[0]).withColumn("source", F.split("name", "_")[1])
-    p = rows.groupBy("split", "source").pivot("country", countries).count()
-    return p.select("split", "source", *[F.coalesce(F.col(x), F.lit(0)).alias(x.lower()) for x in countries])
+    said = r"([a-z]+)_(source\d+)\.parquet"
+    counts = rows.groupBy(F.regexp_extract("file", said, 1).alias("split"), F.regexp_extract("file", said, 2).alias("source"), "country").count()
+    p = counts.groupBy("split", "source").pivot("country").sum("count")
+    return p.select("split", "source", *[F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(x.lower() or "none") for x in p.columns[2:]])

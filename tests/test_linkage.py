@@ -26,7 +26,7 @@ def test_unseen_country_meets_all(records):
 def test_empty_tables(spark, records):
     none = spark.createDataFrame([], RECORDS)
     assert blocking.lexical_block(none, records[1]).count() == 0
-    a, b = blocking.tfidf(none.select("entity_id", none.business_name.alias("t")), none.select("entity_id", none.business_name.alias("t")), "t")
+    a, b = blocking.tfidf(*[none.select("entity_id", "country", none.business_name.alias("t"))] * 2, "t")
     assert blocking.sparse_top(a, b, 3).count() == 0
 
 
@@ -52,10 +52,14 @@ def test_one_owner_before_cutoff_and_ties(spark):
 
 
 def test_validator(spark):
-    lists = spark.createDataFrame([("S1-1", "S2-1,S2-1"), ("S1-1", "S1-2"), ("S1-9", "X-1")], "s1 string, ids string")
+    text = ["id\tids", "S1-1\tS2-1,S2-1", "S1-1\tS1-2", "S1-9\tX-1,S2-7", "", "broken", "id\tids"]
+    lines = spark.createDataFrame([(x,) for x in text], "value string")
     req, known = (spark.createDataFrame([(x,) for x in ids], "entity_id string") for ids in (["S1-1", "S1-2"], ["S2-1"]))
-    got = {r.rule: r.n for r in validate.check(lists, req, known).collect()}
-    assert got == {"repeated_row": 1, "repeated_id": 1, "own_id": 1, "wrong_prefix": 1, "unknown_id": 2, "missing": 1, "extra": 1}
+    cands = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S1-2")], "s1 string, cand string")
+    got = {r.rule: (r.n, r.examples) for r in validate.check(lines, "id\tids", req, known, cands).collect()}
+    one = {"no_tab": "broken", "repeated_row": "S1-1", "repeated_id": "S1-1", "own_id": "S1-2", "wrong_prefix": "X-1", "unknown_id": "S2-7", "missing": "S1-2", "extra": "S1-9"}
+    assert got == {k: (1, v) for k, v in one.items()} | {"header": (1, ""), "outside": (2, "S1-9 S2-7 | S1-9 X-1")}
+    assert {r.rule: r.n for r in validate.check(lines.limit(0), "id\tids", req, known).collect()}["header"] == 1
 
 
 def test_tsv_round_trip(spark, tmp_path):
@@ -72,7 +76,7 @@ def test_dense_against_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     q, p = spark.createDataFrame(rows[:10], "q long, v array<double>"), spark.createDataFrame(rows[10:], "c long, v array<double>")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    got = {(r.q, r.r): r.c for r in dense.dense_top(q, p, 3, blocks=4).collect()}
+    got = {(r.q, r.r): r.c for r in dense.dense_top(q, p, 3, block=13).collect()}
     assert got == {(i, k): 10 + j for i in range(10) for k, j in enumerate(np.argsort(-(u[i] @ u[10:].T))[:3])}
 
 
