@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from linkweave.sources.tables import cut
 
 #: Curves, dimensions of each projection, bits of each coordinate, neighbours looked at on either side along a curve.
 CURVES, DIMS, BITS, REACH = 8, 10, 6, 192
+#: Rows of a curve that a partition holds, and copies of one vector that one key of the last join has, at most about.
+ROWS, COPIES = 100_000, 10_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -53,7 +56,14 @@ def curves(width: int, count: int, dims: int, seed: int = 7) -> tuple[np.ndarray
 
 
 def _unit(raw: list[bytes] | pd.Series, width: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, width).astype(np.float64)
+    """Unit rows of packed vectors, kept as half precision (two bytes a number) or single."""
+    raw = list(raw)
+    short = np.array([len(v) == 2 * width for v in raw], bool)
+    x = np.empty((len(raw), width))
+    for half, kind in ((True, np.float16), (False, np.float32)):
+        at = np.flatnonzero(short == half)
+        if len(at):
+            x[at] = np.frombuffer(b"".join(raw[i] for i in at), kind).reshape(-1, width)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -109,6 +119,27 @@ def _nearest(width: int, k: int, reach: int):
     return run
 
 
+def _edges(reach: int):
+    """The first and the last ``reach`` rows of a partition, for the borders with the partitions before and behind it.
+
+    ``run`` tells a border and a curve apart: rows of two partitions meet only on one curve.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, count = TaskContext.get().partitionId(), 0
+        last = None
+        for df in batches:
+            if count < reach:
+                head = df.iloc[: reach - count]
+                yield head.assign(run=part * 1000 + head.curve, side=1, at=range(count, count + len(head))).drop(columns=["curve", "key"])
+            count += len(df)
+            last = df.iloc[-reach:] if last is None else pd.concat([last, df]).iloc[-reach:]
+        if last is not None:
+            yield last.assign(run=(part + 1) * 1000 + last.curve, side=0, at=range(len(last))).drop(columns=["curve", "key"])
+
+    return run
+
+
 def _sums(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s, q = 0, np.zeros(width), 0.0
@@ -126,7 +157,11 @@ def _pack(width: int):
     def pack(v: pd.Series) -> pd.Series:
         def one(a):
             x = np.asarray(a, np.float32)
-            return x.tobytes() if len(x) == width and np.isfinite(x).all() and x.any() else None
+            if len(x) != width or not np.isfinite(x).all() or not x.any():
+                return None
+            with np.errstate(over="ignore"):
+                half = x.astype(np.float16)
+            return half.tobytes() if np.array_equal(half.astype(np.float32), x) else x.tobytes()
 
         return v.map(one, na_action="ignore")
 
@@ -150,14 +185,21 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, k: int = 10, width: i
     mean = np.array(total["s"], float) / n if n else np.zeros(width)
     scale = float(np.sqrt(max((total["q"] / n if n else 1.0) - mean @ mean, 1e-12) / width))
     keyed = points.select("rep", "vec").mapInPandas(_keys(width, mean, scale, count, dims, bits), "curve int, key bigint, rep bigint, vec binary")
-    ordered = keyed.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "rep")
-    near = ordered.mapInPandas(_nearest(width, k, reach), "a bigint, b bigint, cos double")
+    # Partitions of many times the reach, so that a window meets one border at most.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(n * count // (8 * reach), max(tasks, n * count // ROWS)))
+    ordered = cut(keyed.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key", "rep"))
+    inside = ordered.mapInPandas(_nearest(width, k, reach), "a bigint, b bigint, cos double")
+    # Windows that reach over a border of partitions: the last rows of one meet the first of the next.
+    edges = ordered.mapInPandas(_edges(reach), "rep bigint, vec binary, run bigint, side int, at int")
+    seams = edges.repartition("run").sortWithinPartitions("run", "side", "at").select(F.col("run").alias("curve"), "rep", "vec")
+    near = inside.unionByName(seams.mapInPandas(_nearest(width, k, reach), "a bigint, b bigint, cos double"))
     merged = near.groupBy("a", "b").agg(F.max("cos").alias("cos"))
     best = merged.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("cos").desc(), "b"))).filter(F.col("r") <= k).drop("r")
 
     # Copies: the first k + 1 ids of each point are all that any list can need.
-    multi = points.filter("n > 1").select("vec", "rep")
-    members = rows.select("vec_id", "vec").distinct().join(multi, "vec").select("rep", "vec_id")
+    multi = points.filter("n > 1").select("vec", "rep", "n")
+    members = rows.select("vec_id", "vec").distinct().join(multi, "vec").select("rep", "vec_id", F.ceil(F.col("n") / COPIES).cast("int").alias("salts"))
     few = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     single = points.filter("n = 1").select("rep", F.col("rep").alias("vec_id"))
     first_ids = few.select("rep", "vec_id").unionByName(single)
@@ -166,10 +208,13 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, k: int = 10, width: i
     lists = others.unionByName(own)
     lists = lists.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("cos").desc(), "neighbour_id"))).filter(F.col("r") <= k + 1)
     lists = lists.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("r", "neighbour_id", "cos"))).alias("list"))
-    every = members.unionByName(single).withColumnRenamed("rep", "a")
+    # A point with many copies is spread over as many salted keys as its copies need.
+    salts = multi.select(F.col("rep").alias("a"), F.ceil(F.col("n") / COPIES).cast("int").alias("salts"))
+    salted = lists.join(salts, "a", "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")))
+    every = members.unionByName(single.withColumn("salts", F.lit(1))).withColumnRenamed("rep", "a").withColumn("salt", F.expr("cast(pmod(xxhash64(vec_id), salts) as int)"))
     # At most k + 1 entries a list: without the vector itself, k are left.
     own_list = F.slice(F.filter("list", lambda x: x["neighbour_id"] != F.col("vec_id")), 1, k)
-    out = every.join(lists, "a").select("vec_id", F.explode(own_list).alias("x"))
+    out = every.join(salted, ["a", "salt"]).select("vec_id", F.explode(own_list).alias("x"))
     return out.select("vec_id", F.col("x.neighbour_id").alias("neighbour_id"), F.col("x.cos").alias("cosine"))
 
 
