@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 
 from linkweave.llm.records import similarity
 
-#: Columns of a parsed record that a comparison needs.
-SIDE = ["core", "common", "letters", "whole", "site", "initials", "house", "suffix", "street", "kind", "way", "town", "pin"]
 VOTES = ["v_house", "v_street", "v_town", "v_pin", "v_core", "v_words", "v_extra", "v_initials"]
 
 
@@ -72,6 +71,27 @@ def place_votes(a, b) -> tuple[int, int, int, int]:
     return (house, street, town, pin)
 
 
+class Side(NamedTuple):
+    """What a comparison reads of one parsed record."""
+
+    core: str
+    common: list[str]
+    letters: str
+    whole: str
+    site: str
+    initials: bool
+    house: str
+    suffix: str
+    street: str
+    kind: str
+    way: str
+    town: float | None
+    pin: str
+
+
+SIDE = list(Side._fields)
+
+
 def compare(rows: DataFrame, keep: list[str], measures: dict[str, Callable] | None = None) -> DataFrame:
     """The ``keep`` columns of candidate pairs (``a`` and ``b`` are structs of SIDE) with their VOTES and other measures of a and b."""
     measures = measures or {}
@@ -80,8 +100,7 @@ def compare(rows: DataFrame, keep: list[str], measures: dict[str, Callable] | No
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             out = df[keep].copy()
-            sides = ([_Side(r) for r in df[c].to_dict("records")] for c in ("a", "b")) if isinstance(df["a"], pd.DataFrame) else ([_Side(r) for r in df[c]] for c in ("a", "b"))
-            left, right = sides
+            left, right = (list(map(Side, *(df[f"_{s}_{c}"].tolist() for c in SIDE))) for s in "ab")
             votes = [(*place_votes(a, b), *name_votes(a, b)) for a, b in zip(left, right, strict=True)]
             for k, name in enumerate(VOTES):
                 out[name] = pd.Series([v[k] for v in votes], index=out.index, dtype="int32")
@@ -90,16 +109,10 @@ def compare(rows: DataFrame, keep: list[str], measures: dict[str, Callable] | No
             yield out
 
     schema = ", ".join([kept, *(f"{v} int" for v in VOTES), *(f"{m} double" for m in measures)])
-    return rows.select(*keep, "a", "b").mapInPandas(run, schema)
-
-
-class _Side:
-    __slots__ = SIDE
-
-    def __init__(self, row):
-        for c in SIDE:
-            v = row[c]
-            setattr(self, c, [] if v is None and c == "common" else v)
+    # Flat columns reach the workers as they are; structs would come as one object a row.
+    none = F.array().cast("array<string>")
+    flat = [(F.coalesce(F.col(f"{s}.{c}"), none) if c == "common" else F.col(f"{s}.{c}")).alias(f"_{s}_{c}") for s in "ab" for c in SIDE]
+    return rows.select(*keep, *flat).mapInPandas(run, schema)
 
 
 def side(prefix: str | None = None):

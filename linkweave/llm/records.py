@@ -191,23 +191,39 @@ def variants(word: str) -> tuple[str, ...]:
 
 
 def distance(a: str, b: str, most: int = 9) -> int:
-    """Edits (with swaps of neighbours) between two words; ``most + 1`` where they are more than ``most``."""
+    """Edits (with swaps of neighbours) between two words; ``most + 1`` where they are more than ``most``.
+
+    Bit-parallel: a column of the table of edits is two integers of one bit a letter of ``a``.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row[j] = d
-        if min(row) > most:
-            return most + 1
-        before = last
-    return min(row[-1], most + 1)
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, diagonal, before, d = full, 0, 0, 0, len(a)
+    for ch in b:
+        here = masks.get(ch, 0)
+        swap = ((~diagonal & here) << 1) & before
+        diagonal = ((((here & up) + up) ^ up) | here | down | swap) & full
+        more = (down | ~(diagonal | up)) & full
+        less = diagonal & up
+        d += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        up, down, before = (less | ~(diagonal | more)) & full, more & diagonal, here
+    return min(d, most + 1)
+
+
+@lru_cache(maxsize=300_000)
+def _letters(word: str) -> int:
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
 
 
 @lru_cache(maxsize=300_000)
@@ -217,7 +233,12 @@ def similarity(a: str, b: str) -> float:
     n = max(len(a), len(b))
     if not n:
         return 0.0
-    most = int(n * 0.4)
+    if a == b:
+        return 1.0
+    most, x, y = int(n * 0.4), _letters(a), _letters(b)
+    # Every letter that one word lacks takes an edit.
+    if (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
+        return 0.0
     d = distance(a, b, most)
     return 1 - d / n if d <= most else 0.0
 
