@@ -92,26 +92,38 @@ class Side(NamedTuple):
 SIDE = list(Side._fields)
 
 
-def compare(rows: DataFrame, keep: list[str], measures: dict[str, Callable] | None = None) -> DataFrame:
-    """The ``keep`` columns of candidate pairs (``a`` and ``b`` are structs of SIDE) with their VOTES and other measures of a and b."""
+#: Fields and votes of the two parts of a comparison.
+NAME, PLACE = SIDE[:6], SIDE[6:]
+NAME_VOTES, PLACE_VOTES = VOTES[4:], VOTES[:4]
+
+
+def compare(rows: DataFrame, keep: list[str], measures: dict[str, Callable] | None = None, parts: tuple[str, ...] = ("place", "name")) -> DataFrame:
+    """The ``keep`` columns of candidate pairs (``a`` and ``b`` are structs of SIDE) with their VOTES and other measures of a and b.
+
+    ``parts``: only the votes of places or of names; fields of the other part don't reach the workers and are empty there.
+    """
     measures = measures or {}
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    of = {"place": (place_votes, PLACE, PLACE_VOTES), "name": (name_votes, NAME, NAME_VOTES)}
+    fields = [c for c in SIDE if any(c in of[p][1] for p in parts)]
+    names = [v for p in parts for v in of[p][2]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             out = df[keep].copy()
-            left, right = (list(map(Side, *(df[f"_{s}_{c}"].tolist() for c in SIDE))) for s in "ab")
-            votes = [(*place_votes(a, b), *name_votes(a, b)) for a, b in zip(left, right, strict=True)]
-            for k, name in enumerate(VOTES):
+            blank = [None] * len(df)
+            left, right = (list(map(Side, *(df[f"_{s}_{c}"].tolist() if c in fields else blank for c in SIDE))) for s in "ab")
+            votes = [tuple(v for p in parts for v in of[p][0](a, b)) for a, b in zip(left, right, strict=True)]
+            for k, name in enumerate(names):
                 out[name] = pd.Series([v[k] for v in votes], index=out.index, dtype="int32")
-            for name, of in measures.items():
-                out[name] = [of(a, b) for a, b in zip(left, right, strict=True)]
+            for name, f in measures.items():
+                out[name] = [f(a, b) for a, b in zip(left, right, strict=True)]
             yield out
 
-    schema = ", ".join([kept, *(f"{v} int" for v in VOTES), *(f"{m} double" for m in measures)])
+    schema = ", ".join([kept, *(f"{v} int" for v in names), *(f"{m} double" for m in measures)])
     # Flat columns reach the workers as they are; structs would come as one object a row.
     none = F.array().cast("array<string>")
-    flat = [(F.coalesce(F.col(f"{s}.{c}"), none) if c == "common" else F.col(f"{s}.{c}")).alias(f"_{s}_{c}") for s in "ab" for c in SIDE]
+    flat = [(F.coalesce(F.col(f"{s}.{c}"), none) if c == "common" else F.col(f"{s}.{c}")).alias(f"_{s}_{c}") for s in "ab" for c in fields]
     return rows.select(*keep, *flat).mapInPandas(run, schema)
 
 
