@@ -41,6 +41,14 @@ def text(x: Column | str) -> Column:
     return F.coalesce(_c(x), F.lit(""))
 
 
+def size(x: Column | str) -> Column:
+    """``40k`` is 40,000, ``1.5m`` 1,500,000, a plain number itself; null for anything else."""
+    said = F.lower(F.regexp_replace(_c(x), r"[\s,_]", ""))
+    number = F.regexp_extract(said, r"^([0-9]+(?:\.[0-9]+)?)[km]?$", 1)
+    unit = F.when(said.endswith("k"), 1_000).when(said.endswith("m"), 1_000_000).otherwise(1)
+    return F.when(number != "", F.round(number.cast("decimal(24,6)") * unit).cast("long"))
+
+
 def clean_lex(x: Column | str) -> Column:
     """Lower case; all but letters, marks, digits and spaces become spaces; spaces collapse."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text(x)), r"[^\p{L}\p{M}\p{N} ]", " "), r"\s+", " "))

@@ -63,6 +63,32 @@ def src_inventory(spark: SparkSession, d: str) -> DataFrame:
     return tsv.inventory(spark, d, ["train_source1", "train_source2", "train_source3", "test_source1"])
 
 
+@query("SELECT 'train_source1' AS name, count(*) AS n FROM train_source1 UNION ALL SELECT 'place_ref', count(*) FROM place_ref UNION ALL SELECT 'documents', count(*) FROM documents")
+def src_discover(spark: SparkSession, d: str) -> DataFrame:
+    """Tables found by name under a folder, and their rows."""
+    from linkweave.sources.discover import find
+
+    rows = [spark.read.parquet(find(f"{n}.parquet", [d])).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("train_source1", "place_ref", "documents")]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
+@query("SELECT country, entity_id, business_name FROM train_source1 UNION ALL SELECT country, entity_id, business_name FROM test_source1")
+def snk_pq_append(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches appended to one Parquet table with a folder a country, and read back."""
+    path = scratch(spark, "appended")
+    for name in ("train_source1", "test_source1"):
+        tsv.write_by_country(table(spark, d, name).select("entity_id", "business_name", "country"), path, "append")
+    return spark.read.parquet(path).select("country", "entity_id", "business_name")
+
+
+@query("SELECT entity_id, business_name FROM test_source1 WHERE country = 'France'")
+def snk_pq_country(spark: SparkSession, d: str) -> DataFrame:
+    """One country of a table with a folder a country: the filter prunes the other folders."""
+    path = scratch(spark, "by-country")
+    tsv.write_by_country(table(spark, d, "test_source1").select("entity_id", "business_name", "country"), path)
+    return spark.read.parquet(path).filter("country = 'France'").select("entity_id", "business_name")
+
+
 @query("SELECT source1_entity_id AS id, row_number() OVER (ORDER BY source1_entity_id) - 1 AS n FROM train_matches")
 def src_idlist(spark: SparkSession, d: str) -> DataFrame:
     path = stored_tsv(spark, table(spark, d, "train_matches").select("source1_entity_id", "matched_entity_ids").orderBy("source1_entity_id"))

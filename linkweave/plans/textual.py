@@ -309,6 +309,15 @@ def agg_wordmap(spark: SparkSession, d: str) -> DataFrame:
     return learn_map(aligned_words(owner.filter("native").join(names, "s1"), "t", "e"))
 
 
+@query("""WITH t AS (SELECT doc_id, n_chars, CASE doc_id % 3 WHEN 0 THEN n_chars::VARCHAR WHEN 1 THEN ' ' || (n_chars / 1000.0)::DECIMAL(18, 3)::VARCHAR || 'K' ELSE (n_chars * 10)::VARCHAR || 'm' END AS said FROM documents WHERE n_chars IS NOT NULL)
+SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN n_chars * 10000000 ELSE n_chars END AS size FROM t""")
+def str_size(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes as people write them: plain, in thousands and in millions."""
+    n = c("n_chars")
+    said = F.when(c("doc_id") % 3 == 0, n.cast("string")).when(c("doc_id") % 3 == 1, F.concat(F.lit(" "), (n / 1000).cast("decimal(18,3)").cast("string"), F.lit("K"))).otherwise(F.concat((n * 10).cast("string"), F.lit("m")))
+    return table(spark, d, "documents").filter("n_chars IS NOT NULL").select("doc_id", T.size(said).alias("size"))
+
+
 # ---- arrays, maths, JSON
 
 
