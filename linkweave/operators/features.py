@@ -15,14 +15,14 @@ def word_weights(records: DataFrame, column: str = "business_name") -> tuple[Dat
     """``(tok, idf)`` of the records' words, and ``(unseen)``, the weight of a word no record has."""
     toks = records.select("entity_id", F.explode(F.array_distinct(F.split(F.lower(column), " "))).alias("tok"))
     n = records.agg(F.count("*").alias("n"))
-    df = toks.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(n)
-    return df.select("tok", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf")), n.select((F.log(F.col("n") + 1.0) + 1).alias("unseen"))
+    df = toks.groupBy("tok").agg(F.count("*").alias("df"))
+    return df.select("tok", (F.log((n.scalar() + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf")), n.select((F.log(F.col("n") + 1.0) + 1).alias("unseen"))
 
 
 def _weighed(pairs: DataFrame, records: DataFrame) -> DataFrame:
     idf, unseen = word_weights(records)
     words = pairs.select("s1", "mid", F.explode(F.array_union("tx", "ty")).alias("tok"), "tx", "ty")
-    return words.join(idf, "tok", "left").crossJoin(unseen).select("s1", "mid", "tok", F.array_contains("tx", F.col("tok")).alias("a"), F.array_contains("ty", F.col("tok")).alias("b"), F.coalesce("idf", "unseen").alias("w"))
+    return words.join(idf, "tok", "left").select("s1", "mid", "tok", F.array_contains("tx", F.col("tok")).alias("a"), F.array_contains("ty", F.col("tok")).alias("b"), F.coalesce("idf", unseen.scalar()).alias("w"))
 
 
 def idf_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def _record_side(df: DataFrame) -> DataFrame:
 def _weights_joined(df: DataFrame, column: str, idf: DataFrame, out: str) -> DataFrame:
     """``out``: map of each record's words to their weight; a word without one is left to the default."""
     w = df.select("entity_id", "country", F.explode(column).alias("tok")).join(idf, ["country", "tok"], "left")
-    m = w.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("tok", F.coalesce("idf", "unseen").alias("w")))).alias(out)) if "unseen" in idf.columns else w.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("tok", F.coalesce("idf", F.lit(12.0)).alias("w")))).alias(out))
+    m = w.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("tok", F.coalesce("idf", unseen.scalar()).alias("w")))).alias(out)) if "unseen" in idf.columns else w.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("tok", F.coalesce("idf", F.lit(12.0)).alias("w")))).alias(out))
     return df.join(m, "entity_id", "left")
 
 

@@ -14,7 +14,7 @@ def degree(edges: DataFrame, pool: DataFrame) -> DataFrame:
     """Most owners of one record, records with an owner, percent of the pool without."""
     g = edges.groupBy("mid").agg(F.count("*").alias("k")).agg(F.max("k").alias("most"), F.count("*").alias("matched"))
     n = pool.agg(F.count("*").alias("n"))
-    return g.crossJoin(n).select("most", "matched", F.round(100.0 * (1 - F.col("matched") / F.col("n")), 6).alias("unlabelled"))
+    return g.select("most", "matched", F.round(100.0 * (1 - F.col("matched") / n.scalar()), 6).alias("unlabelled"))
 
 
 def country_mismatches(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

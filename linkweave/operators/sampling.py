@@ -32,18 +32,18 @@ def folds(df: DataFrame, group: str, k: int, seed: int = 42) -> DataFrame:
 
 def negatives_down(df: DataFrame, label: str, id_cols: list[str], ratio: float = 2.0, seed: int = 42) -> DataFrame:
     """All positives, and about ``ratio`` negatives for each, picked by hash without a global sort."""
-    counts = df.agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    share = ratio * F.col("pos") / F.greatest(F.col("n") - F.col("pos"), F.lit(1))
+    pos, n = F.sum(F.col(label).cast("long")), F.count("*")
+    share = df.agg((ratio * pos / F.greatest(n - pos, F.lit(1))).alias("share")).scalar()
     u = F.pmod(F.xxhash64(F.lit(seed), *id_cols), F.lit(1_000_000)) / 1e6
-    return df.crossJoin(F.broadcast(counts)).filter((F.col(label).cast("int") == 1) | (u < share)).drop("pos", "n")
+    return df.filter((F.col(label).cast("int") == 1) | (u < share))
 
 
 def stratified(df: DataFrame, stratum: str, id_col: str, size: int, floor_n: int = 20, floor_share: float = 0.01, seed: int = 42) -> DataFrame:
     """About ``size`` rows: of each stratum at least ``floor_n`` or ``floor_share``, the rest in proportion."""
     counts = df.groupBy(stratum).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("all"))
-    quota = F.greatest(F.lit(floor_n), F.ceil(floor_share * F.col("n")), F.floor(size * F.col("n") / F.col("all")))
-    quotas = counts.crossJoin(total).select(stratum, F.least("n", quota).alias("quota"))
+    total = df.agg(F.count("*").alias("all")).scalar()
+    quota = F.greatest(F.lit(floor_n), F.ceil(floor_share * F.col("n")), F.floor(size * F.col("n") / total))
+    quotas = counts.select(stratum, F.least("n", quota).alias("quota"))
     w = Window.partitionBy(stratum).orderBy(hashed(id_col, seed), id_col)
     return df.withColumn("_n", F.row_number().over(w)).join(quotas, stratum).filter(F.col("_n") <= F.col("quota")).drop("_n", "quota")
 

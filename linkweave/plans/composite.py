@@ -459,7 +459,7 @@ def met_recall(spark: SparkSession, d: str) -> DataFrame:
     slices = X.pool(spark, d).select(c("entity_id").alias("cand"), F.explode(F.array_compact(names)).alias("slice"))
     b = X.buckets(spark, d)
     per = b.agg(F.round(F.count("*") / F.count_distinct("s1"), 6).alias("per_s1"))
-    return metrics.recall(b, truth(spark, d).join(slices, "cand"), "slice").crossJoin(per)
+    return metrics.recall(b, truth(spark, d).join(slices, "cand"), "slice").withColumn("per_s1", per.scalar())
 
 
 @query(f"""WITH {BUCKET_SQL}, {EDGES_SQL}, r AS (SELECT m.source1_entity_id AS s1, count(mid) AS n, count(cand) AS k FROM train_matches m LEFT JOIN edges e ON e.s1 = m.source1_entity_id LEFT JOIN bk ON bk.s1 = e.s1 AND cand = mid GROUP BY 1)
