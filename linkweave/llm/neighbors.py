@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from linkweave.sources.tables import cut
 
 #: Curves, dimensions of each projection, bits of each coordinate, neighbours looked at on either side along a curve.
 CURVES, DIMS, BITS, REACH = 8, 10, 6, 192
+#: Points up to which CURVES do; each doubling takes two more, as along one curve more strangers come between neighbours.
+POINTS = 65_536
 #: Rows of a curve that a partition holds, and copies of one vector that one key of the last join has, at most about.
 ROWS, COPIES = 100_000, 10_000
 
@@ -168,14 +171,14 @@ def _pack(width: int):
     return pack
 
 
-def most_similar(df: DataFrame, id_col: str, vec_col: str, k: int = 10, width: int = 64, count: int = CURVES, dims: int = DIMS, bits: int = BITS, reach: int = REACH) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str, vec_col: str, k: int = 10, width: int = 64, count: int | None = None, dims: int = DIMS, bits: int = BITS, reach: int = REACH) -> DataFrame:
     """``(vec_id, neighbour_id, cosine)``: for every vector the k others of highest cosine, ties by smaller id.
 
     Every vector is indexed and asked for. Equal vectors are one point on the curves, so a group of copies of any size
     costs one row a curve; each copy then gets its own list: its copies (smallest ids first) and the members of the
     nearest other points. Null vectors, vectors of another width, with NaN or infinity, or of length zero take no part.
     Approximate: a neighbour is missed where it lies within reach on none of the curves; see the README for the recall
-    measured against brute force. Mean and spread come from all points. Empty input: no rows.
+    measured against brute force. ``count``: curves, by default as many as the number of points takes. Mean and spread come from all points. Empty input: no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), _pack(width)(F.col(vec_col)).alias("vec")).filter("vec is not null")
     points = cut(rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n")))
@@ -183,6 +186,7 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, k: int = 10, width: i
     total = sums.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s"), F.sum("q").alias("q")).first()
     n = total["n"] or 0
     mean = np.array(total["s"], float) / n if n else np.zeros(width)
+    count = count or CURVES + 2 * max(0, math.ceil(math.log2(max(n, 1) / POINTS)))
     scale = float(np.sqrt(max((total["q"] / n if n else 1.0) - mean @ mean, 1e-12) / width))
     keyed = points.select("rep", "vec").mapInPandas(_keys(width, mean, scale, count, dims, bits), "curve int, key bigint, rep bigint, vec binary")
     # Partitions of many times the reach, so that a window meets one border at most.
