@@ -69,10 +69,18 @@ def _long_keys(df: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
     return rows
 
 
-def lexical_block(left: DataFrame, right: DataFrame, cap: int = 30, most: int = 2000) -> DataFrame:
-    """The ``cap`` candidates of each record that share the most keys; ties: better priority, then smaller id."""
+def lexical_block(left: DataFrame, right: DataFrame, cap: int = 30, most: int = 2000, block: int = 8192) -> DataFrame:
+    """``(s1, cand, nkeys, best_prio)``: the ``cap`` candidates of each record that share the most keys; ties: better priority, then smaller id.
+
+    The same pairs as the head of ``lexical_pairs``, but pairs are never rows: blocks of records hold posting lists, and
+    each record's hits are counted in an array, as in ``sparse_top``. Stop keys join nothing.
+    """
+    a, b = _long_keys(left, tuple(PRIORITY), "entity_id"), _long_keys(right, tuple(PRIORITY), "entity_id")
+    stops = b.groupBy("country", "k").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("country", "k")
+    vector = lambda x: x.join(stops, ["country", "k"], "left_anti").groupBy("country", "entity_id").agg(F.collect_list(F.xxhash64("k")).alias("g"), F.collect_list(F.col("prio").cast("double")).alias("w"))
+    found = _in_blocks(vector(a), vector(b), right, block).mapInPandas(_searcher(lambda: _SharedKeys(cap)), "s1 string, cand string, nkeys bigint, best_prio int")
     w = Window.partitionBy("s1").orderBy(F.desc("nkeys"), "best_prio", "cand")
-    return lexical_pairs(left, right, most).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap).drop("n")
+    return found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap).drop("n")
 
 
 def by_country(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -86,11 +94,11 @@ def by_country(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def grams(df: DataFrame, text: str, n: int = 3) -> DataFrame:
     """``(entity_id, country, gram, tf)``: character n-grams of each word with a space on either side, sublinear frequency ``1 + ln tf``."""
-    word = F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("w")
-    padded = df.select("entity_id", "country", word).select("entity_id", "country", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w") - (n - 1))))
-    cuts = padded.select("entity_id", "country", "w", at.alias("i")).select("entity_id", "country", F.col("w").substr(F.col("i"), F.lit(n)).alias("gram"))
-    return cuts.groupBy("entity_id", "country", "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
+    # Counted within the row: no shuffle is needed to see what a record holds.
+    words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    cuts = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - (n - 1))), lambda i: w.substr(i, F.lit(n)))))
+    counted = df.select("entity_id", "country", cuts.alias("all")).select("entity_id", "country", "all", F.explode(F.array_distinct("all")).alias("gram"))
+    return counted.select("entity_id", "country", "gram", (1 + F.log(F.size(F.filter("all", lambda g: g == F.col("gram"))))).alias("tf"))
 
 
 def tfidf(left: DataFrame, right: DataFrame, text: str, min_df: int = 2, max_df: float = 0.02) -> tuple[DataFrame, DataFrame]:
@@ -123,60 +131,106 @@ def sparse_top(a: DataFrame, b: DataFrame, k: int, least: float = 0.0, block: in
     back. What is shuffled is records times blocks; the hits of a common gram meet inside a task, as sums in an array,
     and are never rows, so a posting list that grows with the data costs no shuffle.
     """
-    vector = lambda x, t: x.groupBy("country", "entity_id").agg(F.collect_list(F.xxhash64("gram")).alias("g"), F.collect_list("w").alias("w")).withColumn("t", F.lit(t))
-    left, right = vector(a, 1), vector(b, 0)
-    sizes = b.groupBy("country").agg(F.ceil(F.approx_count_distinct("entity_id") / block).cast("int").alias("blocks"))
-    mine = right.join(sizes, "country").withColumn("b", F.expr("cast(pmod(xxhash64(entity_id), blocks) as int)")).drop("blocks")
-    asked = left.join(sizes, "country").withColumn("b", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
-    tasks = max(1, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = mine.unionByName(asked).repartition(tasks, "country", "b").sortWithinPartitions("country", "b", "t", "entity_id")
-    found = rows.mapInPandas(_sparse_products(k, least), "s1 string, cand string, sim double")
+    vector = lambda x: x.groupBy("country", "entity_id").agg(F.collect_list(F.xxhash64("gram")).alias("g"), F.collect_list("w").alias("w"))
+    found = _in_blocks(vector(a), vector(b), b, block).mapInPandas(_searcher(lambda: _Products(k, least)), "s1 string, cand string, sim double")
     n = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("sim"), "cand"))
     return found.withColumn("n", n).filter(F.col("n") <= k).select("s1", "cand", "sim", (F.col("n") - 1).alias("r"))
 
 
-def _sparse_products(k: int, least: float):
-    def postings(parts: list[pd.DataFrame]) -> tuple:
-        """Ids, sorted grams, where each gram's postings begin, and the postings: place and weight."""
-        ids = np.concatenate([p.entity_id.to_numpy() for p in parts])
+def _in_blocks(asked: DataFrame, held: DataFrame, sizes_of: DataFrame, block: int) -> DataFrame:
+    """Rows (country, entity_id, g, w) of both sides by country and block: a held one (t = 0) in one block, an asked one (t = 1) in all."""
+    sizes = sizes_of.groupBy("country").agg(F.ceil(F.approx_count_distinct("entity_id") / block).cast("int").alias("blocks"))
+    mine = held.join(sizes, "country").select("country", F.expr("cast(pmod(xxhash64(entity_id), blocks) as int)").alias("b"), F.lit(0).alias("t"), "entity_id", "g", "w")
+    ask = asked.join(sizes, "country").select("country", F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"), F.lit(1).alias("t"), "entity_id", "g", "w")
+    tasks = max(1, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return mine.unionByName(ask).repartition(tasks, "country", "b").sortWithinPartitions("country", "b", "t", "entity_id")
+
+
+class _Postings:
+    """Posting lists of a block: each key's places among the ids, with weights."""
+
+    def __init__(self, parts: list[pd.DataFrame]):
+        self.ids = np.concatenate([p.entity_id.to_numpy() for p in parts])
         sizes = np.concatenate([p.g.map(len).to_numpy() for p in parts])
-        gram, weight = (np.concatenate([x for p in parts for x in p[c]]) for c in ("g", "w"))
-        place = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(gram, kind="stable")
-        known, begin = np.unique(gram[order], return_index=True)
-        return ids, known, np.append(begin, len(gram)), place[order], weight[order]
+        key, weight = (np.concatenate([x for p in parts for x in p[c]]) for c in ("g", "w"))
+        order = np.argsort(key, kind="stable")
+        self.known, begin = np.unique(key[order], return_index=True)
+        self.begin = np.append(begin, len(key))
+        self.place, self.weight = np.repeat(np.arange(len(self.ids)), sizes)[order], weight[order]
+
+    def lists(self, keys: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
+        """From, to and the asker's weight of each list that the asker's keys have here."""
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        hit = self.known[at] == keys
+        return [(self.begin[i], self.begin[i + 1], x) for i, x in zip(at[hit], weights[hit], strict=True)]
+
+
+class _Products:
+    """The k greatest dot products over ``least``; of equals the first ids."""
+
+    names = ("sim",)
+
+    def __init__(self, k: int, least: float):
+        self.k, self.least = k, least
+
+    def best(self, p: _Postings, lists: list[tuple[int, int, float]]) -> tuple[np.ndarray, list]:
+        where = np.concatenate([p.place[lo:hi] for lo, hi, _ in lists])
+        total = np.round(np.bincount(where, np.concatenate([p.weight[lo:hi] * x for lo, hi, x in lists])), 6)
+        some = np.unique(where)
+        some = some[total[some] > self.least] if self.least else some
+        if len(some) > self.k:
+            some = some[total[some] >= -np.partition(-total[some], self.k - 1)[self.k - 1]]
+        some = some[np.lexsort((some, -total[some]))][: self.k]
+        return some, [total[some]]
+
+
+class _SharedKeys:
+    """The k records that share the most keys; of equals those of the better (smaller) priority, then the first ids."""
+
+    names = ("nkeys", "best_prio")
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def best(self, p: _Postings, lists: list[tuple[int, int, float]]) -> tuple[np.ndarray, list]:
+        where = np.concatenate([p.place[lo:hi] for lo, hi, _ in lists])
+        total = np.bincount(where)
+        some = np.flatnonzero(total)
+        if len(some) > self.k:
+            some = some[total[some] >= -np.partition(-total[some], self.k - 1)[self.k - 1]]
+        prio = np.empty(len(total), np.int32)
+        for lo, hi, x in sorted(lists, key=lambda e: -e[2]):
+            prio[p.place[lo:hi]] = x
+        some = some[np.lexsort((some, prio[some], -total[some]))][: self.k]
+        return some, [total[some], prio[some]]
+
+
+def _searcher(make):
+    """Answers each asked row (t = 1) of a block from the held ones (t = 0), which come first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, parts, index = None, [], None
+        search = make()
+        of, parts, held = None, [], None
         for df in batches:
-            for key, part in df.groupby(["country", "b"], sort=False, dropna=False):
+            for key, part in df.groupby(["country", "b"], sort=False):
                 if key != of:
-                    of, parts, index = key, [], None
+                    of, parts, held = key, [], None
                 if len(mine := part[part.t == 0]):
                     parts.append(mine)
                 if not len(asked := part[part.t == 1]) or not parts:
                     continue
-                index = index or postings(parts)
-                ids, known, begin, place, weight = index
-                q, c, sims = [], [], []
-                for name, gram, w in zip(asked.entity_id, asked.g, asked.w, strict=True):
-                    at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                    hit = known[at] == gram
-                    lists = [(begin[i], begin[i + 1], x) for i, x in zip(at[hit], w[hit], strict=True)]
-                    if not lists:
-                        continue
-                    where = np.concatenate([place[lo:hi] for lo, hi, _ in lists])
-                    total = np.round(np.bincount(where, np.concatenate([weight[lo:hi] * x for lo, hi, x in lists])), 6)
-                    some = np.unique(where)
-                    some = some[total[some] > least] if least else some
-                    if len(some) > k:
-                        some = some[total[some] >= -np.partition(-total[some], k - 1)[k - 1]]
-                    # Ids are ascending: of equals the first places have the smaller ones.
-                    some = some[np.lexsort((some, -total[some]))][:k]
-                    q += [name] * len(some)
-                    c += ids[some].tolist()
-                    sims += total[some].tolist()
-                yield pd.DataFrame({"s1": q, "cand": c, "sim": np.array(sims, float)})
+                held = held or _Postings(parts)
+                q, c, values = [], [], [[] for _ in search.names]
+                for name, keys, w in zip(asked.entity_id, asked.g, asked.w, strict=True):
+                    if lists := held.lists(keys, w):
+                        # Ids are ascending: of equals the first places have the smaller ones.
+                        some, found = search.best(held, lists)
+                        q += [name] * len(some)
+                        c.append(held.ids[some])
+                        for column, v in zip(values, found, strict=True):
+                            column.append(v)
+                if q:
+                    yield pd.DataFrame({"s1": q, "cand": np.concatenate(c)} | {n: np.concatenate(v) for n, v in zip(search.names, values, strict=True)})
 
     return run
 
