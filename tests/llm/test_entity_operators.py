@@ -123,6 +123,12 @@ def test_cosine_join_against_brute_force(parsed):
     assert set(got) == set(true) and all(abs(got[k] - true[k]) < 1e-9 for k in true)
 
 
+def test_overlap_without_a_place_needs_the_own_word(parsed):
+    test = [("S1-9", "Robert Brunstendo Plumbing Services Inc", "292 Sirzon Lane, Dongol Falls, TX 19991", "US")]
+    train = [("S2-8", "Robert Brulgelkil Plumbing Services LLC", None, "US"), ("S2-9", "Bob Brunstendo Plumbing Services Inc", "-", "US"), ("S3-9", "brunstendo.example", "292 Sirzon Ln, Dongol Falls", "US")]
+    assert {r.b_id for r in cosine_join.overlaps(parsed(test), parsed(train), parsed(test)).collect()} == {"S2-9", "S3-9"}
+
+
 def test_overlaps_and_counts(parsed):
     found = cosine_join.overlaps(parsed(LEFT), parsed(RIGHT), parsed(LEFT))
     assert {("S1-1", "S2-1"), ("S1-2", "S2-2")} <= {(r.a_id, r.b_id) for r in found.collect()}
@@ -153,6 +159,34 @@ def test_neighbours_recall_and_copies(spark):
     assert neighbors.most_similar(df.filter("vec_id >= 9000"), "vec_id", "v", 5, width=16).count() == 0
 
 
+def test_windows_go_on_over_partition_borders(spark):
+    """However many partitions hold the curves, no vector does worse than by the whole window on either side of it."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((700, 8)).astype(np.float32)
+    x[:350] = x[:350].astype(np.float16)  # kept in half precision, the others in single
+    reach, k, unit = 40, 5, x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    mean = unit.mean(0)
+    rows = pd.DataFrame({"rep": range(700), "vec": [v.tobytes() for v in x]})
+    keyed = pd.concat(list(neighbors._keys(8, mean, float(np.sqrt((1 - mean @ mean) / 8)), 2, 4, 6)(iter([rows])))).sort_values(["curve", "key", "rep"])
+    near: dict = {i: set() for i in range(700)}
+    for _, path in keyed.groupby("curve").rep:
+        order = path.tolist()
+        for n, i in enumerate(order):
+            near[i] |= set(order[max(0, n - reach) : n + reach + 1]) - {i}
+    least = {i: sorted((unit[i] @ unit[list(js)].T).tolist())[-k] for i, js in near.items()}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<float>")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            worst: dict = {}
+            for r in neighbors.most_similar(df, "vec_id", "v", k, width=8, count=2, dims=4, reach=reach).collect():
+                worst[r.vec_id] = min(worst.get(r.vec_id, 1.0), r.cosine)
+            assert len(worst) == 700 and all(worst[i] >= least[i] - 1e-9 for i in worst), parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 def test_hilbert_curve_steps():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)
