@@ -14,36 +14,51 @@ from linkweave.llm.records import similarity
 VOTES = ["v_house", "v_street", "v_town", "v_pin", "v_core", "v_words", "v_extra", "v_initials"]
 
 
-def name_votes(a, b) -> tuple[int, int, int, int]:
-    """Votes 1 (same), -1 (different), 0 (can't tell) of: own words, common words, words of one side only, initials."""
+def reading(a, b) -> tuple[str, float]:
+    """How two names read as one, and their likeness so read: ``initials`` (1 or 0), ``unsure`` initials of a web name, ``web``, ``core`` or ``whole``.
+
+    Initials are held against first letters, a web name against the beginning of the other run together or its own word,
+    own words against each other, also cut off, run together or spread over other words; names without own words as wholes.
+    """
     for x, y in ((a, b), (b, a)):
         if x.initials:
             if y.initials:
-                return (0, 0, 0, 1 if x.letters == y.letters else -1)
+                return "initials", float(x.letters == y.letters)
             if y.site:
-                return (0, 0, 0, 0)
+                return "unsure", 0.0
             full, got = y.letters, x.letters
             hit = got == full or len(got) > 1 and (full.startswith(got) or sorted(got) == sorted(full))
-            return (0, 0, 0, 1 if hit else -1)
+            return "initials", float(hit)
     for x, y in ((a, b), (b, a)):
         if x.site:
             if y.site:
                 n = min(len(x.site), len(y.site))
-                s = similarity(x.site[:n], y.site[:n])
-            else:
-                s = max(similarity(x.site, y.whole[: len(x.site)]), similarity(x.site, y.core) if y.core else 0.0)
-            return (1 if s >= 0.75 else -1 if s < 0.6 else 0, 0, 0, 0)
+                return "web", similarity(x.site[:n], y.site[:n])
+            return "web", max(similarity(x.site, y.whole[: len(x.site)]), similarity(x.site, y.core) if y.core else 0.0)
     if a.core and b.core:
         s = similarity(a.core, b.core)
-        if s < 0.72:  # parts of the core run together, cut off or spread over other words
+        if s < SAME:
             short, long = sorted((a.core, b.core), key=len)
             if len(short) >= 5 and (short in long or similarity(short, long[: len(short)]) >= 0.85 or similarity(short, long[-len(short) :]) >= 0.85):
                 s = 0.8
             else:
                 s = max(s, similarity(a.whole, b.whole))
-        core = 1 if s >= 0.72 else -1 if s < 0.6 else 0
-    else:
-        core = (1 if similarity(a.whole, b.whole) >= 0.85 else 0) if a.whole and b.whole else 0
+        return "core", s
+    return "whole", similarity(a.whole, b.whole) if a.whole and b.whole else 0.0
+
+
+#: Likeness from which on own words are the same, and under which they differ.
+SAME, OTHER = 0.72, 0.6
+
+
+def name_votes(a, b) -> tuple[int, int, int, int]:
+    """Votes 1 (same), -1 (different), 0 (can't tell) of: own words, common words, words of one side only, initials."""
+    kind, s = reading(a, b)
+    if kind in ("initials", "unsure"):
+        return (0, 0, 0, 0 if kind == "unsure" else 1 if s else -1)
+    if kind == "web":
+        return (1 if s >= 0.75 else -1 if s < OTHER else 0, 0, 0, 0)
+    core = (1 if s >= SAME else -1 if s < OTHER else 0) if kind == "core" else int(s >= 0.85)
     ca, cb = {w[:4] for w in a.common}, {w[:4] for w in b.common}
     both = len(ca & cb)
     few = min(len(ca), len(cb))
