@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.llm.linkage import _variants
 from linkweave.llm.pairs import compare, side
+from linkweave.llm.records import STREET_TYPES, fold
 from linkweave.sources.tables import cut
 
+#: Letters of a street that one cut off is met by.
+CUT = 5
 PARTS = ["country", "house", "suffix", "street", "kind", "way", "town", "pin"]
 
 
@@ -18,15 +21,29 @@ def buildings(parsed: DataFrame) -> DataFrame:
     return whole.withColumn("place", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in PARTS]))
 
 
+def expansions() -> Column:
+    """All plausible forms of a street: as it is, with any one letter left out, by its first letter and type, cut off, run together with its type."""
+    has_kind = F.col("kind") != ""
+    folded = F.create_map(*[F.lit(x) for k in STREET_TYPES for x in (k, fold(k))])
+    more = F.array(
+        F.concat_ws("|", F.lit("^"), F.substring("street", 1, 1), "kind"),
+        F.when(F.char_length("street") >= CUT, F.concat_ws("|", F.lit("<"), F.substring("street", 1, CUT))),
+        F.when(has_kind, F.concat("street", folded[F.col("kind")])),
+        # A street that ends in its type is one whose type was run together with it.
+        F.when(~has_kind, F.regexp_replace("street", f"(?:{'|'.join(sorted({fold(k) for k in STREET_TYPES}))})$", "")),
+    )
+    return F.array_distinct(F.filter(F.concat(_variants("street"), F.array_compact(more)), lambda f: f != ""))
+
+
 def forms(places: DataFrame) -> DataFrame:
-    """``(place, h)``: hashes of number with each plausible form of the street, by town or, where none is known, by postcode.
+    """``(place, h)``: hashes of the combinations of number, each form of the street, and the place, by town and by postcode.
 
-    Forms: the street's core as it is, with any one letter left out, and as its first letter with its type alone.
+    A combination needs what it is made of: an address without a known town has those by postcode only, and the other way
+    round.
     """
-    short = F.concat_ws("|", F.lit("^"), F.substring("street", 1, 1), "kind")
-    street = places.withColumn("form", F.explode(F.array_append(_variants("street"), short)))
+    street = places.withColumn("form", F.explode(expansions()))
     by_town = F.when(F.col("town").isNotNull(), F.xxhash64(F.lit("t"), "country", "town", "house", "form"))
-    by_pin = F.when(F.col("town").isNull(), F.xxhash64(F.lit("p"), "country", "pin", "house", "form"))
+    by_pin = F.when(F.col("pin") != "", F.xxhash64(F.lit("p"), "country", "pin", "house", "form"))
     return street.select("place", F.explode(F.array_compact(F.array(by_town, by_pin))).alias("h")).distinct()
 
 

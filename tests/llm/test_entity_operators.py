@@ -85,6 +85,18 @@ def test_same_building(parsed):
     assert addresses.same_building(parsed([]), parsed(b)).count() == 0
 
 
+def test_forms_of_an_address_meet(parsed):
+    """One letter off, cut off, run together with the type, initial alone, and by postcode where the town is not said."""
+    said = ["8683 Mulgendor Road, Dongol Falls, TX 19991", "8683 Mulgndor Rd, Dongol Falls", "8683 Mulge Road, Dongol Falls", "8683 Mulgendorroad, Dongol Falls", "8683 M. Road, Dongol Falls", "8683 Mulgendor Road, 19991"]
+    rows = parsed([(f"S2-{i}", "x", a, "US") for i, a in enumerate([*said, "8683 Sirzon Lane, Dongol Falls", "12 Mulgendor Road, Dongol Falls"])])
+    places = addresses.buildings(rows)
+    of: dict = {}
+    for r in addresses.forms(places.dropDuplicates(["place"])).join(places.select("place", "entity_id"), "place").collect():
+        of.setdefault(r.entity_id, set()).add(r.h)
+    assert all(of["S2-0"] & of[f"S2-{i}"] for i in range(1, 4)) and of["S2-0"] & of["S2-5"]
+    assert not of["S2-0"] & of["S2-6"] and not of["S2-0"] & of["S2-7"]
+
+
 def test_variants(parsed):
     rows = [("S2-1", "Zazinshon Silver Roofing", "292 Sirzon Lane, Dongol Falls", "US"), ("S3-1", "Zaznishon Roofing LLC", "292 Sirzon Ln, Dongol Falls", "US"), ("S3-2", "Z.S.R.", "292 Sirzon Lane, Dongol Falls", "US"), ("S3-3", "Zazinshon Silver Roofing", "292 Sirzon Lane, Dongol Falls", "US"), ("S3-4", "Zazinshon Silver Roofing", "1 Oak Street, Tranjin", "US"), ("S2-2", None, None, None), ("S3-5", "", "", "US")]
     groups = variants.variant_groups(parsed(rows))
