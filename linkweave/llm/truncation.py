@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -17,6 +18,8 @@ from linkweave.sources.tables import cut
 LIMIT_SHARE, LIMIT_TEXTS = 0.8, 5
 #: Values a task remembers, so that what many texts hold goes out once; then it starts anew.
 SEEN = 500_000
+#: Texts, about, whose values tell where the partitions of the order begin; they decide nothing else.
+SAMPLED = 1000
 #: Fewest letters of a cut word: shorter ones begin too many words to tell anything.
 WORD = 4
 _HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
@@ -163,23 +166,28 @@ def _documents(id_type: str):
     return run, f"doc_id {id_type}, commit_sha string, source string, chars int, same bigint, bytes int, open boolean, subject boolean, ends array<struct<kind: string, h: bigint>>"
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(value, whole)`` of all texts; a value that a task has met lately goes out once."""
-    seen: tuple[set[int], set[int]] = (set(), set())
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            piece, values, wholes = batch.slice(lo, 256), [], []
-            for text, commit in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
-                whole, ends, _, _ = units(text, commit)
-                for kind, group in ((1, whole), (0, ["s" + e[1:] if e[0] == "t" else e for e in ends])):
-                    new = {h: v for v in group if (h := hash(v)) not in seen[kind]}
-                    seen[kind].update(new)
-                    values += new.values()
-                    wholes += [kind == 1] * len(new)
-            if len(seen[0]) + len(seen[1]) > SEEN:
-                seen[0].clear()
-                seen[1].clear()
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(wholes, pa.bool_())], names=["value", "whole"])
+def _values(bounds: list[str]):
+    """``(value, whole, part)`` of all texts; a value that a task has met lately goes out once. ``part``: how many bounds are not over it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[set[int], set[int]] = (set(), set())
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                piece, values, wholes = batch.slice(lo, 256), [], []
+                for text, commit in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
+                    whole, ends, _, _ = units(text, commit)
+                    for kind, group in ((1, whole), (0, ["s" + e[1:] if e[0] == "t" else e for e in ends])):
+                        new = {h: v for v in group if (h := hash(v)) not in seen[kind]}
+                        seen[kind].update(new)
+                        values += new.values()
+                        wholes += [kind == 1] * len(new)
+                if len(seen[0]) + len(seen[1]) > SEEN:
+                    seen[0].clear()
+                    seen[1].clear()
+                parts = [bisect_right(bounds, v) for v in values]
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(wholes, pa.bool_()), pa.array(parts, pa.int32())], names=["value", "whole", "part"])
+
+    return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +231,12 @@ def strict_prefixes(values: DataFrame, partitions: int) -> DataFrame:
 
     ``h`` is the value's digest, ``whole`` whether it also stands whole somewhere. Values are range-partitioned and sorted,
     so whatever begins with a value stands right behind it: one look at the next value decides, however many values share
-    a beginning. The last value of a partition meets the first of the next one that has any: two rows a partition, put in
+    a beginning. ``part``, if there, is the place in that order that a value's partition has. The last value of a partition meets the first of the next one that has any: two rows a partition, put in
     order by a window, however large the data are.
     """
-    ordered = values.repartitionByRange(partitions, "value").sortWithinPartitions("value")
+    known = "part" in values.columns
+    ordered = values.repartitionById(partitions, F.col("part")).drop("part") if known else values.repartitionByRange(partitions, "value")
+    ordered = ordered.sortWithinPartitions("value")
     marks = cut(ordered.mapInArrow(_neighbours, "part int, edge string, h bigint, whole boolean, value string, follows string"))
     inner = marks.filter("edge = 'inner'").select("h", "whole", "follows")
     edges = marks.filter("edge <> 'inner'").withColumn("later", F.lead("value").over(Window.partitionBy(F.lit(0)).orderBy("part", "edge")))
@@ -254,7 +264,12 @@ def truncated(df: DataFrame, partitions: int | None = None) -> DataFrame:
     partitions = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     run, schema = _documents(df.schema["doc_id"].dataType.simpleString())
     rows = cut(texts(df).mapInArrow(run, schema))
-    begun = strict_prefixes(texts(df).mapInArrow(_values, "value string, whole boolean"), partitions)
+    # The values' order is cut by those of some texts, so that all texts are taken apart once, not once more to be sampled.
+    schema = "value string, whole boolean, part int"
+    some = texts(df).sample(min(1.0, SAMPLED / max(1, rows.count())), 7).mapInArrow(_values([]), schema).select(F.substring("value", 1, 64).alias("value")).limit(100 * SAMPLED)
+    cuts = sorted({r.value for r in some.collect()})
+    bounds = sorted({cuts[len(cuts) * i // partitions] for i in range(1, partitions)}) if cuts else []
+    begun = strict_prefixes(texts(df).mapInArrow(_values(bounds), schema), partitions)
 
     mid = F.col("follows").rlike(r"^[\p{L}\p{M}\p{N}_]")
     goes_on = F.col("follows").rlike(r"[\p{L}\p{N}]")
