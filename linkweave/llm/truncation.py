@@ -273,9 +273,11 @@ def truncated(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
     mid = F.col("follows").rlike(r"^[\p{L}\p{M}\p{N}_]")
     goes_on = F.col("follows").rlike(r"[\p{L}\p{N}]")
+    # One feed may add a trailer to the text that another has whole.
+    trailer = F.col("follows").rlike(r"^\n+[A-Z][\w-]*: ")
     ends = rows.select("doc_id", "source", "subject", F.col("commit_sha").isNull().alias("alone"), F.explode("ends").alias("e")).select("*", "e.kind", "e.h").drop("e")
     is_cut = (
-        F.when(F.col("kind") == "b", goes_on & (~F.col("alone") | mid & ~F.col("subject")))
+        F.when(F.col("kind") == "b", goes_on & ~trailer & (~F.col("alone") | mid & ~F.col("subject")))
         .when(F.col("kind") == "s", ~F.col("whole") & goes_on & (mid | ~F.col("subject")))  # a subject can be whole where another goes on
         .when(F.col("kind") == "t", ~F.col("whole") & mid)
         .otherwise(~F.col("whole") & F.col("follows").rlike(r"\S"))

@@ -266,11 +266,12 @@ def test_truncated_by_parts_of_other_texts(spark):
     cut = ["New\n\nCallers of the reader must pass the lim", "New\n\nIt was tried in the comma", "New\n\nCallers of the reader must pass the lim…", "New\n\n" + diff.replace("+1,2", "+1,9")[:-6]]
     rows = [(i, t, "s", f"c{i}") for i, t in enumerate([*whole, "Old\n\n" + diff])] + [(10 + i, t, "s", f"d{i}") for i, t in enumerate(cut)]
     rows += [(20, "A message without commit\n\nThat goes on and on and on", "s", None), (21, "A message without commit\n\nThat goes on and o", "s", None), (22, None, None, None), (23, "", "s", None)]
+    rows += [(30, "Fix the cache\n\nIt is whole.", "s", "t"), (31, "Fix the cache\n\nIt is whole.\n\nReviewed-by: A B <a@b.example>", "s", "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, commit_sha string").withColumn("follows", F.lit("clash"))
     got = {}
     for r in truncation.truncated(df, 4).collect():
         got.setdefault(r.doc_id, set()).add(r.reason)
-    assert set(got) == {10, 11, 12, 13, 21}
+    assert set(got) == {10, 11, 12, 13, 21}  # 30 only lacks a trailer
     assert "fragment" in got[10] and "word" in got[11] and "fragment" in got[12] and {"fragment", "syntax"} <= got[13] and "prefix" in got[21]
 
 
