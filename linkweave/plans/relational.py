@@ -529,9 +529,9 @@ def win_recallrank(spark: SparkSession, d: str) -> DataFrame:
 # ---- sorts and set operations
 
 
-@query(f"WITH {BUCKET_SQL} SELECT s1, cand, score FROM bk WHERE score IS NOT NULL ORDER BY score DESC, s1, cand LIMIT 50")
+@query(f"WITH {BUCKET_SQL} SELECT s1, cand, score FROM bk WHERE score IS NOT NULL ORDER BY score DESC, s1, cand")
 def srt_multi(spark: SparkSession, d: str) -> DataFrame:
-    return X.buckets(spark, d).filter("score IS NOT NULL").select("s1", "cand", "score").orderBy(c("score").desc(), "s1", "cand").limit(50)
+    return X.buckets(spark, d).filter("score IS NOT NULL").select("s1", "cand", "score").orderBy(c("score").desc(), "s1", "cand")
 
 
 @query()
