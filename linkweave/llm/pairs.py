@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import pandas as pd
@@ -14,6 +15,20 @@ from linkweave.llm.records import similarity
 VOTES = ["v_house", "v_street", "v_town", "v_pin", "v_core", "v_words", "v_extra", "v_initials"]
 
 
+def once(f: Callable) -> Callable:
+    """``f`` of two records, kept for the pair asked for last, which several votes and measures ask for in turn."""
+    kept: list = [None, None, None]
+
+    @wraps(f)
+    def ask(a, b):
+        if kept[0] is not a or kept[1] is not b:
+            kept[:] = a, b, f(a, b)
+        return kept[2]
+
+    return ask
+
+
+@once
 def reading(a, b) -> tuple[str, float]:
     """How two names read as one, and their likeness so read: ``initials`` (1 or 0), ``unsure`` initials of a web name, ``web``, ``core`` or ``whole``.
 
@@ -128,11 +143,9 @@ def compare(rows: DataFrame, keep: list[str], measures: dict[str, Callable] | No
             out = df[keep].copy()
             blank = [None] * len(df)
             left, right = (list(map(Side, *(df[f"_{s}_{c}"].tolist() if c in fields else blank for c in SIDE))) for s in "ab")
-            votes = [tuple(v for p in parts for v in of[p][0](a, b)) for a, b in zip(left, right, strict=True)]
-            for k, name in enumerate(names):
-                out[name] = pd.Series([v[k] for v in votes], index=out.index, dtype="int32")
-            for name, f in measures.items():
-                out[name] = [f(a, b) for a, b in zip(left, right, strict=True)]
+            said = [(*(v for p in parts for v in of[p][0](a, b)), *(f(a, b) for f in measures.values())) for a, b in zip(left, right, strict=True)]
+            for k, name in enumerate([*names, *measures]):
+                out[name] = pd.Series([v[k] for v in said], index=out.index, dtype="int32" if k < len(names) else "float64")
             yield out
 
     schema = ", ".join([kept, *(f"{v} int" for v in names), *(f"{m} double" for m in measures)])
