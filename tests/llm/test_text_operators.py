@@ -54,6 +54,22 @@ def test_public_table_of_lookalikes(spark):
     assert df.select(skeleton._plain_skeleton(F.col("value"), look.prototypes)).first()[0] == skeleton.skeleton(plain, look)
 
 
+def test_no_table_of_lookalikes_is_an_error(spark):
+    """Without the library, or with an answer that lacks characters, nothing is taken for a table, and no failure is kept."""
+    class Session:
+        def __init__(self, builder):
+            text = type("text", (), {"SpoofChecker": type("SpoofChecker", (), {"Builder": builder})})
+            self._jvm = type("jvm", (), {"com": type("com", (), {"ibm": type("ibm", (), {"icu": type("icu", (), {"text": text})})})})
+
+    class Short:
+        build = getSkeleton = lambda self, *text: "a" if text else self
+
+    for session in (Session(None), Session(Short), Session(None)):
+        with pytest.raises(RuntimeError, match="look-alikes"):
+            skeleton.confusables(session)
+    assert len(skeleton.confusables(spark)) > 10_000
+
+
 def test_odd_values_with_clashing_columns(spark):
     rows = [("1", "Ａ", None, "x"), ("1", "Ａ", None, "y"), ("2", "plain", "", "z"), ("3", None, "a b", None)]
     df = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, form string")
