@@ -116,7 +116,8 @@ def pair_features(bucket: DataFrame, left: DataFrame, right: DataFrame, only: Da
     pb = ready(b).select(F.col("entity_id").alias("cand"), F.struct(*need).alias("b"))
     sides = candidate_side(bucket)
     sides = sides if only is None else sides.join(only.select("s1"), "s1", "left_semi")
-    p = sides.join(pa, "s1").join(pb, "cand")
+    # By candidate first, as the pairs stand by then; the pairs go over the network once more, by record, with one side only.
+    p = sides.join(pb, "cand").join(pa, "s1")
     x, y = (lambda k: F.col(f"a.{k}")), (lambda k: F.col(f"b.{k}"))
 
     def overlap(kind: str) -> dict:
@@ -156,10 +157,11 @@ def pair_features(bucket: DataFrame, left: DataFrame, right: DataFrame, only: Da
         relative[f"{k}_rank"] = F.when(F.col(k).isNotNull(), F.rank().over(w.orderBy(F.col(k).desc_nulls_last())) - 1)
     twins = lambda k: F.sum(F.when(F.col(k) >= 90, 1).otherwise(0)).over(w)
     f = f.withColumns({**relative, "n_name_twins": twins("name_token_set"), "n_addr_twins": twins("addr_token_set"), "_name": F.coalesce("name_token_set", F.lit(-1.0)), "_addr": F.coalesce("addr_token_set", F.lit(-1.0))})
-    f = cut(f)
+    columns = FEATURES()
+    # Only the features are kept: the sides of a pair are many times as large.
+    f = cut(f.select("s1", "cand", "country", "_name", "_addr", *[k for k in columns if k != "better_addr_same_name"]))
     better = dominated(f.select("s1", "cand", "_name", "_addr"), "s1", "cand", "_name", "_addr", 10.0)
     f = f.join(better.withColumnRenamed("better", "better_addr_same_name"), ["s1", "cand"])
-    columns = FEATURES()
     return f.select("s1", "cand", "country", *columns)
 
 

@@ -40,6 +40,15 @@ def test_features_by_hand(frame):
     assert a["better_addr_same_name"] == 0 and b["better_addr_same_name"] == 1 and other["better_addr_same_name"] >= 1
 
 
+def test_only_features_are_kept_of_a_pair(spark, monkeypatch):
+    """What is written between the two passes holds neither texts nor words of the sides, which are larger than all features."""
+    kept = []
+    monkeypatch.setattr(features, "cut", lambda df: kept.append(df.dtypes) or df)
+    record = spark.createDataFrame([("x", "US", "Alpha", "1 Main Street")], RECORD)
+    features.pair_features(spark.createDataFrame([], BUCKET), record, record)
+    assert len(kept) == 1 and {k for k, t in kept[0] if t.startswith(("struct", "array", "map", "string"))} == {"s1", "cand", "country"}
+
+
 def test_word_weights_by_hand(frame):
     """Weights ln(3 / (df + 1)) + 1 of the two clean names; a word of no clean name weighs 12."""
     w = np.log(3 / 2) + 1
