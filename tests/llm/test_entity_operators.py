@@ -1,10 +1,13 @@
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from linkweave.llm import addresses, cosine_join, linkage, neighbors, pairs, records, variants
+from linkweave.sources.tables import cut_packed
 
 PLACES = [("US", "Dongol Falls", "Texas", "TX", "19991"), ("US", "Dongol Falls", "Texas", "TX", "19992"), ("US", "Tranjin", "Colorado", "CO", "31049"), ("India", "Jilsagarh", "Gujarat", "GJ", "111171")]
 GAZ = records.Gazetteer(PLACES)
@@ -145,6 +148,54 @@ def test_cosine_join_against_brute_force(parsed):
     assert set(got) == set(true) and all(abs(got[k] - true[k]) < 1e-9 for k in true)
 
 
+def test_cosine_join_of_many_records(spark, parsed):
+    """Pairs are the brute-force ones, also of an id that has two rows, which was an error."""
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("bdfglmnprstvaeiou"), n))
+    names = [word(int(rng.integers(4, 9))).capitalize() for _ in range(120)]
+    make = lambda s, n: [(f"{s}-{i}", f"{rng.choice(names)} {rng.choice(['Silver Roofing', 'Plumbing Services', 'Medical Hall'])}", f"{rng.integers(1, 60)} {rng.choice(['Oak', 'Elm', 'Sirzon'])} Street, {rng.choice(['Tranjin, CO 31049', 'Dongol Falls, TX 19991'])}", "US") for i in range(n)]
+    left, right = parsed([*make("S1", 150), ("S1-0", "Zork Silver Roofing", "9 Oak Street, Tranjin, CO 31049", "US")]), parsed(make("S2", 400))
+    ta, tb = ({} for _ in range(2))
+    for side, out in ((left, ta), (right, tb)):
+        for r in cosine_join.terms(side).collect():
+            out.setdefault(r.entity_id, set()).add(r.term)
+    df: dict = {}
+    for t in (t for terms in (*ta.values(), *tb.values()) for t in terms):
+        df[t] = df.get(t, 0) + 1
+    idf = {t: np.log(1 + 551 / k) for t, k in df.items()}
+    norm = lambda s: np.sqrt(sum(idf[t] ** 2 for t in s))
+    near = {(a, b): sum(idf[t] ** 2 for t in x & y) / norm(x) / norm(y) for a, x in ta.items() for b, y in tb.items()}
+    for least in (0.3, 0.6):
+        found = cosine_join.cosine_join(left, right, least)
+        got = {(r.a_id, r.b_id): r.cosine for r in found.collect()}
+        true = {k: v for k, v in near.items() if v >= least}
+        assert true and set(got) == set(true) and all(abs(got[k] - true[k]) < 1e-9 for k in true)
+
+
+def test_copies_of_parsed_records_are_compressed(spark, parsed):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("bdfglmnprstvaeiou"), 7)).capitalize()
+    rows = [(f"S1-{i}", f"{word()} Silver Roofing LLC", f"{rng.integers(1, 999)} {word()} Lane, Dongol Falls, TX 19991", "US") for i in range(3000)]
+    written = lambda: sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+    source, sizes = parsed(rows).coalesce(1), [written()]
+    kept = cut_packed(source)
+    sizes.append(written())
+    plain = source.checkpoint()
+    sizes.append(written())
+    assert sizes[1] - sizes[0] < 0.95 * (sizes[2] - sizes[1])
+    assert kept.schema == plain.schema and kept.exceptAll(plain).isEmpty() and plain.exceptAll(kept).isEmpty()
+
+
+def test_places_ruled_out_before_comparing_are_conflicts(parsed):
+    """``may_be_one_place`` says no exactly where the votes of number, town and postcode do."""
+    address = ["292 Sirzon Lane, Dongol Falls, TX 19991", "292A Sirzon Lane, Dongol Falls", "7 Oak Street, Tranjin, CO 31049", "Oak Street, Tranjin", "7 Oak Street, 31049", "7 Oak Street, 31050", "-", None]
+    rows = parsed([(f"S1-{i}", "Silver", x, "US") for i, x in enumerate(address)]).select(pairs.side().alias("s"))
+    both = rows.select(F.col("s").alias("a")).crossJoin(rows.select(F.col("s").alias("b"))).withColumn("may", pairs.may_be_one_place())
+    got = pairs.compare(both, ["may"], parts=("place",)).collect()
+    assert {r.may for r in got} == {True, False}
+    assert all(r.may == (r.v_house >= 0 and r.v_town >= 0 and not (r.v_town == 0 and r.v_pin < 0)) for r in got)
+
+
 def test_overlap_without_a_place_needs_the_own_word(parsed):
     test = [("S1-9", "Robert Brunstendo Plumbing Services Inc", "292 Sirzon Lane, Dongol Falls, TX 19991", "US")]
     train = [("S2-8", "Robert Brulgelkil Plumbing Services LLC", None, "US"), ("S2-9", "Bob Brunstendo Plumbing Services Inc", "-", "US"), ("S3-9", "brunstendo.example", "292 Sirzon Ln, Dongol Falls", "US")]
