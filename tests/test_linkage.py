@@ -97,6 +97,25 @@ def test_equal_texts_are_searched_once(spark):
     assert len(got) == 60 and {(r.asked, r.met, r.most) for r in got} == {(12, 12, 7)}
 
 
+def test_pairs_of_a_common_word(spark, tmp_path):
+    """As SQL says, also for ids with several rows and nulls."""
+    import duckdb
+
+    from pyspark.sql import functions as F
+
+    from linkweave.plans import registry
+
+    db = duckdb.connect()
+    for table, n in (("train_source1", 90), ("test_source1", 70)):
+        rows = [(f"{table[:2]}-{i}", f"Shared word{i % 9} x{'' if i % 3 else ' shared'}", None if i % 11 == 0 else "US") for i in range(n)]
+        rows += [(*rows[1][:1], "other SHARED", "US"), (*rows[2][:1], None, "US"), *rows[3:5]]
+        spark.createDataFrame(rows, "entity_id string, business_name string, country string").withColumn("business_address", F.lit("")).write.parquet(f"{tmp_path}/{table}.parquet")
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    expected = sorted(db.execute(registry.oracle_sql()["jn_token_explode"]).fetchall())
+    got = registry.queries()["jn_token_explode"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == expected and len(expected) > 5000
+
+
 def test_metric_cases(spark):
     rec = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "s1 string")
     pred = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "3"), ("c", "9")], "s1 string, cand string")
