@@ -301,3 +301,45 @@ def test_hot_name_keeps_all_its_candidates(parsed):
     right = [("S2-1", "Zazinshon Silver Roofing", "Sirzon Lane, Dongol Falls, TX 19991", "US"), ("S2-2", "zazinshon.example", None, "US"), ("S2-3", "Zazinshon", "Dongol Falls, TX 19991", "US")]
     got = {(r.a_id, r.b_id) for r in linkage.candidates(parsed(left), parsed(right)).collect()}
     assert got == {(a[0], b[0]) for a in left for b in right}
+
+
+def test_only_pairs_that_may_be_linked_are_compared(parsed):
+    """Without a town names meet by a common word or a house number that they share, not by their own word alone."""
+    rows = [
+        ("S2-1", "Zorvantel Roofing", "9 Oak Street, Tranjin, CO 31049", "US"),
+        ("S3-1", "Zorvantl Roofing", None, "US"),
+        ("S3-2", "Zorvantl Medical", None, "US"),
+        ("S3-3", "Zorvantl", "9 Oak Street", "US"),
+        ("S3-4", "Zorvantl Traders", "12 Oak Street", "US"),
+        ("S2-5", "Zorvantl Medical Hall", "Tranjin", "US"),
+    ]
+    n = variants.nodes(parsed(rows))
+    ids = {r.node: r.entity_id for r in n.collect()}
+    built, others = variants.candidates(n)
+    assert built.count() == 0
+    assert {frozenset((ids[r.a_node], ids[r.b_node])) for r in others.collect()} == {frozenset(p) for p in (("S2-1", "S3-1"), ("S2-1", "S3-3"), ("S3-2", "S2-5"))}
+
+
+def test_crowded_buildings_give_the_same_groups(parsed, monkeypatch):
+    rows = parsed([*RIGHT, *LEFT, ("S3-1", "Z.S.R.", "7 Oak Street, Tranjin, CO", "US"), ("S3-2", "Merthertru Hall", "292 Sirzon Ln, Dongol Falls", "US"), ("S3-3", "zazinshonsilver.example", "292 Sirzon Road, Dongol Falls", "US")])
+    stars = lambda: {(r.entity_id, r.star) for r in variants.variant_groups(rows).collect()}
+    usual = stars()
+    monkeypatch.setattr(variants, "CROWD", 1)
+    assert stars() == usual and len({s for _, s in usual}) < len(usual)
+
+
+def test_linked_says_what_all_votes_and_measures_say(parsed):
+    said = [*LEFT, *RIGHT, ("S3-1", "Z.S.R.", "7 Oak Street, Tranjin, CO", "US"), ("S3-2", "Silver Roofing", "292 Sirzon Lane, Dongol Falls", "US"), ("S3-3", "zazinshonsilver.example", "292 Sirzon Road, Dongol Falls", "US"), ("S3-4", "Zazinshon Plumbing", "Dongol Falls", "US")]
+    rows = [r for r in parsed(said).collect()]
+
+    def all_of_it(a, b):
+        house, street, town, pin = pairs.place_votes(a, b)
+        core, words, _, initials = pairs.name_votes(a, b)
+        me, all_words, own = (f(a, b) for f in variants.MEASURES.values())
+        place = house >= 0 and street >= 0 and town >= 0 and not (town == 0 and pin < 0)
+        in_building = house == 1 and me >= variants.SAME and (core == 1 or initials == 1 or core == 0 and initials == 0 and me >= variants.VARIANT)
+        elsewhere = core == 1 and words >= 0 and (town == 1 or words == 1) and me >= variants.SAME and (all_words >= variants.VARIANT or all_words == 0)
+        return (own < variants.OWN and initials < 1) if place and (in_building or elsewhere) else None
+
+    got = [(variants.linked(a, b), all_of_it(a, b)) for a in rows for b in rows]
+    assert all(x == y for x, y in got) and {x for x, _ in got} == {True, False, None}
