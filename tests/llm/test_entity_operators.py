@@ -343,3 +343,19 @@ def test_linked_says_what_all_votes_and_measures_say(parsed):
 
     got = [(variants.linked(a, b), all_of_it(a, b)) for a in rows for b in rows]
     assert all(x == y for x, y in got) and {x for x, _ in got} == {True, False, None}
+
+
+def test_exploded_sides_are_not_broadcast(spark, parsed):
+    """Spark sizes a side by its rows before an explode; the driver must not gather what comes out."""
+    rows = [(f"S2-{i}", f"{a}or{b}insh Silver Roofing", f"{5 if i % 2 else ''} Oak Street, Tranjin, CO 31049", "US") for i, (a, b) in enumerate((a, b) for a in "bdfg" for b in "klmnrt")]
+    columns = ["node", "country", *pairs.SIDE]
+    n = variants.nodes(parsed(rows)).select(*columns, F.col("core").alias("own"), F.array(F.substring("core", 1, 1)).alias("firsts"), F.array(F.lit("silv"), F.lit("roof")).alias("words"))
+    met = variants._meet(n.filter("house = ''"), n, "town", ["country", "town"])
+    by_word = variants._meet(*(n.withColumn("w", F.explode("words")) for _ in "ab"), "country", ["country", "w"])
+    spot = n.select(F.lit(1).alias("spot"), "node", "firsts", variants._bands(*variants.tune(*variants.CURVES["house"]))("own").alias("bands"), pairs.side().alias("side"))
+    near = variants._near(spot.withColumn("called", F.col("node")))
+    for df in (met, by_word, near):
+        assert df.count() > 0
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastExchange" not in plan
