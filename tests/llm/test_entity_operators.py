@@ -359,3 +359,11 @@ def test_exploded_sides_are_not_broadcast(spark, parsed):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_overlaps_compare_pairs_once(parsed):
+    """Pairs with and without a place are compared in one pass over them."""
+    test, train = cut_packed(parsed(LEFT)), cut_packed(parsed(RIGHT))
+    found = cosine_join.overlaps(test, train, test)
+    assert str(found._jdf.queryExecution().optimizedPlan().toString()).count("MapInPandas") == 1
+    assert {("S1-1", "S2-1"), ("S1-2", "S2-2")} <= {(r.a_id, r.b_id) for r in found.collect()}
